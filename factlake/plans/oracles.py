@@ -150,7 +150,7 @@ def _industry(condition: str, message: str) -> str:
          row_number() OVER (PARTITION BY m.industry_key ORDER BY s.value DESC, s.company) AS place
   FROM subject s JOIN members m ON lower(s.company) = m.company_key WHERE {condition}
 )
-SELECT n.n_name AS industry, r.place, r.company, r.value, r.unit, r.period_end,
+SELECT n.n_name AS industry, CAST(r.place AS INT) AS place, r.company, r.value, r.unit, r.period_end,
        CASE WHEN r.place IS NULL THEN 'not_available' ELSE 'ok' END AS status,
        CASE WHEN r.place IS NULL THEN {message} END AS message
 FROM nation n LEFT JOIN (SELECT * FROM ranked WHERE place <= {K.INDUSTRY_ROWS}) r ON lower(n.n_name) = r.industry_key"""
@@ -226,7 +226,7 @@ FOUND = f"""wanted AS (
 )"""
 
 LINES = f"""answers AS (
-  SELECT question_id, count(*) AS row_count,
+  SELECT question_id, CAST(count(*) AS INT) AS row_count,
     CASE WHEN count(*) = 1 THEN max(company || ': ' || metric_key ||
            coalesce(' (' || coalesce(nullif(metric_variant, ''), nullif(period_type, '')) || ')', '') || ' = ' ||
            CAST(value AS VARCHAR) || ' ' || unit || ' (p.' || CAST(source_page AS VARCHAR) || ')')
@@ -271,7 +271,7 @@ NEIGHBOURS = f"""scored AS (
          'chunk ' || CAST(v.vec_id AS STRING) AS text
   FROM embeddings q, embeddings v
 ), hits AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place
   FROM scored QUALIFY place <= {{k}}
 )"""
 
@@ -480,8 +480,8 @@ FROM requests_fx r LEFT JOIN latest l ON r.request_id = l.request_id""",
     ),
     "facts_search": _with(
         f"""{SEARCH_REQUESTS} =>
-SELECT r.request_id, row_number() OVER (PARTITION BY r.request_id ORDER BY f.confidence DESC, f.source_page, f.doc_id,
-         f.source_span NULLS LAST, f.value) AS place,
+SELECT r.request_id, CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY f.confidence DESC, f.source_page,
+         f.doc_id, f.source_span NULLS LAST, f.value) AS INT) AS place,
        f.company, f.metric_key, f.metric_variant, f.value, f.unit, f.period_type, f.period_end, f.source_page,
        f.source_span, f.confidence
 FROM search_requests r JOIN facts_fx f ON list_contains(r.metrics, lower(f.metric_key))
