@@ -12,13 +12,20 @@ SPACE = (
 # Fixed value: every character sequence that ends a line.
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
+# Fixed value: the same white space as plain characters.
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # A character no pattern uses, so that a backslash in a pattern is plain text.
 NO_ESCAPE = "\u0001"
 
 
 def strip_space(text: Column) -> Column:
-    """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Remove white space of any kind at both ends; reads the ends only."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def normalize_lines(text: Column) -> Column:
@@ -29,9 +36,17 @@ def normalize_lines(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Page text as it is cut into chunks."""
-    spaced = F.regexp_replace(F.translate(text, "\x00", " "), r"[ \t]+", " ")
-    return strip_space(F.regexp_replace(spaced, r"\n{3,}", "\n\n"))
+    """Page text as it is cut into chunks: no NUL, single spaces, at most one blank line.
+
+    Texts without anything to replace, found by plain substring search, skip the
+    patterns.
+    """
+    marks = ("\x00", "\t", "  ", "\n\n\n")
+    to_do = F.contains(text, F.lit(marks[0]))
+    for mark in marks[1:]:
+        to_do = to_do | F.contains(text, F.lit(mark))
+    spaced = F.regexp_replace(F.translate(text, "\x00", " "), r"[ \t]{2,}|\t", " ")
+    return strip_space(F.when(to_do, F.regexp_replace(spaced, r"\n{3,}", "\n\n")).otherwise(text))
 
 
 def matches_like(text: Column, part: str) -> Column:

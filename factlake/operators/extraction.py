@@ -20,8 +20,10 @@ def parse_extraction(extractions: DataFrame, raw: str = "raw") -> DataFrame:
     An enclosing fence is removed; if the text is no JSON as it stands, the part
     from the first { to the last } is tried.
     """
-    body = strip_space(F.regexp_replace(strip_space(F.col(raw)), FENCE_PATTERN, "$1"))
-    prepared = extractions.withColumn("__body", body)
+    text = F.col("__body")
+    fenced = F.startswith(text, F.lit("```"))
+    unfenced = F.when(fenced, strip_space(F.regexp_replace(text, FENCE_PATTERN, "$1"))).otherwise(text)
+    prepared = extractions.withColumn("__body", strip_space(F.col(raw))).withColumn("__body", unfenced)
     is_object = F.startswith("__body", F.lit("{"))
     whole = F.try_parse_json(F.when(is_object, F.col("__body")))
     other = F.try_parse_json(F.when(~is_object, F.col("__body")))
@@ -131,10 +133,8 @@ def extract_to_facts(extractions: DataFrame, company_hint: str | None = None) ->
     return flatten_facts(described.select("doc_id", "company", "unit_hint", "doc"))
 
 
-def extraction_documents(extractions: DataFrame, company_hint: str | None = None) -> DataFrame:
-    """Document rows of the extractions that could be read."""
-    hint = F.col(company_hint) if company_hint else None
-    described = describe(parse_extraction(extractions), hint=hint)
+def document_rows(described: DataFrame) -> DataFrame:
+    """Document rows of the described extractions that could be read."""
     return described.where(F.col("doc").isNotNull()).select(
         "doc_id",
         "company",
@@ -146,6 +146,12 @@ def extraction_documents(extractions: DataFrame, company_hint: str | None = None
     )
 
 
+def extraction_documents(extractions: DataFrame, company_hint: str | None = None) -> DataFrame:
+    """extractions(path, raw) to documents."""
+    hint = F.col(company_hint) if company_hint else None
+    return document_rows(describe(parse_extraction(extractions), hint=hint))
+
+
 def field_text(content: Column) -> Column:
     """Field content as text; fractions in shortest form, arrays and objects as JSON."""
     kind = F.schema_of_variant(content)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factlake import constants as K
 from factlake.functions import questions as Q
 from factlake.functions.text import float_text
-from factlake.operators.search import expanded_metrics, facts_search
+from factlake.operators.search import facts_search_labelled
 
 
 def route_questions(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -90,18 +90,15 @@ def routed_requests(questions: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_facts(facts: DataFrame) -> DataFrame:
-    """Facts whose metric a question can ask for; the filter reaches the scan's rows first."""
-    names = [
-        stored.lower() for name in K.QUESTION_ALIASES for stored in K.METRIC_EXPANSION.get(name.lower(), [name])
-    ]
-    return facts.where(F.lower("metric_key").isin(*names))
+def search_questions(facts: DataFrame, questions: DataFrame, limit: int = K.FACT_ROWS) -> DataFrame:
+    """First facts of every routed question, with request_id = question_id."""
+    return facts_search_labelled(facts, routed_requests(questions), list(K.QUESTION_ALIASES), limit)
 
 
 def answer_questions(facts: DataFrame, questions: DataFrame, limit: int = K.FACT_ROWS) -> DataFrame:
     """One answer per question: questions(question_id, text[, company])."""
     requests = routed_requests(questions)
-    found = facts_search(vocabulary_facts(facts), requests, limit, periods="label")
+    found = search_questions(facts, questions, limit)
     answers = fact_answer_lines(requests, found).withColumnRenamed("request_id", "question_id")
     routed = route_questions(questions).select("question_id", "tool")
     known = F.col("tool") == "facts_sql"
@@ -114,13 +111,3 @@ def answer_questions(facts: DataFrame, questions: DataFrame, limit: int = K.FACT
         "answer",
     )
 
-
-__all__ = [
-    "answer_questions",
-    "classify_questions",
-    "expanded_metrics",
-    "fact_answer_lines",
-    "route_questions",
-    "routed_requests",
-    "vocabulary_facts",
-]

@@ -89,20 +89,13 @@ def _with_spec(requests: DataFrame) -> DataFrame:
     )
 
 
-def _period_labels(text: Column) -> Column:
-    """All fiscal labels a period label could name inside the text."""
-    raised = F.upper(F.coalesce(text, F.lit("")))
-    forms = ("Q[1-4]FY[0-9]{2}", "FY[0-9]{2}", "FY[0-9]{2}[A-Z]")
-    return F.concat(*[F.regexp_extract_all(raised, F.lit(f"(?=({form}))"), F.lit(1)) for form in forms])
-
-
-def _heads_by_label(facts: DataFrame, limit: int) -> DataFrame:
-    """First facts per company, metric and label; label '' stands for any period."""
-    labels = F.array_distinct(
-        F.concat(F.array(F.lit("")), _period_labels(F.col("metric_variant")), _period_labels(F.col("source_span")))
-    )
-    tagged = facts.withColumn("metric", F.lower("metric_key")).withColumn("period", F.explode(labels))
-    return first_rows(tagged, ["company", "metric", "period"], best_first(), n=limit)
+def _period_labels(texts: list[Column]) -> Column:
+    """All fiscal labels a period label could name inside the texts; '' stands for any period."""
+    raised = F.upper(F.concat_ws("\n", *texts))
+    longest = F.regexp_extract_all(raised, F.lit("(?=(Q[1-4]FY[0-9]{2}|FY[0-9]{2}[A-Z]?))"), F.lit(1))
+    shorter = F.transform(longest, lambda label: F.when(F.startswith(label, F.lit("F")), F.left(label, F.lit(4))).otherwise(label))
+    found = F.when(F.contains(raised, F.lit("FY")), F.concat(longest, shorter)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), found))
 
 
 def _spec_companies(specs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -112,39 +105,17 @@ def _spec_companies(specs: DataFrame, facts: DataFrame) -> DataFrame:
     return by_metric.join(pairs, "company_part")
 
 
-def facts_search(
-    facts: DataFrame, requests: DataFrame, limit: int = K.FACT_ROWS, periods: str = "text"
+def _finish(
+    asked: DataFrame, specs: DataFrame, facts: DataFrame, heads: DataFrame, by_period: bool, limit: int
 ) -> DataFrame:
-    """First facts per request: requests(request_id, company_hint, metric_keys, period_label).
-
-    A fact is found if its company contains the hint, its metric is one of the
-    keys, and its variant or span contains the period label, all without regard
-    to case; parts are literal text. No hint or no label means any.
-
-    periods="label" is for labels as question_period gives them: facts are
-    reduced to the first ones per company, metric and label before any join, so
-    the work per request does not grow with the facts. A period of another form
-    is an error then. periods="text" takes any text.
-    """
-    asked = _with_spec(requests)
-    specs = asked.select(*SPEC).where(F.size("metrics") > 0).distinct()
-    if periods == "label":
-        other = ~F.col("period").rlike("^(Q[1-4]FY[0-9]{2}|FY[0-9]{2}[A-Z]?)?$")
-        complaint = F.raise_error(F.concat(F.lit("not a fiscal label: "), F.col("period")))
-        specs = specs.withColumn("period", F.when(other, complaint.cast("string")).otherwise(F.col("period")))
-        heads = _heads_by_label(facts, limit)
-        groups, same_period, in_period = ["period"], ["period"], F.lit(True)
-    elif periods == "text":
-        groups, same_period = ["metric_variant", "source_span"], []
-        keyed = facts.withColumn("metric", F.lower("metric_key"))
-        heads = first_rows(keyed, ["company", "metric", *groups], best_first(), n=limit)
-        in_period = (
-            (F.col("period") == "")
-            | F.coalesce(matches_part(F.col("metric_variant"), F.col("period")), F.lit(False))
-            | F.coalesce(matches_part(F.col("source_span"), F.col("period")), F.lit(False))
-        )
-    else:
-        raise ValueError("periods must be 'label' or 'text'")
+    """Join searches with the heads of their metric, keep the first facts, and give them to the requests."""
+    same_period = ["period"] if by_period else []
+    groups = ["period"] if by_period else ["metric_variant", "source_span"]
+    in_period = F.lit(True) if by_period else (
+        (F.col("period") == "")
+        | F.coalesce(matches_part(F.col("metric_variant"), F.col("period")), F.lit(False))
+        | F.coalesce(matches_part(F.col("source_span"), F.col("period")), F.lit(False))
+    )
     named = _spec_companies(specs, facts).join(heads, ["company", "metric", *same_period])
     # without a hint the company does not matter: shrink once more across companies
     anywhere = first_rows(heads, ["metric", *groups], best_first(), n=limit)
@@ -159,6 +130,59 @@ def facts_search(
     return asked.select("request_id", *SPEC).join(top, list(SPEC)).select("request_id", "place", *FACT_COLUMNS)
 
 
+def facts_search(facts: DataFrame, requests: DataFrame, limit: int = K.FACT_ROWS) -> DataFrame:
+    """First facts per request: requests(request_id, company_hint, metric_keys, period_label).
+
+    A fact is found if its company contains the hint, its metric is one of the
+    keys, and its variant or span contains the period label, all without regard
+    to case; parts are literal text. No hint or no label means any.
+
+    Facts first shrink to the first ones per company, metric, variant and span:
+    no search can tell the others from them.
+    """
+    asked = _with_spec(requests)
+    specs = asked.select(*SPEC).where(F.size("metrics") > 0).distinct()
+    keyed = facts.withColumn("metric", F.lower("metric_key"))
+    heads = first_rows(keyed, ["company", "metric", "metric_variant", "source_span"], best_first(), n=limit)
+    return _finish(asked, specs, facts, heads, False, limit)
+
+
+def facts_search_labelled(
+    facts: DataFrame, requests: DataFrame, metrics: list[str], limit: int = K.FACT_ROWS
+) -> DataFrame:
+    """facts_search for requests that name metrics of a list and fiscal period labels.
+
+    Facts shrink to the first ones per company, metric and label before any
+    join, so the work per request does not grow with the facts. Metrics outside
+    the list find nothing; a period that is no fiscal label is an error.
+    """
+    vocabulary = sorted({name.lower() for key in metrics for name in K.METRIC_EXPANSION.get(key.lower(), [key])})
+    asked = _with_spec(requests)
+    is_label = F.col("period").rlike("^(Q[1-4]FY[0-9]{2}|FY[0-9]{2}[A-Z]?)?$")
+    complaint = F.raise_error(F.concat(F.lit("not a fiscal label: "), F.col("period"))).cast("string")
+    specs = (
+        asked.select(*SPEC)
+        .where(F.size("metrics") > 0)
+        .distinct()
+        .withColumn("period", F.when(is_label, F.col("period")).otherwise(complaint))
+    )
+    tagged = (
+        facts.withColumn("metric", F.lower("metric_key"))
+        .where(F.col("metric").isin(*vocabulary))
+        .withColumn("period", F.explode(_period_labels([F.col("metric_variant"), F.col("source_span")])))
+    )
+    # Asked pairs of metric and label: at most the vocabulary times the 3,101
+    # forms a label can have, so they fit in every task however many requests.
+    pairs = (
+        specs.select(F.explode("metrics").alias("metric"), "period")
+        .where(F.col("metric").isin(*vocabulary))
+        .distinct()
+    )
+    wanted = tagged.join(F.broadcast(pairs), ["metric", "period"], "left_semi")
+    heads = first_rows(wanted, ["company", "metric", "period"], best_first(), n=limit)
+    return _finish(asked, specs, facts, heads, True, limit)
+
+
 def facts_search_one(
     facts: DataFrame,
     metric_keys: list[str],

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -57,9 +57,8 @@ def embed_terms(
     """
     words = Tokenizer(inputCol=text, outputCol="__words").transform(df)
     terms = HashingTF(inputCol="__words", outputCol="__terms", numFeatures=dimensions).transform(words)
-    counted = terms.withColumn(vector, vector_to_array("__terms", "float32")).drop("__words", "__terms")
-    unit = normalize_l2(counted, vector)
-    return unit.withColumn(vector, F.col(vector).cast("array<float>"))
+    unit = Normalizer(inputCol="__terms", outputCol="__unit", p=2.0).transform(terms)
+    return unit.withColumn(vector, vector_to_array("__unit", "float32")).drop("__words", "__terms", "__unit")
 
 
 # --- nearest neighbours -------------------------------------------------------

@@ -441,7 +441,7 @@ def sql_group_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fact_answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = routing.routed_requests(view(spark, sf_dir, "questions_fx"))
-    found = search.facts_search(view(spark, sf_dir, "facts_fx"), requests, periods="label")
+    found = search.facts_search(view(spark, sf_dir, "facts_fx"), requests)
     return routing.fact_answer_lines(requests, found)
 
 
@@ -512,9 +512,7 @@ def facts_else_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = view(spark, sf_dir, "questions_fx")
     index = _vector_index(spark, sf_dir)
     given = index.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vector"))
-    found = search.facts_search(
-        view(spark, sf_dir, "facts_fx"), routing.routed_requests(asked), periods="label"
-    )
+    found = routing.search_questions(view(spark, sf_dir, "facts_fx"), asked)
     questions = asked.select("question_id").join(given, "question_id")
     return vectors.facts_else_vector(questions, found, index)
 

@@ -47,14 +47,19 @@ def build_index(
     ignore_last_page: bool = False,
     embed=embed_terms,
     embed_model: str = "hashed-terms",
+    is_unit: bool = True,
 ) -> DataFrame:
     """Chunk, embed and write the pages; returns the manifest. Nothing to index is an error.
 
-    `embed` is any function that adds an `embedding` column to rows with `text`.
+    `embed` is any function that adds an `embedding` column to rows with `text`;
+    is_unit=False has its vectors scaled to unit length here.
     """
     spark = pages.sparkSession
     chunks = chunk_rows(pages, company, ignore_last_page)
-    write_index(normalize_l2(embed(chunks)).withColumn("embedding", F.col("embedding").cast("array<float>")), f"{path}/chunks")
+    embedded = embed(chunks)
+    if not is_unit:
+        embedded = normalize_l2(embedded).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    write_index(embedded, f"{path}/chunks")
     index = read_index(spark, f"{path}/chunks")
     if index.isEmpty():
         raise ValueError("no text to index; ingest pages first")

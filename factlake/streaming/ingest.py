@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from factlake import schemas
-from factlake.operators.extraction import describe, extraction_documents, flatten_facts, parse_extraction
+from factlake.operators.extraction import describe, document_rows, flatten_facts, parse_extraction
 from factlake.operators.ranking import first_rows
 
 DOCUMENT_LOG = StructType(list(schemas.DOCUMENTS.fields)).add("batch_id", "long")
@@ -27,10 +27,14 @@ def write_batch(extractions: DataFrame, batch_id: int, target: str) -> None:
     """Documents and facts of one batch; the last of equal paths counts."""
     order = [F.desc("arrived_at"), F.desc("raw")] if "arrived_at" in extractions.columns else [F.desc("raw")]
     latest = first_rows(extractions, ["path"], order).select("path", "raw")
-    documents = extraction_documents(latest)
-    facts = flatten_facts(describe(parse_extraction(latest)).select("doc_id", "company", "unit_hint", "doc"))
-    facts.write.mode("overwrite").parquet(f"{target}/facts/batch_id={batch_id}")
-    documents.write.mode("overwrite").parquet(f"{target}/documents/batch_id={batch_id}")
+    described = describe(parse_extraction(latest)).persist()
+    try:
+        facts = flatten_facts(described.select("doc_id", "company", "unit_hint", "doc"))
+        facts.write.mode("overwrite").parquet(f"{target}/facts/batch_id={batch_id}")
+        documents = document_rows(described)
+        documents.write.mode("overwrite").parquet(f"{target}/documents/batch_id={batch_id}")
+    finally:
+        described.unpersist()
 
 
 def incremental_ingest(
