@@ -18,12 +18,12 @@ def chat_context(conversations: DataFrame) -> DataFrame:
 
     Only the last lines, and of each only its last characters, can be part of
     the result; the rest is dropped before the shuffle, so a conversation of any
-    length is joined from a bounded piece.
+    length is joined from a bounded piece. A turn occurs once per conversation.
     """
     spoken = conversations.withColumn("body", strip_space(F.coalesce("text", F.lit("")))).where("body <> ''")
     line = F.concat_ws(": ", F.coalesce("role", F.lit("user")), F.col("body"))
     tails = spoken.select("conv_id", "turn", F.right(line, F.lit(K.CONTEXT_CHARS)).alias("line"))
-    recent = first_rows(tails, ["conv_id"], [F.desc("turn")], n=_CONTEXT_LINES)
+    recent = first_rows(tails, ["conv_id"], [F.desc("turn")], n=_CONTEXT_LINES, salt_by=["turn"])
     joined = recent.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
     context = F.right(F.array_join("lines.line", "\n"), F.lit(K.CONTEXT_CHARS))
     with_text = joined.select("conv_id", context.alias("context"))

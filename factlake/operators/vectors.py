@@ -81,6 +81,15 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=matrix.copy(), where=norms > 0)
 
 
+def _sortable(ids: pa.Array) -> np.ndarray:
+    """Ids, or for text the places of the ids in byte order, which is Spark's order."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    if not (pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type)):
+        return ids.to_numpy(zero_copy_only=False)
+    return np.unique([str(i).encode() for i in ids.to_pylist()], return_inverse=True)[1]
+
+
 def _top_pairs(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query rows, vector rows) of the k best scores per query, ties by smaller id."""
     queries, rows = [], []
@@ -112,8 +121,7 @@ def _knn_shared(vectors: DataFrame, query_ids: list, matrix: np.ndarray, spec: d
             for begin in range(0, batch.num_rows, SCORE_ROWS):
                 part = batch.slice(begin, SCORE_ROWS)
                 scores = _score(block, _unit_rows(_matrix(part.column(vector_col), block.shape[1])))
-                ids = part.column(id_col).to_numpy(zero_copy_only=False)
-                q, rows = _top_pairs(scores, ids, k)
+                q, rows = _top_pairs(scores, _sortable(part.column(id_col)), k)
                 taken = part.select([id_col, *payload]).take(pa.array(rows))
                 found = pa.table(
                     {"__query": pa.array(q), "score": pa.array(scores[q, rows])}
@@ -130,9 +138,15 @@ def _knn_shared(vectors: DataFrame, query_ids: list, matrix: np.ndarray, spec: d
 
 def _best_held(table: pa.Table, id_col: str, k: int) -> pa.Table:
     """The k best rows per query of one task so far."""
-    frame = pd.DataFrame({name: table.column(name).to_pandas() for name in ("__query", "score", id_col)})
-    ordered = frame.sort_values(["__query", "score", id_col], ascending=[True, False, True])
-    keep = ordered.index[ordered.groupby("__query").cumcount() < k]
+    frame = pd.DataFrame(
+        {
+            "query": table.column("__query").to_numpy(),
+            "score": table.column("score").to_numpy(),
+            "id": _sortable(table.column(id_col)),
+        }
+    )
+    ordered = frame.sort_values(["query", "score", "id"], ascending=[True, False, True])
+    keep = ordered.index[ordered.groupby("query").cumcount() < k]
     return table.take(pa.array(keep.to_numpy()))
 
 
@@ -164,7 +178,7 @@ def _knn_cells(vectors: DataFrame, queries: DataFrame, spec: dict, schema: T.Str
             for begin in range(0, cell.num_rows, SCORE_ROWS):
                 part = cell.slice(begin, SCORE_ROWS)
                 scores = _score(block_matrix, _unit_rows(_matrix(part.column(vector_col), block_matrix.shape[1])))
-                q, rows = _top_pairs(scores, part.column(id_col).to_numpy(), k)
+                q, rows = _top_pairs(scores, _sortable(part.column(id_col)), k)
                 taken = part.select([id_col, *payload]).take(pa.array(rows))
                 found.append(
                     pa.table(
@@ -224,7 +238,7 @@ def knn_cosine(
     else:
         partial = _knn_cells(present, asked, spec, schema)
     order = [F.desc("score"), F.asc(id_col)]
-    return first_rows(partial, [query_id], order, n=k, rank="place")
+    return first_rows(partial, [query_id], order, n=k, rank="place", salt_by=[id_col])
 
 
 def knn_company_filter(
