@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factlake import constants as K
 from factlake.functions.text import float_text, matches_like
@@ -113,6 +114,7 @@ def _knn_shared(vectors: DataFrame, query_ids: list, matrix: np.ndarray, spec: d
     """All queries go to every task; vectors are read once and not shuffled."""
     shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
     k, id_col, vector_col, payload = spec["k"], spec["id"], spec["vector"], spec["payload"]
+    arrow = to_arrow_schema(schema)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, block = shared.value
@@ -131,7 +133,7 @@ def _knn_shared(vectors: DataFrame, query_ids: list, matrix: np.ndarray, spec: d
         if held is not None and held.num_rows:
             names = pa.array(asked).take(held.column("__query").combine_chunks())
             out = held.drop_columns(["__query"]).add_column(0, spec["query_id"], names)
-            yield from out.select(schema.fieldNames()).combine_chunks().to_batches()
+            yield from out.select(arrow.names).cast(arrow).combine_chunks().to_batches()
 
     return vectors.select(id_col, vector_col, *payload).mapInArrow(nearest, schema)
 
@@ -153,6 +155,7 @@ def _best_held(table: pa.Table, id_col: str, k: int) -> pa.Table:
 def _knn_cells(vectors: DataFrame, queries: DataFrame, spec: dict, schema: T.StructType) -> DataFrame:
     """Queries and vectors are cut into blocks of bounded size that meet pairwise."""
     k, id_col, vector_col, payload = spec["k"], spec["id"], spec["vector"], spec["payload"]
+    arrow = to_arrow_schema(schema)
     query_blocks = max(1, -(-queries.count() // CELL_QUERIES))
     vector_blocks = max(1, -(-vectors.count() // CELL_VECTORS))
 
@@ -186,18 +189,11 @@ def _knn_cells(vectors: DataFrame, queries: DataFrame, spec: dict, schema: T.Str
                         | {name: taken.column(name) for name in [id_col, *payload]}
                     )
                 )
-        empty = pa.table({f.name: pa.array([], _arrow_type(f.dataType)) for f in schema.fields})
-        return pa.concat_tables(found).select(schema.fieldNames()) if found else empty
+        return pa.concat_tables(found).select(arrow.names).cast(arrow) if found else arrow.empty_table()
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(nearest, schema)
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def knn_cosine(
     vectors: DataFrame,
     queries: DataFrame,
