@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factlake import constants as K
@@ -91,11 +93,11 @@ def _with_spec(requests: DataFrame) -> DataFrame:
 
 def _period_labels(texts: list[Column]) -> Column:
     """All fiscal labels a period label could name inside the texts; '' stands for any period."""
-    raised = F.upper(F.concat_ws("\n", *texts))
-    longest = F.regexp_extract_all(raised, F.lit("(?=(Q[1-4]FY[0-9]{2}|FY[0-9]{2}[A-Z]?))"), F.lit(1))
-    shorter = F.transform(longest, lambda label: F.when(F.startswith(label, F.lit("F")), F.left(label, F.lit(4))).otherwise(label))
-    found = F.when(F.contains(raised, F.lit("FY")), F.concat(longest, shorter)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), found))
+    raised = [F.upper(text) for text in texts]
+    named = F.concat_ws("\n", *[F.when(F.contains(text, F.lit("FY")), text) for text in raised])
+    longest = F.regexp_extract_all(named, F.lit("(?=(Q[1-4]FY[0-9]{2}|FY[0-9]{2}[A-Z]?))"), F.lit(1))
+    both = F.flatten(F.transform(longest, lambda label: F.array(label, F.rtrim(label, F.lit(ascii_uppercase)))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), both))
 
 
 def _spec_companies(specs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -105,27 +107,15 @@ def _spec_companies(specs: DataFrame, facts: DataFrame) -> DataFrame:
     return by_metric.join(pairs, "company_part")
 
 
-def _finish(
-    asked: DataFrame, specs: DataFrame, facts: DataFrame, heads: DataFrame, by_period: bool, limit: int
-) -> DataFrame:
-    """Join searches with the heads of their metric, keep the first facts, and give them to the requests."""
-    same_period = ["period"] if by_period else []
-    groups = ["period"] if by_period else ["metric_variant", "source_span"]
-    in_period = F.lit(True) if by_period else (
-        (F.col("period") == "")
-        | F.coalesce(matches_part(F.col("metric_variant"), F.col("period")), F.lit(False))
-        | F.coalesce(matches_part(F.col("source_span"), F.col("period")), F.lit(False))
-    )
-    named = _spec_companies(specs, facts).join(heads, ["company", "metric", *same_period])
-    # without a hint the company does not matter: shrink once more across companies
-    anywhere = first_rows(heads, ["metric", *groups], best_first(), n=limit)
-    unnamed = (
-        specs.where(F.col("company_part") == "")
-        .withColumn("metric", F.explode("metrics"))
-        .join(anywhere, ["metric", *same_period])
-    )
+def _unnamed(specs: DataFrame) -> DataFrame:
+    """Searches without a hint, one row per metric."""
+    return specs.where(F.col("company_part") == "").withColumn("metric", F.explode("metrics"))
+
+
+def _give(asked: DataFrame, named: DataFrame, unnamed: DataFrame, limit: int) -> DataFrame:
+    """The first facts of every search, given to each of its requests."""
     columns = [*SPEC, *FACT_COLUMNS, "doc_id"]
-    found = named.where(in_period).select(columns).unionByName(unnamed.where(in_period).select(columns))
+    found = named.select(columns).unionByName(unnamed.select(columns))
     top = first_rows(found, list(SPEC), best_first(), n=limit, rank="place")
     return asked.select("request_id", *SPEC).join(top, list(SPEC)).select("request_id", "place", *FACT_COLUMNS)
 
@@ -137,14 +127,23 @@ def facts_search(facts: DataFrame, requests: DataFrame, limit: int = K.FACT_ROWS
     keys, and its variant or span contains the period label, all without regard
     to case; parts are literal text. No hint or no label means any.
 
-    Facts first shrink to the first ones per company, metric, variant and span:
-    no search can tell the others from them.
+    Hints become company names first, so facts and searches meet on company and
+    metric. For searches without a hint, facts shrink to the first ones per
+    metric, variant and span, whatever the company: no such search can tell the
+    others from them.
     """
     asked = _with_spec(requests)
     specs = asked.select(*SPEC).where(F.size("metrics") > 0).distinct()
     keyed = facts.withColumn("metric", F.lower("metric_key"))
-    heads = first_rows(keyed, ["company", "metric", "metric_variant", "source_span"], best_first(), n=limit)
-    return _finish(asked, specs, facts, heads, False, limit)
+    in_period = (
+        (F.col("period") == "")
+        | F.coalesce(matches_part(F.col("metric_variant"), F.col("period")), F.lit(False))
+        | F.coalesce(matches_part(F.col("source_span"), F.col("period")), F.lit(False))
+    )
+    named = keyed.join(_spec_companies(specs, facts), ["company", "metric"]).where(in_period)
+    anywhere = first_rows(keyed, ["metric", "metric_variant", "source_span"], best_first(), n=limit)
+    unnamed = anywhere.join(_unnamed(specs), "metric").where(in_period)
+    return _give(asked, named, unnamed, limit)
 
 
 def facts_search_labelled(
@@ -152,9 +151,10 @@ def facts_search_labelled(
 ) -> DataFrame:
     """facts_search for requests that name metrics of a list and fiscal period labels.
 
-    Facts shrink to the first ones per company, metric and label before any
-    join, so the work per request does not grow with the facts. Metrics outside
-    the list find nothing; a period that is no fiscal label is an error.
+    Facts shrink to the first ones per company, metric and label before they
+    meet the searches, so the work per request does not grow with the facts.
+    Metrics outside the list find nothing; a period that is no fiscal label is
+    an error.
     """
     vocabulary = sorted({name.lower() for key in metrics for name in K.METRIC_EXPANSION.get(key.lower(), [key])})
     asked = _with_spec(requests)
@@ -180,7 +180,10 @@ def facts_search_labelled(
     )
     wanted = tagged.join(F.broadcast(pairs), ["metric", "period"], "left_semi")
     heads = first_rows(wanted, ["company", "metric", "period"], best_first(), n=limit)
-    return _finish(asked, specs, facts, heads, True, limit)
+    named = heads.join(_spec_companies(specs, facts), ["company", "metric", "period"])
+    anywhere = first_rows(heads, ["metric", "period"], best_first(), n=limit)
+    unnamed = anywhere.join(_unnamed(specs), ["metric", "period"])
+    return _give(asked, named, unnamed, limit)
 
 
 def facts_search_one(

@@ -33,8 +33,7 @@ SCORE_ROWS = 4096
 
 
 def l2_norm(vector: Column) -> Column:
-    squares = F.transform(vector, lambda x: x.cast("double") * x.cast("double"))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
 
 
 def normalize_l2(df: DataFrame, vector: str = "embedding") -> DataFrame:
