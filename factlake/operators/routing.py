@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factlake import constants as K
 from factlake.functions import questions as Q
 from factlake.functions.text import float_text
+from factlake.operators.conversations import chat_context, last_user_message
 from factlake.operators.search import facts_search_labelled
 
 
@@ -27,6 +28,17 @@ def classify_questions(questions: DataFrame, text: str = "text") -> DataFrame:
     return questions.withColumn("intent", Q.intent_class(F.col(text)))
 
 
+def conversation_questions(conversations: DataFrame) -> DataFrame:
+    """The question to answer per conversation with its context, store and route.
+
+    Conversations without a user message to answer give no row.
+    """
+    asked = last_user_message(conversations).where(F.col("query").isNotNull())
+    in_context = asked.join(chat_context(conversations), "conv_id")
+    routed = route_questions(classify_questions(in_context, "query"), "query")
+    return routed.withColumnsRenamed({"conv_id": "question_id", "query": "text"})
+
+
 # --- answers ------------------------------------------------------------------
 
 

@@ -53,11 +53,18 @@ def names_containing(names: DataFrame, parts: DataFrame, name: str, part: str) -
     An equi join of the parts with all parts of the names: no pair is looked at
     that is not in the result, but for parts longer than KEY_CHARS.
     """
-    keyed_names = names.select(name).distinct().select(name, F.explode(_name_keys(F.col(name))).alias("__key"))
     keyed_parts = (
         parts.select(part).where(F.col(part) != "").distinct()
         .withColumn("__key", F.left(F.lower(part), F.lit(KEY_CHARS)))
     )
+    # at most KEY_CHARS rows, so only parts of asked lengths leave the tasks
+    lengths = keyed_parts.select(F.length("__key").alias("__length")).distinct()
+    keyed_names = (
+        names.select(name).distinct()
+        .select(name, F.explode(_name_keys(F.col(name))).alias("__key"))
+        .withColumn("__length", F.length("__key"))
+        .join(F.broadcast(lengths), "__length", "left_semi")
+    )
     return (
         keyed_parts.join(keyed_names, "__key")
         .where((F.length(part) <= KEY_CHARS) | matches_part(F.col(name), F.col(part)))
@@ -220,3 +227,17 @@ def keyword_search(pages: DataFrame, company: str, keyword: str, limit: int = K.
     """First pages of matching companies that contain the keyword."""
     found = pages.where(matches_like(F.col("company"), company) & matches_like(F.col("text"), keyword))
     return found.orderBy("company", "doc_id", "page_num").limit(limit).select("doc_id", "page_num", "text")
+
+
+def keyword_search_batch(pages: DataFrame, requests: DataFrame, limit: int = K.PAGE_ROWS) -> DataFrame:
+    """keyword_search per request: requests(request_id, company, keyword), both literal text."""
+    asked = requests.withColumns({"company_part": F.lower("company"), "keyword": F.lower("keyword")})
+    names = names_containing(pages.select("company"), asked.select("company_part"), "company", "company_part")
+    searches = asked.select("company_part", "keyword").distinct().join(names, "company_part")
+    found = pages.select("company", "doc_id", "page_num", "text").join(searches, "company")
+    hits = found.where(F.contains(F.lower("text"), F.col("keyword")))
+    order = [F.asc("company"), F.asc("doc_id"), F.asc("page_num")]
+    top = first_rows(hits, ["company_part", "keyword"], order, n=limit, rank="place").drop("company")
+    return asked.select("request_id", "company_part", "keyword").join(top, ["company_part", "keyword"]).select(
+        "request_id", "place", "doc_id", "page_num", "text"
+    )

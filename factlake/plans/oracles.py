@@ -293,6 +293,18 @@ def _bind(sql: str, **args: str) -> str:
     return sql.replace("v_facts_best", "best").replace("FROM entities", "FROM entities_fx")
 
 
+CONTEXTS = f"""
+SELECT conv_id, coalesce(right(string_agg(line, chr(10) ORDER BY turn), {K.CONTEXT_CHARS}), '') AS context
+FROM (SELECT conv_id, turn, CASE WHEN body <> '' THEN coalesce(role, 'user') || ': ' || body END AS line
+      FROM (SELECT *, {_strip("coalesce(text, '')")} AS body FROM conversations))
+GROUP BY conv_id"""
+
+LAST_QUERIES = f"""
+SELECT c.conv_id, nullif({_strip('u.text')}, '') AS query
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN
+  (SELECT conv_id, text FROM conversations WHERE lower(role) = 'user'
+   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) u ON c.conv_id = u.conv_id"""
+
 ORACLES: dict[str, str] = {
     "discover_files": (
         "SELECT regexp_extract(file, '[^/]+$') AS file_name FROM glob('/root/testdata/sf0.01/*.parquet')"
@@ -532,6 +544,20 @@ FROM order_documents_fx d LEFT JOIN (SELECT doc_id, count(*) AS n FROM facts_fx
 ORDER BY company, doc_id, page_num LIMIT {K.PAGE_ROWS}""",
         "raw_pages_fx",
     ),
+    "keyword_search_batch": _with(
+        f"""asked AS (
+  SELECT DISTINCT request_id, lower(company) AS part, keyword FROM (
+    SELECT source || '/' || lang AS request_id, source AS company,
+           CASE lang WHEN 'fr' THEN 'ment' WHEN 'de' THEN 'ung' ELSE 'th' END AS keyword FROM documents
+    UNION ALL
+    SELECT lang, 'S', CASE lang WHEN 'fr' THEN 'ment' WHEN 'de' THEN 'ung' ELSE 'th' END FROM documents)
+) =>
+SELECT a.request_id, CAST(row_number() OVER (PARTITION BY a.request_id ORDER BY p.company, p.doc_id, p.page_num) AS INT) AS place,
+       p.doc_id, p.page_num, p.text
+FROM asked a JOIN raw_pages_fx p ON contains(lower(p.company), a.part) AND contains(lower(p.text), a.keyword)
+QUALIFY place <= {K.PAGE_ROWS}""",
+        "raw_pages_fx",
+    ),
     "sql_period_fuzzy": _with(
         f"""{BEST} => SELECT company, metric_key, metric_variant, value, unit FROM best
 WHERE metric_variant ILIKE '%FY98%'""",
@@ -576,16 +602,18 @@ SELECT question_id, CASE WHEN regexp_matches(text, '{K.FACT_INTENT_PATTERN}') TH
 FROM texts""",
         "questions_fx",
     ),
-    "chat_context": f"""
-SELECT conv_id, coalesce(right(string_agg(line, chr(10) ORDER BY turn), {K.CONTEXT_CHARS}), '') AS context
-FROM (SELECT conv_id, turn, CASE WHEN body <> '' THEN coalesce(role, 'user') || ': ' || body END AS line
-      FROM (SELECT *, {_strip("coalesce(text, '')")} AS body FROM conversations))
-GROUP BY conv_id""",
-    "last_user_message": f"""
-SELECT c.conv_id, nullif({_strip('u.text')}, '') AS query
-FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN
-  (SELECT conv_id, text FROM conversations WHERE lower(role) = 'user'
-   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) u ON c.conv_id = u.conv_id""",
+    "chat_context": CONTEXTS,
+    "last_user_message": LAST_QUERIES,
+    "conversation_questions": _with(
+        f"""contexts AS ({CONTEXTS}), last_queries AS ({LAST_QUERIES}), texts AS (
+  SELECT conv_id AS question_id, query AS text FROM last_queries WHERE query IS NOT NULL
+), {NAMES} =>
+SELECT n.question_id, n.text, c.context,
+       CASE WHEN regexp_matches(n.text, '{K.FACT_INTENT_PATTERN}') THEN 'facts' ELSE 'vector' END AS intent,
+       CASE WHEN len(metrics) > 0 THEN 'facts_sql' ELSE 'unknown' END AS tool,
+       array_to_string(metrics, '|') AS metric_keys, company_hint, period_label
+FROM named n JOIN contexts c ON n.question_id = c.conv_id"""
+    ),
     "answer_questions": _with(
         f"""{QUESTION_TEXTS}, {NAMES}, {FOUND}, {LINES} =>
 SELECT n.question_id, CASE WHEN w.question_id IS NULL THEN 'unknown' ELSE 'ok' END AS status,

@@ -408,6 +408,19 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_search(view(spark, sf_dir, "raw_pages_fx"), "s", "tion")
 
 
+@query
+def keyword_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per source for a word part of its language, and one over all sources per language."""
+    word = "CASE lang WHEN 'fr' THEN 'ment' WHEN 'de' THEN 'ung' ELSE 'th' END"
+    texts = table(spark, sf_dir, "documents")
+    by_source = texts.select(
+        F.concat_ws("/", "source", "lang").alias("request_id"), F.col("source").alias("company"), F.expr(word).alias("keyword")
+    )
+    by_lang = texts.select(F.col("lang").alias("request_id"), F.lit("S").alias("company"), F.expr(word).alias("keyword"))
+    requests = by_source.unionByName(by_lang).distinct()
+    return search.keyword_search_batch(view(spark, sf_dir, "raw_pages_fx"), requests)
+
+
 @query
 def sql_period_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = facts.facts_best(view(spark, sf_dir, "facts_fx"))
@@ -502,6 +515,12 @@ def last_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.last_user_message(table(spark, sf_dir, "conversations"))
 
 
+@query
+def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = routing.conversation_questions(table(spark, sf_dir, "conversations"))
+    return asked.withColumn("metric_keys", _joined(F.col("metric_keys")))
+
+
 @query
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.answer_questions(view(spark, sf_dir, "facts_fx"), view(spark, sf_dir, "questions_fx"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -45,19 +44,23 @@ def local_session(cores: int | str = 8, app: str = "factlake", memory: str = "8g
     return configure(spark)
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
     Only a local session may fall back to a folder of this machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    folder = os.path.join(tempfile.gettempdir(), f"factlake-{uuid.uuid4().hex}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="factlake-")
+    return _local_folders[context.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

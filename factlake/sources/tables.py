@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factlake.operators.chunks import chunk_rows
-from factlake.operators.documents import accepted, rejected, validate_facts
+from factlake.operators.documents import accepted, rejected, validate_facts, validate_pages
 from factlake.operators.vectors import embed_terms, index_manifest, normalize_l2
 
 
@@ -28,6 +28,14 @@ def append_facts(facts: DataFrame, path: str, rejects_path: str | None = None) -
         rejected(checked).write.mode("append").parquet(rejects_path)
 
 
+def append_pages(pages: DataFrame, path: str, rejects_path: str | None = None) -> None:
+    """Append the page texts that satisfy the table's rules; keep the others aside."""
+    checked = validate_pages(pages)
+    accepted(checked).write.mode("append").parquet(path)
+    if rejects_path:
+        rejected(checked).write.mode("append").parquet(rejects_path)
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """Chunks and their vectors as one table."""
     index.write.mode("overwrite").parquet(path)

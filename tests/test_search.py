@@ -107,3 +107,17 @@ def test_keyword(spark):
         "doc_id string, page_num int, text string, company string",
     )
     assert [r.page_num for r in S.keyword_search(pages, "acme", "COPPER").collect()] == [1, 3, 5, 7, 9]
+
+
+def test_keyword_batch_like_single_searches(spark):
+    pages = spark.createDataFrame(
+        [(f"d{i % 4}", i, f"{'Copper' if i % 3 else 'Zinc'} and {i}", ("Acme", "ACME two", "Beta")[i % 3]) for i in range(60)],
+        "doc_id string, page_num int, text string, company string",
+    )
+    asked = [("1", "acme", "copper"), ("2", "BETA", "zinc"), ("3", "a", "1"), ("4", "two", "ZINC"), ("5", "none", "a"), ("6", "acme", "COPPER")]
+    got = {}
+    batch = S.keyword_search_batch(pages, spark.createDataFrame(asked, "request_id string, company string, keyword string"))
+    for r in sorted(batch.collect(), key=lambda r: r.place):
+        got.setdefault(r.request_id, []).append((r.doc_id, r.page_num))
+    for request_id, company, keyword in asked:
+        assert got.get(request_id, []) == [(r.doc_id, r.page_num) for r in S.keyword_search(pages, company, keyword).collect()]
