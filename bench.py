@@ -24,11 +24,10 @@ HEADLINE = [
     "facts_search",
     "answer_questions",
     "extract_to_facts",
-    "flatten_fields",
+    "flatten_facts",
     "drop_last_page",
     "facts_replace_by_doc",
     "documents_upsert",
-    "route_questions",
     "chat_context",
     "chunk_rows",
     "embed_chunks",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factlake import constants as K
+from factlake import constants as K, schemas
 from factlake.functions import metrics as M
 from factlake.functions.text import float_text, strip_space
-from factlake.operators.documents import doc_id
+from factlake.operators.documents import doc_id, file_stem
 
 # Text around the JSON object.
 FENCE_PATTERN = r"(?si)^```(?:json)?\s*(.*?)\s*```$"
@@ -152,6 +152,30 @@ def extraction_documents(extractions: DataFrame, company_hint: str | None = None
     return document_rows(describe(parse_extraction(extractions), hint=hint))
 
 
+def extraction_payloads(extractions: DataFrame, company_hint: str | None = None) -> DataFrame:
+    """What the extraction cache keeps per document: cache_key and payload with its facts.
+
+    The facts of one document come from one text, so a group is as small as that.
+    """
+    hint = F.col(company_hint) if company_hint else None
+    described = describe(parse_extraction(extractions), hint=hint)
+    facts = flatten_facts(described.select("doc_id", "company", "unit_hint", "doc"))
+    cached = F.struct(*[F.col(name) for name in schemas.CACHED_FACT.fieldNames()])
+    lists = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(cached)).alias("facts"))
+    payload = F.struct(
+        "doc_id",
+        "company",
+        "page_count",
+        "source_path",
+        F.coalesce("facts", F.array().cast(schemas.EXTRACTION_CACHE["facts"].dataType)).alias("facts"),
+    )
+    return (
+        document_rows(described)
+        .join(lists, "doc_id", "left")
+        .select(file_stem(F.col("source_path")).alias("cache_key"), payload.alias("payload"))
+    )
+
+
 def field_text(content: Column) -> Column:
     """Field content as text; fractions in shortest form, arrays and objects as JSON."""
     kind = F.schema_of_variant(content)

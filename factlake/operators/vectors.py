@@ -282,8 +282,11 @@ def index_manifest(index: DataFrame, embed_model: str, source: str, vector: str
     )
 
 
-def snippet_context(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """Context texts per query from its first hits (place, company, page_num, text, score)."""
+def snippet_context(hits: DataFrame, queries: DataFrame | None = None, query_id: str = "query_id") -> DataFrame:
+    """Context texts per query from its first hits (place, company, page_num, text, score).
+
+    With `queries`, those without a hit get a text that says so.
+    """
     page = F.concat(F.lit("p."), F.col("page_num").cast("string"))
     snippet = F.concat(F.lit("["), "company", F.lit("] ("), page, F.lit(") "), "text")
     scored = F.concat("text", F.lit("  [score="), float_text(F.col("score")), F.lit("]"))
@@ -293,11 +296,16 @@ def snippet_context(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
     lines = first.groupBy(query_id).agg(
         F.array_sort(F.collect_list(F.struct("place", snippet.alias("snippet"), piped.alias("piped")))).alias("ls")
     )
-    return lines.select(
+    texts = lines.select(
         query_id,
         F.array_join("ls.snippet", "\n\n").alias("context"),
         F.array_join("ls.piped", "\n").alias("rows_text"),
     )
+    if queries is None:
+        return texts
+    return queries.select(query_id).join(texts, query_id, "left").fillna(
+        {"context": K.MSG_NO_HITS, "rows_text": K.MSG_NO_ROWS}
+    )
 
 
 def facts_else_vector(

@@ -390,6 +390,7 @@ UNION ALL SELECT company, metric_key, source_page, value, unit FROM extracted"""
         "extraction_fx",
     ),
     "incremental_ingest": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
+    "extraction_cache": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
     "parse_extraction": _with(
         f"""{PARSED} =>
 SELECT path, CASE WHEN doc IS NULL THEN 'fail' ELSE 'ok' END AS parse_status,

@@ -123,6 +123,14 @@ def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.cache_merge(requests, cache, texts.withColumnRenamed("raw", "payload"))
 
 
+@query
+def extraction_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by way of the cache table: extract, keep, read back."""
+    path = work_path(spark, "cache")
+    files.write_extraction_cache(extraction.extraction_payloads(view(spark, sf_dir, "extraction_fx")), path)
+    return files.cached_facts(files.read_extraction_cache_table(spark, path))
+
+
 @query
 def facts_validated_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "facts_fx").withColumns(

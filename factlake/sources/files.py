@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factlake import schemas
 from factlake.operators.documents import file_stem
@@ -74,6 +74,16 @@ def read_extraction_cache(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(stem.alias("cache_key"), F.struct(*schemas.EXTRACTION_CACHE.fieldNames()).alias("payload"))
 
 
+def write_extraction_cache(payloads: DataFrame, path: str) -> None:
+    """Append extractions to a cache table: JSON lines with cache_key and payload."""
+    payloads.write.mode("append").json(path)
+
+
+def read_extraction_cache_table(spark: SparkSession, path: str) -> DataFrame:
+    layout = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("payload", schemas.EXTRACTION_CACHE)])
+    return spark.read.schema(layout).json(path)
+
+
 def cached_facts(cache: DataFrame) -> DataFrame:
     """Fact rows of cached extractions."""
     return cache.select(F.explode("payload.facts").alias("f")).select(

@@ -3,7 +3,7 @@ import random
 from factlake.operators import chunks as C
 
 
-def reference_chunks(text):
+def plain_chunks(text):
     """Windows by a plain loop over the cleaned text."""
     if len(text) <= 800:
         return [text]
@@ -36,7 +36,7 @@ def test_chunks_like_plain_loop(spark):
 
     cleaned = [re.sub(r"[ \t]+", " ", t).strip() for t in texts]
     got = chunked(spark, texts)
-    assert got == [reference_chunks(t) for t in cleaned]
+    assert got == [plain_chunks(t) for t in cleaned]
     assert max(len(c) for cs in got for c in cs) <= 800
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from factlake import schemas
-from factlake.operators import vectors as V
+from factlake.operators import documents, extraction, vectors as V
 from factlake.sources import files, tables
 from facts_data import facts
 
@@ -39,6 +39,30 @@ def test_cache_files(spark, tmp_path):
     assert rows.columns == schemas.FACT_COLUMNS and rows.count() == 2
 
 
+def test_cache_table(spark, tmp_path):
+    raws = [("/in/a.pdf", '{"document_meta":{"company":"Acme"},"page_1":{"s":{"x_pct":1,"y":true}}}'), ("/in/b.pdf", "{}"), ("/in/c.pdf", "-")]
+    extractions = spark.createDataFrame(raws, schemas.EXTRACTIONS)
+    payloads = extraction.extraction_payloads(extractions)
+    got = {r.cache_key: (r.payload.company, r.payload.source_path, len(r.payload.facts)) for r in payloads.collect()}
+    assert got == {"a": ("Acme", "/in/a.pdf", 2), "b": ("Unknown", "/in/b.pdf", 0)}
+    files.write_extraction_cache(payloads, f"{tmp_path}/cache")
+    cache = files.read_extraction_cache_table(spark, f"{tmp_path}/cache")
+    rows = files.cached_facts(cache)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, extraction.extract_to_facts(extractions).collect()))
+    requests = spark.createDataFrame([("/x/a.pdf", False), ("/x/c.pdf", False)], "path string, force boolean")
+    assert [r.path for r in documents.cache_misses(requests, cache).collect()] == ["/x/c.pdf"]
+
+
+def test_append_pages(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("d", "1", "t", "c", "/p"), ("d", "x", "t", "c", "/p"), ("d", "2", None, "c", "/p")],
+        ", ".join(f"{n} string" for n in schemas.RAW_PAGES.fieldNames()),
+    )
+    tables.append_pages(rows, f"{tmp_path}/p", f"{tmp_path}/r")
+    assert [r.page_num for r in spark.read.schema(schemas.RAW_PAGES).parquet(f"{tmp_path}/p").collect()] == [1]
+    assert sorted(r.reject_reason for r in spark.read.parquet(f"{tmp_path}/r").collect()) == ["page_num is missing", "text is missing"]
+
+
 def test_entities(spark, tmp_path):
     (tmp_path / "e.csv").write_text("Company, INDUSTRY,Ticker\nAcme,Banks,A\n")
     assert files.read_entities(spark, str(tmp_path / "e.csv")).first().asDict()["industry"] == "Banks"

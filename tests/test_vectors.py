@@ -113,6 +113,9 @@ def test_snippets(spark):
     r = V.snippet_context(hits).first()
     assert r.context == "\n\n".join(f"[Acme] (p.{i}) t{i}" for i in (1, 3, 5, 7))
     assert r.rows_text.split("\n")[1] == f"Acme | p.3 | t3  [score={1 / 3}]"
+    asked_ids = spark.createDataFrame([(1,), (2,)], "query_id int")
+    got = {r.query_id: (r.context, r.rows_text) for r in V.snippet_context(hits, asked_ids).collect()}
+    assert got[1][0] == r.context and got[2] == ("No matching data found.", "No rows.")
 
 
 def test_fall_through(spark):
