@@ -390,6 +390,11 @@ UNION ALL SELECT company, metric_key, source_page, value, unit FROM extracted"""
         "extraction_fx",
     ),
     "incremental_ingest": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
+    "incremental_pages": _with(
+        f"""SELECT sha1(source_path) AS doc_id, page_num, {_lines('text')} AS text, doc_id AS company, source_path
+FROM (SELECT * FROM raw_pages_fx QUALIFY page_num < max(page_num) OVER (PARTITION BY doc_id))""",
+        "raw_pages_fx",
+    ),
     "extraction_cache": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
     "parse_extraction": _with(
         f"""{PARSED} =>

@@ -53,19 +53,17 @@ def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.doc_identity(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
-def _paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paged(texts: DataFrame, *columns: Column | str) -> DataFrame:
     page_total = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 2000.0)).cast("int")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.transform(
-            F.sequence(F.lit(0), page_total - 1), lambda p: F.substring("text", p * 2000 + 1, F.lit(2000))
-        ).alias("pages"),
+    pages = F.transform(
+        F.sequence(F.lit(0), page_total - 1), lambda p: F.substring("text", p * 2000 + 1, F.lit(2000))
     )
+    return texts.select(*columns, pages.alias("pages"))
 
 
 @query
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.page_text(_paged_documents(spark, sf_dir))
+    return documents.page_text(_paged(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 @query
@@ -206,6 +204,27 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.current_facts(spark, path)
 
 
+@query
+def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "pages")
+    name = F.concat(F.lit("/corpus/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+    def write(batch: DataFrame, batch_id: int, target: str) -> None:
+        ingest.write_page_batch(batch, batch_id, target, ignore_last_page=True)
+
+    ingest.incremental_ingest(
+        spark,
+        sf_dir,
+        path,
+        f"{path}/checkpoint",
+        schema=table(spark, sf_dir, "documents").schema,
+        prepare=lambda rows: _paged(rows, name.alias("path")),
+        file_pattern="documents.parquet",
+        write=write,
+    ).awaitTermination()
+    return ingest.current_pages(spark, path)
+
+
 # --- extraction ---------------------------------------------------------------
 
 

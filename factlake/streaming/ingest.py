@@ -16,11 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from factlake import schemas
+from factlake.operators.documents import doc_identity, drop_last_page, page_counts, page_text
 from factlake.operators.extraction import describe, document_rows, flatten_facts, parse_extraction
 from factlake.operators.ranking import first_rows
 
 DOCUMENT_LOG = StructType(list(schemas.DOCUMENTS.fields)).add("batch_id", "long")
-FACT_LOG = StructType(list(schemas.FACTS.fields)).add("batch_id", "long")
 
 
 def write_batch(extractions: DataFrame, batch_id: int, target: str) -> None:
@@ -37,6 +37,26 @@ def write_batch(extractions: DataFrame, batch_id: int, target: str) -> None:
         described.unpersist()
 
 
+def write_page_batch(files: DataFrame, batch_id: int, target: str, ignore_last_page: bool = False) -> None:
+    """Documents and page texts of one batch: files(path, pages), pages an array of texts."""
+    order = [F.desc("arrived_at")] if "arrived_at" in files.columns else [F.desc("pages")]
+    named = doc_identity(first_rows(files, ["path"], order).select("path", "pages")).withColumnRenamed("path", "source_path")
+    pages = page_text(named.select("doc_id", "company", "source_path", "pages"))
+    kept = drop_last_page(pages) if ignore_last_page else pages
+    kept.select(schemas.RAW_PAGES.fieldNames()).write.mode("overwrite").parquet(f"{target}/pages/batch_id={batch_id}")
+    written = files.sparkSession.read.schema(schemas.RAW_PAGES).parquet(f"{target}/pages/batch_id={batch_id}")
+    documents = named.join(page_counts(written), "doc_id", "left").select(
+        "doc_id",
+        "company",
+        F.lit(None).cast("string").alias("ticker"),
+        F.lit(None).cast("string").alias("industry"),
+        F.lit(None).cast("string").alias("report_date"),
+        "source_path",
+        F.coalesce("page_count", F.lit(0)).alias("page_count"),
+    )
+    documents.write.mode("overwrite").parquet(f"{target}/documents/batch_id={batch_id}")
+
+
 def incremental_ingest(
     spark: SparkSession,
     source: str,
@@ -46,10 +66,12 @@ def incremental_ingest(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     files_per_batch: int = 1000,
     file_pattern: str = "*.parquet",
+    write: Callable[[DataFrame, int, str], None] = write_batch,
 ) -> StreamingQuery:
     """Ingest the files that are new since the last run, then stop.
 
-    `prepare` turns the file rows into extractions(path, raw).
+    `prepare` turns the file rows into what `write` takes: extractions(path, raw)
+    for write_batch, files(path, pages) for write_page_batch.
     """
     rows = (
         spark.readStream.schema(schema)
@@ -57,13 +79,13 @@ def incremental_ingest(
         .option("pathGlobFilter", file_pattern)
         .parquet(source)
     )
-    extractions = prepare(rows) if prepare else rows
+    arrived = prepare(rows) if prepare else rows
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, target)
+    def write_to_target(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id, target)
 
     return (
-        extractions.writeStream.foreachBatch(write)
+        arrived.writeStream.foreachBatch(write_to_target)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -76,15 +98,25 @@ def current_documents(spark: SparkSession, target: str) -> DataFrame:
     return first_rows(log, ["doc_id"], [F.desc("batch_id")])
 
 
-def current_facts(spark: SparkSession, target: str) -> DataFrame:
-    """Facts of the newest version of every document.
+def _current(spark: SparkSession, target: str, name: str, schema: StructType) -> DataFrame:
+    """Rows of the newest version of every document.
 
-    The facts pass by the list of replaced versions, which holds only documents
+    The rows pass by the list of replaced versions, which holds only documents
     that came more than once.
     """
     log = spark.read.schema(DOCUMENT_LOG).parquet(f"{target}/documents").select("doc_id", "batch_id")
     newest = log.groupBy("doc_id").agg(F.max("batch_id").alias("newest"), F.count("*").alias("versions"))
     again = newest.where("versions > 1").select("doc_id", "newest")
     replaced = log.join(again, "doc_id").where("batch_id < newest").select("doc_id", "batch_id")
-    facts = spark.read.schema(FACT_LOG).parquet(f"{target}/facts")
-    return facts.join(replaced, ["doc_id", "batch_id"], "left_anti").select(schemas.FACT_COLUMNS)
+    rows = spark.read.schema(StructType(list(schema.fields)).add("batch_id", "long")).parquet(f"{target}/{name}")
+    return rows.join(replaced, ["doc_id", "batch_id"], "left_anti").select(schema.fieldNames())
+
+
+def current_facts(spark: SparkSession, target: str) -> DataFrame:
+    """Facts of the newest version of every document."""
+    return _current(spark, target, "facts", schemas.FACTS)
+
+
+def current_pages(spark: SparkSession, target: str) -> DataFrame:
+    """Page texts of the newest version of every document."""
+    return _current(spark, target, "pages", schemas.RAW_PAGES)

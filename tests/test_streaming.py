@@ -41,3 +41,23 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     for _ in range(2):
         I.write_batch(batch, 7, f"{tmp_path}/out")
         assert sorted(r.value for r in I.current_facts(spark, f"{tmp_path}/out").collect()) == [1.0, 2.0]
+
+
+def test_pages(spark, tmp_path):
+    def put_pages(name, *rows):
+        spark.createDataFrame(list(rows), "path string, pages array<string>").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run_pages():
+        I.incremental_ingest(
+            spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/checkpoint",
+            schema=spark.createDataFrame([], "path string, pages array<string>").schema,
+            write=lambda batch, n, target: I.write_page_batch(batch, n, target, ignore_last_page=True),
+        ).awaitTermination()
+        pages = sorted((r.company, r.page_num, r.text) for r in I.current_pages(spark, f"{tmp_path}/out").collect())
+        counts = {r.company: r.page_count for r in I.current_documents(spark, f"{tmp_path}/out").collect()}
+        return pages, counts
+
+    put_pages("a", ("/in/Acme_Q1.pdf", ["one  ", "two", "last"]), ("/in/b.pdf", ["only"]))
+    assert run_pages() == ([("Acme Q1", 1, "one"), ("Acme Q1", 2, "two")], {"Acme Q1": 2, "b": 0})
+    put_pages("b", ("/in/Acme_Q1.pdf", ["new", "last"]), ("/in/b.pdf", ["x", "y"]))
+    assert run_pages() == ([("Acme Q1", 1, "new"), ("b", 1, "x")], {"Acme Q1": 1, "b": 1})
