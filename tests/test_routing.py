@@ -17,11 +17,11 @@ def test_period(values):
 
 def test_company(values):
     texts = [
-        'What is "Acme Ltd" revenue?', "the 'Beta' plan", "What is Hindalco revenue in FY24?", "what is it", "How", "Tell",
+        'What is "Acme Ltd" revenue?', "the 'Beta' plan", "What is Acme revenue in FY24?", "what is it", "How", "Tell",
         "Acme & Zeta Corp rose", "Aa Bb, Cc Dd", '" Padded "', "no capitals", "Apple",
     ]
     assert values(Q.question_company, texts) == [
-        "Acme Ltd", "Beta", "What is Hindalco revenue in FY", None, None, None,
+        "Acme Ltd", "Beta", "What is Acme revenue in FY", None, None, None,
         "Acme & Zeta Corp rose", "Aa Bb", "Padded", None, "Apple",
     ]
 
