@@ -5,24 +5,82 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factlake.llm import ngram_jaccard, token_counts
+from factlake.llm import (
+    chunk_dedup,
+    hamming,
+    langid,
+    lattice,
+    mixing,
+    ngram_jaccard,
+    pieces,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from factlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, lexicon).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.language(docs.drop("lang"), langid.fit(docs))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.fit(secret_scan.labelled_strings(docs))
+    return secret_scan.span_digests(secret_scan.secrets(docs, model)).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path(PIECE_MODEL))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wanted = ("ids_sha256", "decoded_sha256", "n_covered")
+    return pieces.encode_pieces(docs, public_tokenizers.path(PIECE_MODEL), outputs=wanted)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_lattice_near_dups": op3_lattice_near_dups,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_multi_index_hashing": op5_multi_index_hashing,
+    "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLES = {
@@ -51,5 +109,57 @@ WITH RECURSIVE texts AS (
 )
 SELECT sizes.doc_id, CAST(n AS BIGINT) AS n_shingles, min(other) AS component_id
 FROM sizes JOIN reach USING (doc_id) GROUP BY 1, 2
+""",
+    "op2_mix_sources": r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('7:' || doc_id) AS k
+  FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY 1
+), weighed AS (
+  SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
+    (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w
+  FROM sizes
+), levels AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER f, 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level,
+    row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS nth
+  FROM weighed
+  WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), plan AS (
+  SELECT source, source_size, least(cap, w * (SELECT arg_min(level, nth) FROM levels WHERE level <= cap / w)) AS target
+  FROM levels
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM plan
+), placed AS (
+  SELECT doc_id, size, source_size, target, whole,
+    CAST(floor(target - whole * source_size + 1e-6) AS BIGINT) AS rest,
+    coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY substr(k, 1, 15), doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs JOIN parts ON docs.source IS NOT DISTINCT FROM parts.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM placed
+""",
+    "op3_lattice_near_dups": """
+WITH RECURSIVE units AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM units a JOIN units b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.y FROM reach JOIN links ON links.x = reach.other
+), counts AS (
+  SELECT x, count(*) AS n FROM links GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
+FROM reach LEFT JOIN counts ON x = vec_id GROUP BY vec_id
 """,
 }
