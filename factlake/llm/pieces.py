@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from factlake.llm.common import text_slices
 
@@ -17,13 +17,13 @@ BLANK = "▁".encode()
 
 # What may be asked for, with its type in Spark and in Arrow.
 OUTPUTS = {
-    "ids": ("array<int>", pa.list_(pa.int32())),
-    "begins": ("array<int>", pa.list_(pa.int32())),
-    "ends": ("array<int>", pa.list_(pa.int32())),
-    "decoded": ("string", pa.string()),
-    "ids_sha256": ("string", pa.string()),
-    "decoded_sha256": ("string", pa.string()),
-    "n_covered": ("bigint", pa.int64()),
+    "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+    "begins": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+    "ends": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+    "decoded": (T.StringType(), pa.string()),
+    "ids_sha256": (T.StringType(), pa.string()),
+    "decoded_sha256": (T.StringType(), pa.string()),
+    "n_covered": (T.LongType(), pa.int64()),
 }
 
 
@@ -226,7 +226,7 @@ def encode_pieces(
 
     kept = [c for c in docs.columns if c not in (text, *names)]
     rows = docs.select(*kept, F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("n_tokens", "bigint")
+    schema = rows.drop("__text").schema.add("n_tokens", T.LongType())
     for name in outputs:
         schema = schema.add(name, OUTPUTS[name][0])
     return rows.mapInArrow(run, schema)
