@@ -96,12 +96,12 @@ WITH RECURSIVE texts AS (
   FROM texts
 ), sizes AS (
   SELECT t.doc_id, count(s) AS n FROM texts t LEFT JOIN sets USING (doc_id) GROUP BY 1
-), overlaps AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
   FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM overlaps JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
-  WHERE 100 * both >= 75 * (a.n + b.n - both)
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * n_both >= 75 * (a.n + b.n - n_both)
 ), reach AS (
   SELECT doc_id, doc_id AS other FROM sizes
   UNION

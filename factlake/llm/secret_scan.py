@@ -23,11 +23,20 @@ ASSIGN_CHARS = 8
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CLASS = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{_CLASS}){_CLASS}{{20,}}+"
-ORDINARY = rf"(?<!{_CLASS}){_CLASS}{{4,}}+"
+# Ordinary strings: parts of letters, each with up to four digits behind it, and plain numbers.
+_PART = "(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)"
+ORDINARY = rf"(?<!{_CLASS})(?=[A-Za-z0-9+/_=-]{{4,64}}(?!{_CLASS})){_PART}(?:[+/_=-]{_PART})*(?!{_CLASS})"
 
 # A candidate is a secret if the models differ by this many nats per step and in all.
 PER_STEP = 0.7
 IN_ALL = 14.0
+MOST = 3.0
+# It also holds this many different characters.
+DIFFERENT = 8
+
+# Strings that the smoothing of each row of a model is worth.
+RANDOM_PRIOR = 2000.0
+ORDINARY_PRIOR = 50.0
 
 # The bounded sample of documents that the labelled strings come from.
 SAMPLE_DOCS = 2000
@@ -74,7 +83,7 @@ def labelled_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """(value, random): strings from a seeded sample of at most SAMPLE_DOCS documents.
 
     Random ones are what the patterns find and encoded digests of the ids; ordinary ones are the
-    other runs of identifier characters in the texts.
+    other identifiers in the texts (ORDINARY).
     """
     ids = stored(
         docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct()
@@ -101,7 +110,8 @@ def fit(strings: DataFrame) -> list[float]:
 
     `strings` has (value, random). Pairs are counted by Spark; at most two tables of
     characters by characters reach the driver. Each row of a model is smoothed: the random one
-    towards all characters alike, the ordinary one lightly.
+    towards all characters alike, the ordinary one towards how frequent the characters are. No
+    step counts more than MOST.
     """
     pairs = F.explode(
         F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
@@ -118,14 +128,21 @@ def fit(strings: DataFrame) -> list[float]:
     tables = {True: [[0.0] * size for _ in ALPHABET], False: [[0.0] * size for _ in ALPHABET]}
     for row in counts:
         tables[row["random"]][ALPHABET.index(row["pair"][0])][ALPHABET.index(row["pair"][1])] += row["n"]
-    weight = {True: float(size) * 4, False: 4.0}
+    every = [sum(line[b] for line in tables[False]) for b in range(size)]
+    total = sum(every)
 
     def share(random: bool, a: int, b: int) -> float:
         line = tables[random][a]
-        return (line[b] + weight[random] / size) / (sum(line) + weight[random])
-
-    sums = [[share(True, a, b) / share(False, a, b) for b in range(size)] for a in range(size)]
-    return [round(math.log(x), 6) for line in sums for x in line]
+        if random:
+            return (line[b] + RANDOM_PRIOR / size) / (sum(line) + RANDOM_PRIOR)
+        alone = (every[b] + 1.0 / size) / (total + 1.0)
+        return (line[b] + ORDINARY_PRIOR * alone) / (sum(line) + ORDINARY_PRIOR)
+
+    return [
+        round(max(-MOST, min(MOST, math.log(share(True, a, b) / share(False, a, b)))), 6)
+        for a in range(size)
+        for b in range(size)
+    ]
 
 
 def _ratio(value: Column, model: list[float]) -> Column:
@@ -146,7 +163,8 @@ def _markov_spans(text: Column, base: Column, model: list[float]) -> Column:
     def secret(s: Column) -> Column:
         ratio = _ratio(s["value"], model)
         apart = ~F.exists(base, lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"]))
-        return apart & (ratio >= IN_ALL) & (ratio >= PER_STEP * (F.length(s["value"]) - 1))
+        different = F.size(F.array_distinct(F.split(s["value"], ""))) >= DIFFERENT
+        return apart & different & (ratio >= IN_ALL) & (ratio >= PER_STEP * (F.length(s["value"]) - 1))
 
     return _as(F.filter(_all_matches(text, CANDIDATE), secret), 3)
 
@@ -177,9 +195,10 @@ def secrets(docs: DataFrame, model: list[float], text: str = "text") -> DataFram
 
 def span_digests(scanned: DataFrame) -> DataFrame:
     """n_assign, n_access, n_hex, base_sha256 and spans (kind:begin:end, comma-joined) in place of the arrays."""
+    ranks = F.transform("base", lambda s: s["rank"])
     counts = [
-        F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{kind}")
-        for i, kind in enumerate(KINDS[:3])
+        F.size(F.filter(ranks, lambda rank: rank == F.lit(KINDS.index(kind)))).cast("long").alias(f"n_{kind}")  # noqa: B023
+        for kind in KINDS[:3]
     ]
     return scanned.select(
         *[c for c in scanned.columns if c not in ("base", "found")],
