@@ -2,44 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factlake import constants as K
-from factlake.functions.text import clean_text, matches_like
+from factlake.functions.text import clean_text, matches_like, strip_space
 from factlake.operators.documents import drop_last_page
 
 
-def _pieces(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Windows of `size` characters that end at a late full stop where there is one.
+def _pieces(text: Column, size: int, overlap: int) -> Column:
+    """The texts of the windows, as a fold over a state of where the next one begins.
 
-    The window that reaches the end of the text is the last.
+    The text is cut into blocks of `size` once; a window lies in two of them, so that
+    no step reads more than that, wherever in the text it is.
     """
-    earliest_break = size * K.CHUNK_BREAK_SHARE
-    begin, stop = 0, 0
-    while stop < len(text):
-        limit = min(begin + size, len(text))
-        dot = text.rfind(".", begin, limit)
-        stop = dot if dot - begin >= earliest_break else limit
-        yield text[begin:stop].strip()
-        begin = max(stop - overlap, begin + 1)
-
-
-def _chunker(size: int, overlap: int):
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        def split(text):
-            if text is None:
-                return None
-            if len(text) <= size:
-                return [text]
-            return [piece for piece in _pieces(text, size, overlap) if piece]
-
-        return texts.map(split)
-
-    return chunks
+    earliest = math.ceil(size * K.CHUNK_BREAK_SHARE)
+    total = F.length(text)
+    most_steps = F.floor(total / max(earliest - overlap, 1)).cast("int") + 2
+    blocks = F.split(text, f"(?s)(?<=\\G.{{{size}}})", -1)
+
+    def next_window(state: Column, _: Column) -> Column:
+        here = F.floor(state["at"] / size).cast("int")
+        two = F.concat(F.get(state["blocks"], here), F.coalesce(F.get(state["blocks"], here + 1), F.lit("")))
+        window = F.substring(two, state["at"] - here * size + 1, F.lit(size))
+        from_end = F.instr(F.reverse(window), ".")
+        before_stop = F.when(from_end > 0, F.length(window) - from_end).otherwise(-1)
+        taken = F.when(before_stop >= earliest, before_stop).otherwise(F.length(window))
+        piece = strip_space(F.substring(window, F.lit(1), taken))
+        moved = F.struct(
+            F.greatest(state["at"] + taken - overlap, state["at"] + 1).alias("at"),
+            (state["at"] + taken >= state["total"]).alias("done"),
+            state["total"].alias("total"),
+            state["blocks"].alias("blocks"),
+            F.when(piece != "", F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"),
+        )
+        return F.when(state["done"], state).otherwise(moved)
+
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(False).alias("done"),
+        total.alias("total"),
+        blocks.alias("blocks"),
+        F.array().cast("array<string>").alias("out"),
+    )
+    windows = F.aggregate(F.sequence(F.lit(1), most_steps), start, next_window, lambda state: state["out"])
+    return F.when(total <= size, F.array(text)).otherwise(windows)
 
 
 def chunk_text(
@@ -47,14 +55,14 @@ def chunk_text(
 ) -> DataFrame:
     """One row per chunk of the cleaned text, numbered from 0 in chunk_idx.
 
-    Whole texts go through; the windows depend on each other, which SQL functions
-    can only follow by reading the text from its start again for every window.
+    A window ends before its last full stop, if that is late in it; the next one begins
+    `overlap` characters before that end.
     """
-    cut = _chunker(size, overlap)
     others = [c for c in texts.columns if c != text]
-    return texts.withColumn(text, cut(clean_text(F.col(text)))).select(
-        *others, F.posexplode(text).alias("chunk_idx", text)
-    )
+    cleaned = texts.withColumn(text, clean_text(F.col(text)))
+    # outer: for posexplode, Spark would compute the pieces once more to filter by their number
+    pieces = F.posexplode_outer(_pieces(F.col(text), size, overlap)).alias("chunk_idx", text)
+    return cleaned.select(*others, pieces).where(F.col(text).isNotNull())
 
 
 def chunk_rows(

@@ -18,12 +18,12 @@ def chat_context(conversations: DataFrame) -> DataFrame:
 
     Only the last lines, and of each only its last characters, can be part of
     the result; the rest is dropped before the shuffle, so a conversation of any
-    length is joined from a bounded piece. A turn occurs once per conversation.
+    length is joined from a bounded piece. Lines of one turn come in order of their text.
     """
     spoken = conversations.withColumn("body", strip_space(F.coalesce("text", F.lit("")))).where("body <> ''")
     line = F.concat_ws(": ", F.coalesce("role", F.lit("user")), F.col("body"))
     tails = spoken.select("conv_id", "turn", F.right(line, F.lit(K.CONTEXT_CHARS)).alias("line"))
-    recent = first_rows(tails, ["conv_id"], [F.desc("turn")], n=_CONTEXT_LINES, salt_by=["turn"])
+    recent = first_rows(tails, ["conv_id"], [F.desc("turn"), F.desc("line")], n=_CONTEXT_LINES, salt_by=["turn", "line"])
     joined = recent.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
     context = F.right(F.array_join("lines.line", "\n"), F.lit(K.CONTEXT_CHARS))
     with_text = joined.select("conv_id", context.alias("context"))
@@ -37,6 +37,6 @@ def last_user_message(conversations: DataFrame) -> DataFrame:
     """Newest user turn per conversation; NULL query if there is none or it is blank."""
     by_user = F.lower("role") == "user"
     newest = conversations.groupBy("conv_id").agg(
-        F.max_by(F.when(by_user, F.coalesce("text", F.lit(""))), F.when(by_user, F.col("turn"))).alias("text")
+        F.max(F.when(by_user, F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("last")
     )
-    return newest.select("conv_id", F.nullif(strip_space(F.col("text")), F.lit("")).alias("query"))
+    return newest.select("conv_id", F.nullif(strip_space(F.col("last.text")), F.lit("")).alias("query"))

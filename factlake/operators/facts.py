@@ -64,10 +64,12 @@ def latest_metric(facts: DataFrame, requests: DataFrame) -> DataFrame:
     """Newest fact per request; requests(request_id, company, metric_key, prefer_period).
 
     Facts of the preferred period type come first, else those of any type.
-    Facts shrink to one row per company, metric and period type before they
-    meet the requests.
+    Only facts of a requested company and metric are ranked, and they shrink to one
+    row per company, metric and period type before they meet the requests.
     """
-    newest = first_rows(facts, ["company", "metric_key", "period_type"], newest_first())
+    asked = requests.select("company", "metric_key").distinct()
+    wanted = facts.join(asked, ["company", "metric_key"], "left_semi")
+    newest = first_rows(wanted, ["company", "metric_key", "period_type"], newest_first())
     matched = requests.join(newest, ["company", "metric_key"])
     preferred = F.coalesce(F.col("period_type") == F.col("prefer_period"), F.lit(False))
     chosen = first_rows(matched, ["request_id"], [F.desc(preferred), *newest_first()])

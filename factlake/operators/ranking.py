@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factlake import constants as K
 
 
-# Parts a group is cut into when its first rows are found in two rounds.
-SALTS = 64
-
-
 def first_rows(
     df: DataFrame,
     keys: list,
@@ -27,11 +23,12 @@ def first_rows(
     """The first n rows of every group; `rank` names a column for the place.
 
     With salt_by, groups are first cut into parts by the hash of those columns
-    and the parts finished one by one. That is for n rows from each of very many
-    tasks meeting in one group.
+    and the parts finished one by one, as many as there are shuffle partitions.
+    That is for n rows from each of very many tasks meeting in one group.
     """
     if salt_by:
-        part = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64(*salt_by), F.lit(parts))
         df = first_rows(df.withColumn("__part", part), [*keys, "__part"], order, n).drop("__part")
     name = rank or "__place"
     window = Window.partitionBy(*keys).orderBy(*order)

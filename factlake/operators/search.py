@@ -10,8 +10,7 @@ from factlake import constants as K
 from factlake.functions.text import matches_like, matches_part
 from factlake.operators.ranking import best_first, first_rows
 
-# Longest part that is looked up as a whole; longer parts are looked up by their
-# first characters and then compared in full.
+# Parts are looked up by their first characters, up to this many, and then compared in full.
 KEY_CHARS = 64
 
 FACT_COLUMNS = (
@@ -32,44 +31,29 @@ SPEC = ("company_part", "metrics", "period")
 # --- names that contain a part ------------------------------------------------
 
 
-def _name_keys(name: Column) -> Column:
-    """Every distinct part of the name, up to KEY_CHARS long."""
-    lowered = F.lower(name)
-    size = F.length(lowered)
-    starts = F.sequence(F.lit(1), size)
-    parts = F.transform(
-        starts,
-        lambda start: F.transform(
-            F.sequence(F.lit(1), F.least(size - start + 1, F.lit(KEY_CHARS))),
-            lambda length: F.substring(lowered, start, length),
-        ),
-    )
-    return F.when(size > 0, F.array_distinct(F.flatten(parts)))
-
-
 def names_containing(names: DataFrame, parts: DataFrame, name: str, part: str) -> DataFrame:
     """Pairs (part, name) where the name contains the part, without regard to case.
 
-    An equi join of the parts with all parts of the names: no pair is looked at
-    that is not in the result, but for parts longer than KEY_CHARS.
+    An equi join of the beginnings of the parts with the places of the names, then a
+    comparison in full. Places are read only at lengths that a part has.
     """
     keyed_parts = (
         parts.select(part).where(F.col(part) != "").distinct()
         .withColumn("__key", F.left(F.lower(part), F.lit(KEY_CHARS)))
     )
-    # at most KEY_CHARS rows, so only parts of asked lengths leave the tasks
+    # at most KEY_CHARS rows
     lengths = keyed_parts.select(F.length("__key").alias("__length")).distinct()
-    keyed_names = (
+    lowered, size = F.lower(F.col(name)), F.length(F.lower(F.col(name)))
+    at_length = (
         names.select(name).distinct()
-        .select(name, F.explode(_name_keys(F.col(name))).alias("__key"))
-        .withColumn("__length", F.length("__key"))
+        .where(size > 0)
+        .select(name, F.explode(F.sequence(F.lit(1), F.least(size, F.lit(KEY_CHARS)))).alias("__length"))
         .join(F.broadcast(lengths), "__length", "left_semi")
     )
-    return (
-        keyed_parts.join(keyed_names, "__key")
-        .where((F.length(part) <= KEY_CHARS) | matches_part(F.col(name), F.col(part)))
-        .select(part, name)
-    )
+    places = F.sequence(F.lit(1), size - F.col("__length") + 1)
+    keys = F.array_distinct(F.transform(places, lambda at: F.substring(lowered, at, F.col("__length"))))
+    keyed_names = at_length.select(name, F.explode(keys).alias("__key"))
+    return keyed_parts.join(keyed_names, "__key").where(matches_part(F.col(name), F.col(part))).select(part, name)
 
 
 # --- fact search --------------------------------------------------------------
@@ -119,6 +103,24 @@ def _unnamed(specs: DataFrame) -> DataFrame:
     return specs.where(F.col("company_part") == "").withColumn("metric", F.explode("metrics"))
 
 
+def _first_in_periods(facts: DataFrame, searches: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """First facts per keys and asked period.
+
+    The periods asked for the same keys are one array, so a fact meets one row however many
+    searches there are, and only its matches are unfolded.
+    """
+    periods = searches.groupBy(*keys).agg(F.collect_set("period").alias("periods"))
+    variant, span = F.lower("metric_variant"), F.lower("source_span")
+
+    def names_it(period):
+        part = F.lower(period)
+        named = F.coalesce(F.contains(variant, part), F.lit(False)) | F.coalesce(F.contains(span, part), F.lit(False))
+        return (period == "") | named
+
+    met = facts.join(periods, keys).withColumn("period", F.explode(F.filter("periods", names_it))).drop("periods")
+    return first_rows(met, [*keys, "period"], best_first(), n=limit)
+
+
 def _give(asked: DataFrame, named: DataFrame, unnamed: DataFrame, limit: int) -> DataFrame:
     """The first facts of every search, given to each of its requests."""
     columns = [*SPEC, *FACT_COLUMNS, "doc_id"]
@@ -135,21 +137,18 @@ def facts_search(facts: DataFrame, requests: DataFrame, limit: int = K.FACT_ROWS
     to case; parts are literal text. No hint or no label means any.
 
     Hints become company names first, so facts and searches meet on company and
-    metric. For searches without a hint, facts shrink to the first ones per
-    metric, variant and span, whatever the company: no such search can tell the
-    others from them.
+    metric. Facts shrink to the first ones per company, metric and asked period before
+    they meet the single searches; for searches without a hint, they first shrink to the
+    first ones per metric, variant and span, whatever the company.
     """
     asked = _with_spec(requests)
     specs = asked.select(*SPEC).where(F.size("metrics") > 0).distinct()
     keyed = facts.withColumn("metric", F.lower("metric_key"))
-    in_period = (
-        (F.col("period") == "")
-        | F.coalesce(matches_part(F.col("metric_variant"), F.col("period")), F.lit(False))
-        | F.coalesce(matches_part(F.col("source_span"), F.col("period")), F.lit(False))
-    )
-    named = keyed.join(_spec_companies(specs, facts), ["company", "metric"]).where(in_period)
+    by_company = _spec_companies(specs, facts)
+    heads = _first_in_periods(keyed, by_company, ["company", "metric"], limit)
+    named = heads.join(by_company, ["company", "metric", "period"])
     anywhere = first_rows(keyed, ["metric", "metric_variant", "source_span"], best_first(), n=limit)
-    unnamed = anywhere.join(_unnamed(specs), "metric").where(in_period)
+    unnamed = _first_in_periods(anywhere, _unnamed(specs), ["metric"], limit).join(_unnamed(specs), ["metric", "period"])
     return _give(asked, named, unnamed, limit)
 
 
@@ -187,7 +186,8 @@ def facts_search_labelled(
     )
     wanted = tagged.join(F.broadcast(pairs), ["metric", "period"], "left_semi")
     heads = first_rows(wanted, ["company", "metric", "period"], best_first(), n=limit)
-    named = heads.join(_spec_companies(specs, facts), ["company", "metric", "period"])
+    # companies without such a fact cannot be found, so the names come from the heads too
+    named = heads.join(_spec_companies(specs, heads), ["company", "metric", "period"])
     anywhere = first_rows(heads, ["metric", "period"], best_first(), n=limit)
     unnamed = anywhere.join(_unnamed(specs), ["metric", "period"])
     return _give(asked, named, unnamed, limit)
@@ -234,10 +234,20 @@ def keyword_search_batch(pages: DataFrame, requests: DataFrame, limit: int = K.P
     asked = requests.withColumns({"company_part": F.lower("company"), "keyword": F.lower("keyword")})
     names = names_containing(pages.select("company"), asked.select("company_part"), "company", "company_part")
     searches = asked.select("company_part", "keyword").distinct().join(names, "company_part")
-    found = pages.select("company", "doc_id", "page_num", "text").join(searches, "company")
-    hits = found.where(F.contains(F.lower("text"), F.col("keyword")))
+    per_company = searches.groupBy("company").agg(F.collect_set(F.struct("company_part", "keyword")).alias("asked"))
+    # a page meets one row with all searches on its company; its text stays behind
+    words = F.lower("text")
+    met = F.filter("asked", lambda search: F.contains(words, search["keyword"]))
+    hits = (
+        pages.join(per_company, "company")
+        .select("company", "doc_id", "page_num", F.explode(met).alias("search"))
+        .select("company", "doc_id", "page_num", "search.*")
+    )
     order = [F.asc("company"), F.asc("doc_id"), F.asc("page_num")]
-    top = first_rows(hits, ["company_part", "keyword"], order, n=limit, rank="place").drop("company")
-    return asked.select("request_id", "company_part", "keyword").join(top, ["company_part", "keyword"]).select(
-        "request_id", "place", "doc_id", "page_num", "text"
+    top = first_rows(hits, ["company_part", "keyword"], order, n=limit, rank="place")
+    found = top.join(pages.select("company", "doc_id", "page_num", "text"), ["company", "doc_id", "page_num"])
+    return (
+        asked.select("request_id", "company_part", "keyword")
+        .join(found, ["company_part", "keyword"])
+        .select("request_id", "place", "doc_id", "page_num", "text")
     )

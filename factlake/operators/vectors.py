@@ -5,12 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from factlake import constants as K
 from factlake.functions.text import float_text, matches_like
@@ -20,16 +16,8 @@ from factlake.operators.ranking import first_rows
 # summation does not matter.
 SCORE_DIGITS = 6
 
-# Queries are sent to all tasks only up to this many rows and bytes.
-MAX_SHARED_QUERIES = 4096
-MAX_SHARED_BYTES = 64 * 1024 * 1024
-
-# Beyond that, queries and vectors meet in cells of about this many rows each.
-CELL_QUERIES = 2048
-CELL_VECTORS = 50_000
-
-# Rows whose scores are held at a time.
-SCORE_ROWS = 4096
+# Queries that a task compares with its vectors at a time.
+STRIPE = 256
 
 
 def l2_norm(vector: Column) -> Column:
@@ -47,18 +35,62 @@ def normalize_l2(df: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def embed_terms(
-    df: DataFrame, text: str = "text", vector: str = "embedding", dimensions: int = 256
+def embed_terms(df: DataFrame, text: str = "text", vector: str = "embedding") -> DataFrame:
+    """Add unit vectors of term counts, as arrays of (term, weight): vectors without any service.
+
+    Terms are the lower-cased words of the text. Every word is a dimension of its own, so
+    the same text has the same vector everywhere and different words never meet.
+    """
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    counted = df.withColumn("__words", words).withColumn(
+        "__counts",
+        F.transform(
+            F.sort_array(F.array_distinct("__words")),
+            lambda term: F.struct(
+                term.alias("term"), (F.size("__words") - F.size(F.array_remove("__words", term))).alias("n")
+            ),
+        ),
+    )
+    squares = F.aggregate("__counts", F.lit(0.0), lambda total, c: total + c["n"].cast("double") * c["n"])
+    # the norm goes along as an array: what a lambda refers to is computed for each element
+    parts = F.arrays_zip(
+        F.col("__counts.term").alias("term"),
+        F.col("__counts.n").alias("n"),
+        F.array_repeat(F.sqrt(squares), F.size("__counts")).alias("norm"),
+    )
+    weigh = F.transform(parts, lambda c: F.struct(c["term"].alias("term"), (c["n"] / c["norm"]).alias("weight")))
+    return counted.withColumn(vector, weigh).drop("__words", "__counts")
+
+
+def search_terms(
+    index: DataFrame,
+    questions: DataFrame,
+    k: int = K.SEARCH_HITS,
+    keys: tuple[str, ...] = ("doc_id", "page_num", "chunk_idx"),
+    payload: tuple[str, ...] = ("company", "text"),
+    question_id: str = "question_id",
+    text: str = "text",
+    vector: str = "embedding",
 ) -> DataFrame:
-    """Add unit vectors of hashed term counts: vectors without any service.
+    """The k chunks nearest to each question by cosine of term vectors, exactly.
 
-    The same text has the same vector everywhere, so questions and chunks can be
-    embedded in different jobs.
+    The terms of questions meet those of chunks by equality, and products are added up per
+    question and chunk before the shuffle. Chunks without a common term are no hits. What
+    the hits carry is joined last, by the chunk's keys.
     """
-    words = Tokenizer(inputCol=text, outputCol="__words").transform(df)
-    terms = HashingTF(inputCol="__words", outputCol="__terms", numFeatures=dimensions).transform(words)
-    unit = Normalizer(inputCol="__terms", outputCol="__unit", p=2.0).transform(terms)
-    return unit.withColumn(vector, vector_to_array("__unit", "float32")).drop("__words", "__terms", "__unit")
+    asked = embed_terms(questions.select(question_id, text), text, "__q").select(
+        question_id, F.explode_outer("__q").alias("q")
+    )
+    # explode_outer: for explode, Spark would compute the array once more to filter by its size
+    terms = index.select(*keys, F.explode_outer(vector).alias("t")).select(*keys, "t.term", "t.weight")
+    products = terms.join(asked.select(question_id, "q.term", F.col("q.weight").alias("asked")), "term")
+    scored = products.groupBy(question_id, *keys).agg(
+        F.round(F.sum(F.col("weight") * F.col("asked")), SCORE_DIGITS).alias("score")
+    )
+    best = first_rows(
+        scored, [question_id], [F.desc("score"), *[F.asc(c) for c in keys]], n=k, rank="place", salt_by=list(keys)
+    )
+    return best.join(index.select(*keys, *payload), list(keys)).select(question_id, "place", "score", *keys, *payload)
 
 
 # --- nearest neighbours -------------------------------------------------------
@@ -90,107 +122,76 @@ def _sortable(ids: pa.Array) -> np.ndarray:
     return np.unique([str(i).encode() for i in ids.to_pylist()], return_inverse=True)[1]
 
 
-def _top_pairs(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query rows, vector rows) of the k best scores per query, ties by smaller id."""
-    queries, rows = [], []
-    for q, line in enumerate(scores):
-        if len(line) > k:
-            bound = np.partition(line, len(line) - k)[len(line) - k]
-            near = np.flatnonzero(line >= bound)
-        else:
-            near = np.arange(len(line))
-        best = near[np.lexsort((ids[near], -line[near]))][:k]
-        queries.append(np.full(len(best), q))
-        rows.append(best)
-    return np.concatenate(queries), np.concatenate(rows)
-
-
-def _score(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    return np.round(queries @ vectors.T, SCORE_DIGITS)
-
-
-def _knn_shared(vectors: DataFrame, query_ids: list, matrix: np.ndarray, spec: dict, schema: T.StructType):
-    """All queries go to every task; vectors are read once and not shuffled."""
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
-    k, id_col, vector_col, payload = spec["k"], spec["id"], spec["vector"], spec["payload"]
-    arrow = to_arrow_schema(schema)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, block = shared.value
-        held: pa.Table | None = None
+def _best_of(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, vector rows) of the k best scores of each line, ties by smaller place."""
+    if scores.shape[1] > k:
+        bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        query, row = np.nonzero(scores >= bound[:, None])
+    else:
+        query, row = (part.ravel() for part in np.indices(scores.shape))
+    order = np.lexsort((places[row], -scores[query, row], query))
+    query, row = query[order], row[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], row[keep]
+
+
+class _Block:
+    """The vectors of one block, gathered batch by batch until the first query comes."""
+
+    def __init__(self):
+        self.ids, self.parts, self.unit = [], [], None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.ids.append(batch.column("__id"))
+        self.parts.append(_matrix(batch.column("__vector")))
+
+    def nearest(self, batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+        if not self.ids:
+            return
+        if self.unit is None:
+            if len({part.shape[1] for part in self.parts}) > 1:
+                raise ValueError("vectors have different lengths")
+            self.unit = _unit_rows(np.concatenate(self.parts))
+            self.ids = pa.concat_arrays(self.ids)
+            self.places = _sortable(self.ids)
+            self.parts = []
+        asked = _unit_rows(_matrix(batch.column("__vector"), self.unit.shape[1]))
+        names = batch.column("__query")
+        for begin in range(0, len(asked), STRIPE):
+            scores = np.round(asked[begin : begin + STRIPE] @ self.unit.T, SCORE_DIGITS)
+            query, row = _best_of(scores, self.places, k)
+            yield names.take(pa.array(query + begin)), self.ids.take(pa.array(row)), pa.array(scores[query, row])
+
+
+def _nearest_in_blocks(k: int, names: list[str]):
+    """k best vectors of each block for each query, from rows ordered by block, vectors before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, _Block()
         for batch in batches:
-            for begin in range(0, batch.num_rows, SCORE_ROWS):
-                part = batch.slice(begin, SCORE_ROWS)
-                scores = _score(block, _unit_rows(_matrix(part.column(vector_col), block.shape[1])))
-                q, rows = _top_pairs(scores, _sortable(part.column(id_col)), k)
-                taken = part.select([id_col, *payload]).take(pa.array(rows))
-                found = pa.table(
-                    {"__query": pa.array(q), "score": pa.array(scores[q, rows])}
-                    | {name: taken.column(name) for name in [id_col, *payload]}
-                )
-                held = _best_held(found if held is None else pa.concat_tables([held, found]), id_col, k)
-        if held is not None and held.num_rows:
-            names = pa.array(asked).take(held.column("__query").combine_chunks())
-            out = held.drop_columns(["__query"]).add_column(0, spec["query_id"], names)
-            yield from out.select(arrow.names).cast(arrow).combine_chunks().to_batches()
-
-    return vectors.select(id_col, vector_col, *payload).mapInArrow(nearest, schema)
-
-
-def _best_held(table: pa.Table, id_col: str, k: int) -> pa.Table:
-    """The k best rows per query of one task so far."""
-    frame = pd.DataFrame(
-        {
-            "query": table.column("__query").to_numpy(),
-            "score": table.column("score").to_numpy(),
-            "id": _sortable(table.column(id_col)),
-        }
-    )
-    ordered = frame.sort_values(["query", "score", "id"], ascending=[True, False, True])
-    keep = ordered.index[ordered.groupby("query").cumcount() < k]
-    return table.take(pa.array(keep.to_numpy()))
-
-
-def _knn_cells(vectors: DataFrame, queries: DataFrame, spec: dict, schema: T.StructType) -> DataFrame:
-    """Queries and vectors are cut into blocks of bounded size that meet pairwise."""
-    k, id_col, vector_col, payload = spec["k"], spec["id"], spec["vector"], spec["payload"]
-    arrow = to_arrow_schema(schema)
-    query_blocks = max(1, -(-queries.count() // CELL_QUERIES))
-    vector_blocks = max(1, -(-vectors.count() // CELL_VECTORS))
-
-    def block(column: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
-
-    def blocks(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = vectors.select(
-        id_col, vector_col, *payload, block(id_col, vector_blocks).alias("vb"), blocks(query_blocks).alias("qb")
-    )
-    right = queries.select(
-        spec["query_id"], spec["query_vector"],
-        block(spec["query_id"], query_blocks).alias("qb"), blocks(vector_blocks).alias("vb"),
-    )
-
-    def nearest(cell: pa.Table, asked: pa.Table) -> pa.Table:
-        found = []
-        if cell.num_rows and asked.num_rows:
-            block_matrix = _unit_rows(_matrix(asked.column(spec["query_vector"])))
-            asked_ids = asked.column(spec["query_id"]).combine_chunks()
-            for begin in range(0, cell.num_rows, SCORE_ROWS):
-                part = cell.slice(begin, SCORE_ROWS)
-                scores = _score(block_matrix, _unit_rows(_matrix(part.column(vector_col), block_matrix.shape[1])))
-                q, rows = _top_pairs(scores, _sortable(part.column(id_col)), k)
-                taken = part.select([id_col, *payload]).take(pa.array(rows))
-                found.append(
-                    pa.table(
-                        {spec["query_id"]: asked_ids.take(pa.array(q)), "score": pa.array(scores[q, rows])}
-                        | {name: taken.column(name) for name in [id_col, *payload]}
-                    )
-                )
-        return pa.concat_tables(found).select(arrow.names).cast(arrow) if found else arrow.empty_table()
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(nearest, schema)
+            if not batch.num_rows:
+                continue
+            blocks = batch.column("__block").to_numpy(zero_copy_only=False)
+            asks = batch.column("__asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if blocks[begin] != at:
+                    at, block = blocks[begin], _Block()
+                part = batch.slice(begin, end - begin)
+                if not asks[begin]:
+                    block.add(part)
+                    continue
+                for found in block.nearest(part, k):
+                    yield pa.RecordBatch.from_arrays(list(found), names=names)
+
+    return run
+
+
+def is_finite(vector: Column) -> Column:
+    """True for vectors without null, NaN or infinite elements."""
+    values = vector.cast("array<double>")
+    good = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(vector.isNotNull() & good, F.lit(False))
 
 
 def knn_cosine(
@@ -202,38 +203,42 @@ def knn_cosine(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     payload: tuple[str, ...] = (),
-    max_shared: int = MAX_SHARED_QUERIES,
 ) -> DataFrame:
     """The k vectors nearest to every query by cosine, exactly, with `score` and `place`.
 
-    Every task keeps the k best of its rows per query, and a window picks the k
-    best of those. Queries travel to the tasks if they are few, which is checked
-    here by reading at most max_shared + 1 of them; more are cut into blocks.
+    Ids and vectors are dealt into as many blocks as the session has shuffle partitions, and
+    move once; queries go to every block. A block is scored by matrix products, its k best
+    leave it, and a window picks the k best of those. The payload is joined to these last, by
+    id. Vectors and queries with null, NaN or infinite elements take no part.
     """
-    spec = {
-        "k": k, "id": id_col, "vector": vector_col, "payload": list(payload),
-        "query_id": query_id, "query_vector": query_vector,
-    }
+    blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type, name_type = vectors.schema[id_col].dataType, queries.schema[query_id].dataType
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = vectors.where(is_finite(F.col(vector_col))).select(
+        own.alias("__block"), F.lit(False).alias("__asks"), F.col(id_col).alias("__id"),
+        F.lit(None).cast(name_type).alias("__query"), F.col(vector_col).cast("array<double>").alias("__vector"),
+    ).union(
+        queries.where(is_finite(F.col(query_vector))).select(
+            every.alias("__block"), F.lit(True), F.lit(None).cast(id_type),
+            query_id, F.col(query_vector).cast("array<double>"),
+        )
+    )
+    names = ["__query", "__id", "score"]
     schema = T.StructType(
-        [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(id_col, vectors.schema[id_col].dataType),
-            T.StructField("score", T.DoubleType()),
-            *[T.StructField(name, vectors.schema[name].dataType) for name in payload],
-        ]
+        [T.StructField("__query", name_type), T.StructField("__id", id_type), T.StructField("score", T.DoubleType())]
     )
-    present = vectors.where(F.col(vector_col).isNotNull())
-    asked = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    head = asked.limit(max_shared + 1).toArrow()
-    if head.num_rows == 0:
-        partial = present.sparkSession.createDataFrame([], schema)
-    elif head.num_rows <= max_shared and head.nbytes <= MAX_SHARED_BYTES:
-        matrix = _unit_rows(_matrix(head.column(query_vector)))
-        partial = _knn_shared(present, head.column(query_id).to_pylist(), matrix, spec, schema)
-    else:
-        partial = _knn_cells(present, asked, spec, schema)
-    order = [F.desc("score"), F.asc(id_col)]
-    return first_rows(partial, [query_id], order, n=k, rank="place", salt_by=[id_col])
+    partial = (
+        rows.repartition("__block")
+        .sortWithinPartitions("__block", "__asks")
+        .mapInArrow(_nearest_in_blocks(k, names), schema)
+        .withColumnsRenamed({"__query": query_id, "__id": id_col})
+    )
+    best = first_rows(partial, [query_id], [F.desc("score"), F.asc(id_col)], n=k, rank="place", salt_by=[id_col])
+    if not payload:
+        return best
+    hits = best.join(vectors.select(id_col, *payload), id_col)
+    return hits.select(query_id, id_col, "score", *payload, "place")
 
 
 def knn_company_filter(
@@ -270,10 +275,15 @@ def adapt_index_schema(index: DataFrame) -> DataFrame:
 
 
 def index_manifest(index: DataFrame, embed_model: str, source: str, vector: str = "embedding") -> DataFrame:
-    """One row about an index table."""
-    return index.agg(
-        F.count("*").alias("count"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")
-    ).select(
+    """One row about an index table. The dimension of term vectors is the number of different terms."""
+    if isinstance(index.schema[vector].dataType.elementType, T.StructType):
+        terms = index.select(F.explode(vector).alias("t")).agg(F.count_distinct("t.term").cast("int").alias("dim"))
+        counts = index.agg(F.count("*").alias("count")).join(terms, F.lit(True))
+    else:
+        counts = index.agg(
+            F.count("*").alias("count"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")
+        )
+    return counts.select(
         F.lit(source).alias("source"),
         "count",
         "dim",
@@ -308,15 +318,15 @@ def snippet_context(hits: DataFrame, queries: DataFrame | None = None, query_id:
     )
 
 
-def facts_else_vector(
-    questions: DataFrame, found: DataFrame, vectors: DataFrame, k: int = K.ROUTED_HITS, **options
-) -> DataFrame:
-    """Fact rows of the questions that have some, nearest chunks for the others.
+def facts_else_vector(questions: DataFrame, found: DataFrame, index: DataFrame, k: int = K.ROUTED_HITS) -> DataFrame:
+    """Fact rows of the questions about facts that have some, nearest chunks for all others.
 
-    questions(question_id, query_vector), found(request_id, place, ...) as
-    facts_search gives it, vectors(vec_id, embedding, company, page_num, text).
+    questions(question_id, text, intent), found(request_id, place, ...) as facts_search gives
+    it, index(doc_id, page_num, chunk_idx, company, text, embedding) with term vectors. Every
+    question has a row; status tells `ok` from `no hits`.
     """
-    facts = found.select(
+    about_facts = questions.where(F.col("intent") == "facts").select("question_id")
+    facts = found.join(about_facts, F.col("request_id") == F.col("question_id"), "left_semi").select(
         F.col("request_id").alias("question_id"),
         F.lit("facts").alias("tool"),
         "place",
@@ -326,15 +336,12 @@ def facts_else_vector(
         "metric_variant",
         "value",
         "unit",
-        F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("double").alias("score"),
-    )
-    answered = found.select(F.col("request_id").alias("question_id")).distinct()
-    open_questions = questions.join(answered, "question_id", "left_anti")
-    hits = knn_cosine(
-        vectors, open_questions, k, query_id="question_id", payload=("company", "page_num", "text"), **options
     )
-    return facts.unionByName(
-        hits.select("question_id", F.lit("vector").alias("tool"), "place", "company", "page_num", "text", "score"),
-        allowMissingColumns=True,
+    answered = facts.select("question_id").distinct()
+    open_questions = questions.join(answered, "question_id", "left_anti").select("question_id", "text")
+    hits = search_terms(index, open_questions, k).select(
+        "question_id", "place", "company", "page_num", "text", "score"
     )
+    chunks = open_questions.select("question_id").join(hits, "question_id", "left").withColumn("tool", F.lit("vector"))
+    rows = facts.unionByName(chunks, allowMissingColumns=True)
+    return rows.withColumn("status", F.when(F.col("place").isNull(), "no hits").otherwise("ok"))

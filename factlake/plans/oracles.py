@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factlake import constants as K
-from factlake.fixtures import DUCKDB_VIEWS
+from factlake.fixtures import DUCKDB_VIEWS, TABLES
 from factlake.functions.metrics import NAMED_NUMBER_TEXT, NUMBER_TEXT
 from factlake.functions.text import LINE_END, SPACE
 from factlake.operators import sqlviews
@@ -276,6 +276,31 @@ NEIGHBOURS = f"""scored AS (
 )"""
 
 
+def _term_counts(source: str, keys: str) -> str:
+    """Terms of source(keys, text) and their share of the length of the count vector."""
+    return f"""SELECT {keys}, term, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS weight
+  FROM (SELECT {keys}, term, count(*)::DOUBLE AS n
+        FROM (SELECT {keys}, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM {source})
+        WHERE term <> '' GROUP BY ALL)"""
+
+
+CHUNK_KEYS = "doc_id, page_num, chunk_idx"
+TERMS = f"""indexed AS (SELECT * FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}
+), terms AS (
+  {_term_counts('indexed', CHUNK_KEYS)}
+)"""
+TERM_HITS = f"""asked_terms AS (
+  {_term_counts('asked', 'question_id')}
+), scored AS (
+  SELECT question_id, {CHUNK_KEYS}, round(sum(t.weight * q.weight), 6) AS score
+  FROM terms t JOIN asked_terms q USING (term) GROUP BY ALL
+), hits AS (
+  SELECT s.*, i.company, i.text,
+         CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, {CHUNK_KEYS}) AS INT) AS place
+  FROM scored s JOIN indexed i USING ({CHUNK_KEYS}) QUALIFY place <= {{k}}
+)"""
+
+
 def _with(body: str, *views: str, recursive: bool = False) -> str:
     """The body behind the fixture views it reads. The body may start with more views."""
     heads = [f"{name} AS ({DUCKDB_VIEWS[name].strip()})" for name in views]
@@ -294,7 +319,7 @@ def _bind(sql: str, **args: str) -> str:
 
 
 CONTEXTS = f"""
-SELECT conv_id, coalesce(right(string_agg(line, chr(10) ORDER BY turn), {K.CONTEXT_CHARS}), '') AS context
+SELECT conv_id, coalesce(right(string_agg(line, chr(10) ORDER BY turn, line), {K.CONTEXT_CHARS}), '') AS context
 FROM (SELECT conv_id, turn, CASE WHEN body <> '' THEN coalesce(role, 'user') || ': ' || body END AS line
       FROM (SELECT *, {_strip("coalesce(text, '')")} AS body FROM conversations))
 GROUP BY conv_id"""
@@ -303,12 +328,10 @@ LAST_QUERIES = f"""
 SELECT c.conv_id, nullif({_strip('u.text')}, '') AS query
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN
   (SELECT conv_id, text FROM conversations WHERE lower(role) = 'user'
-   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) u ON c.conv_id = u.conv_id"""
+   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1) u ON c.conv_id = u.conv_id"""
 
 ORACLES: dict[str, str] = {
-    "discover_files": (
-        "SELECT regexp_extract(file, '[^/]+$') AS file_name FROM glob('/root/testdata/sf0.01/*.parquet')"
-    ),
+    "discover_files": " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, count(*) AS rows FROM {t}" for t in TABLES),
     "doc_identity": """
 SELECT path, sha1(path) AS doc_id,
        trim(regexp_replace(regexp_extract(path, '([^/]+?)(\\.[^./]+)?$', 1), '[_-]', ' ', 'g')) AS company
@@ -357,6 +380,11 @@ WHERE doc_id IN (SELECT doc_id FROM again) AND confidence >= 0.7""",
         "facts_fx",
         "order_documents_fx",
     ),
+    "pages_validated_append": _with(
+        """SELECT doc_id, nullif(page_num, 2) AS page_num, text, nullif(company, 'src3') AS company, source_path,
+       CASE WHEN page_num = 2 THEN 'page_num is missing' END AS reject_reason FROM raw_pages_fx""",
+        "raw_pages_fx",
+    ),
     "cache_merge": _with(
         """SELECT path, regexp_extract(path, '([^/]+?)(\\.[^./]+)?$', 1) AS cache_key,
        contains(raw, '"company":""') AS force,
@@ -392,7 +420,7 @@ UNION ALL SELECT company, metric_key, source_page, value, unit FROM extracted"""
     "incremental_ingest": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
     "incremental_pages": _with(
         f"""SELECT sha1(source_path) AS doc_id, page_num, {_lines('text')} AS text, doc_id AS company, source_path
-FROM (SELECT * FROM raw_pages_fx QUALIFY page_num < max(page_num) OVER (PARTITION BY doc_id))""",
+FROM raw_pages_fx""",
         "raw_pages_fx",
     ),
     "extraction_cache": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
@@ -632,23 +660,37 @@ FROM named n LEFT JOIN wanted w ON n.question_id = w.question_id LEFT JOIN answe
         "questions_fx",
     ),
     "facts_else_vector": _with(
-        f"""{QUESTION_TEXTS}, {NAMES}, {FOUND}, {NEIGHBOURS.format(k=K.ROUTED_HITS)} =>
-SELECT question_id, 'facts' AS tool, place, company, source_page AS page_num, metric_key, metric_variant, value, unit,
-       CAST(NULL AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS score FROM found
+        f"""{QUESTION_TEXTS}, {NAMES}, {FOUND}, {_chunks('raw_pages_fx', PAGE_KEYS)}, {TERMS},
+asked AS (
+  SELECT question_id, text FROM questions_fx
+  WHERE NOT (regexp_matches(text, '{K.FACT_INTENT_PATTERN}') AND question_id IN (SELECT question_id FROM found))
+), {TERM_HITS.format(k=K.ROUTED_HITS)} =>
+SELECT f.question_id, 'facts' AS tool, place, company, source_page AS page_num, metric_key, metric_variant, value, unit,
+       CAST(NULL AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS score, 'ok' AS status
+FROM found f WHERE f.question_id NOT IN (SELECT question_id FROM asked)
 UNION ALL
-SELECT h.query_id, 'vector', h.place, h.company, h.page_num, NULL, NULL, NULL, NULL, h.text, h.score
-FROM hits h JOIN questions_fx q ON h.query_id = q.question_id
-WHERE h.query_id NOT IN (SELECT question_id FROM found)""",
+SELECT a.question_id, 'vector', h.place, h.company, h.page_num, NULL, NULL, NULL, NULL, h.text, h.score,
+       CASE WHEN h.place IS NULL THEN 'no hits' ELSE 'ok' END
+FROM asked a LEFT JOIN hits h ON a.question_id = h.question_id""",
         "facts_fx",
         "questions_fx",
+        "raw_pages_fx",
+        recursive=True,
+    ),
+    "search_chunks": _with(
+        f"""{_chunks('raw_pages_fx', PAGE_KEYS)}, {TERMS}, asked AS (SELECT question_id, text FROM questions_fx),
+{TERM_HITS.format(k=K.SEARCH_HITS)} =>
+SELECT question_id, place, score, doc_id, page_num, chunk_idx, company, text FROM hits""",
+        "questions_fx",
+        "raw_pages_fx",
+        recursive=True,
     ),
     "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "chunk_text": _with(
         f"{_chunks('documents', 'doc_id')} => SELECT doc_id, chunk_idx, text FROM chunks", recursive=True
     ),
     "chunk_rows": _with(
-        f"""kept AS (SELECT * FROM raw_pages_fx QUALIFY page_num < max(page_num) OVER (PARTITION BY doc_id)),
-{_chunks('kept', PAGE_KEYS)} => SELECT {PAGE_KEYS}, chunk_idx, text FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}""",
+        f"""{_chunks('raw_pages_fx', PAGE_KEYS)} => SELECT {PAGE_KEYS}, chunk_idx, text FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}""",
         "raw_pages_fx",
         recursive=True,
     ),
@@ -657,9 +699,8 @@ SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos,
        round(unnest(v) / sqrt(list_inner_product(v, v)), 6) AS x
 FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) * (label + 2)) AS v FROM embeddings)""",
     "embed_chunks": _with(
-        f"""{_chunks('raw_pages_fx', PAGE_KEYS)} =>
-SELECT doc_id, page_num, chunk_idx, CAST(256 AS INT) AS dim, CAST(1.0 AS DOUBLE) AS norm
-FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}""",
+        f"""{_chunks('raw_pages_fx', PAGE_KEYS)}, {TERMS} =>
+SELECT doc_id, page_num, chunk_idx, term, round(weight, 6) AS weight FROM terms""",
         "raw_pages_fx",
         recursive=True,
     ),
@@ -681,10 +722,11 @@ SELECT query_id, string_agg('[' || company || '] (p.' || CAST(page_num AS VARCHA
 FROM hits GROUP BY query_id"""
     ),
     "build_index": _with(
-        f"""{_chunks('raw_pages_fx', PAGE_KEYS)} =>
-SELECT count(*) AS count, CAST(256 AS INT) AS dim, 'hashed-terms' AS embed_model
-FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}""",
+        f"""{_chunks('raw_pages_fx', PAGE_KEYS)}, {TERMS} =>
+SELECT (SELECT count(*) FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}) AS count,
+       CAST(count(DISTINCT term) AS INT) AS dim, 'terms' AS embed_model, round(sum(weight * weight), 3) AS squares FROM terms""",
         "raw_pages_fx",
         recursive=True,
     ),
 }
+ORACLES["facts_replace_stored"] = ORACLES["facts_replace_by_doc"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,8 +44,12 @@ def query(build: Query) -> Query:
 
 @query
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the folder and the rows that each of them holds."""
     found = files.discover_files(spark, [sf_dir], suffix="parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    name = F.element_at(F.split("path", "/"), -1)
+    paths = sorted((row["name"], row["path"]) for row in found.select(name.alias("name"), "path").collect())
+    counts = [spark.read.parquet(path).agg(F.count("*").alias("rows")).withColumn("file_name", F.lit(n)) for n, path in paths]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query
@@ -111,6 +116,20 @@ def facts_replace_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.facts_replace_by_doc(stored, batch, again)
 
 
+@query
+def facts_replace_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facts_replace_by_doc on a written table: changed and emptied documents, the batch run twice."""
+    path = work_path(spark, "by_doc")
+    tables.create_by_doc(view(spark, sf_dir, "facts_fx").select(schemas.FACT_COLUMNS), path)
+    stored = tables.read_by_doc(spark, path, schemas.FACTS)
+    batch = view(spark, sf_dir, "order_documents_fx").where("status = 'F'").select("doc_id")
+    fx = view(spark, sf_dir, "facts_fx")
+    again = fx.where("confidence >= 0.7").join(batch, "doc_id", "left_semi").withColumn("value", F.col("value") + 1.0)
+    for _ in range(2):
+        tables.replace_by_doc(batch, again, path, schemas.FACTS)
+    return stored.sparkSession.read.schema(schemas.FACTS).parquet(path).select(schemas.FACT_COLUMNS)
+
+
 @query
 def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = view(spark, sf_dir, "extraction_fx")
@@ -135,10 +154,18 @@ def facts_validated_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"confidence": F.col("confidence") + 0.25, "unit": F.nullif("unit", F.lit("Rs"))}
     )
     path = work_path(spark, "facts")
-    tables.append_facts(rows, f"{path}/accepted", f"{path}/rejected")
-    columns = schemas.FACT_COLUMNS
-    kept = spark.read.schema(schemas.FACTS).parquet(f"{path}/accepted").select(columns)
-    return spark.read.parquet(f"{path}/rejected").unionByName(kept, allowMissingColumns=True)
+    tables.append_facts(rows, path)
+    return tables.rejected_facts(spark, path).unionByName(tables.stored_facts(spark, path), allowMissingColumns=True)
+
+
+@query
+def pages_validated_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "raw_pages_fx").withColumns(
+        {"company": F.nullif("company", F.lit("src3")), "page_num": F.nullif("page_num", F.lit(2))}
+    )
+    path = work_path(spark, "pages")
+    tables.append_pages(rows, path)
+    return tables.rejected_pages(spark, path).unionByName(tables.stored_pages(spark, path), allowMissingColumns=True)
 
 
 @query
@@ -209,9 +236,6 @@ def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "pages")
     name = F.concat(F.lit("/corpus/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 
-    def write(batch: DataFrame, batch_id: int, target: str) -> None:
-        ingest.write_page_batch(batch, batch_id, target, ignore_last_page=True)
-
     ingest.incremental_ingest(
         spark,
         sf_dir,
@@ -220,7 +244,7 @@ def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema=table(spark, sf_dir, "documents").schema,
         prepare=lambda rows: _paged(rows, name.alias("path")),
         file_pattern="documents.parquet",
-        write=write,
+        write=ingest.write_page_batch,
     ).awaitTermination()
     return ingest.current_pages(spark, path)
 
@@ -555,12 +579,18 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def facts_else_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = view(spark, sf_dir, "questions_fx")
-    index = _vector_index(spark, sf_dir)
-    given = index.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vector"))
+    asked = routing.classify_questions(view(spark, sf_dir, "questions_fx"))
     found = routing.search_questions(view(spark, sf_dir, "facts_fx"), asked)
-    questions = asked.select("question_id").join(given, "question_id")
-    return vectors.facts_else_vector(questions, found, index)
+    return vectors.facts_else_vector(asked, found, _chunk_index(spark, sf_dir))
+
+
+@query
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search_terms(_chunk_index(spark, sf_dir), view(spark, sf_dir, "questions_fx"))
+
+
+def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embed_terms(chunks.chunk_rows(view(spark, sf_dir, "raw_pages_fx")))
 
 
 # --- chunks and vectors -------------------------------------------------------
@@ -578,7 +608,7 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_rows(view(spark, sf_dir, "raw_pages_fx"), ignore_last_page=True)
+    return chunks.chunk_rows(view(spark, sf_dir, "raw_pages_fx"))
 
 
 @query
@@ -592,14 +622,9 @@ def normalize_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embedded = vectors.embed_terms(chunks.chunk_rows(view(spark, sf_dir, "raw_pages_fx")))
-    return embedded.select(
-        "doc_id",
-        "page_num",
-        "chunk_idx",
-        F.size("embedding").alias("dim"),
-        F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),
-    )
+    index = _chunk_index(spark, sf_dir).select("doc_id", "page_num", "chunk_idx", F.explode_outer("embedding").alias("t"))
+    terms = index.select("doc_id", "page_num", "chunk_idx", "t.term", F.round("t.weight", 6).alias("weight"))
+    return terms.where(F.col("term").isNotNull())
 
 
 def _all_as_queries(index: DataFrame) -> DataFrame:
@@ -636,4 +661,8 @@ def snippet_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "vectors")
-    return tables.build_index(view(spark, sf_dir, "raw_pages_fx"), path).select("count", "dim", "embed_model")
+    manifest = tables.build_index(view(spark, sf_dir, "raw_pages_fx"), path).select("count", "dim", "embed_model")
+    norms = tables.read_index(spark, f"{path}/chunks").select(
+        F.aggregate("embedding", F.lit(0.0), lambda total, t: total + t["weight"] * t["weight"]).alias("square")
+    )
+    return manifest.join(norms.agg(F.round(F.sum("square"), 3).alias("squares")), F.lit(True))

@@ -17,9 +17,6 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # model output sometimes repeats a key; the last one counts
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # an ORDER BY ... LIMIT beyond this many rows sorts across the cluster
-    # instead of gathering the rows on the driver
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 
@@ -44,23 +41,24 @@ def local_session(cores: int | str = 8, app: str = "factlake", memory: str = "8g
     return configure(spark)
 
 
-_local_folders: dict[str, str] = {}
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a local session may do without: then it is a folder of this machine, which goes when
+    the Python process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="factlake-")
-    return _local_folders[context.applicationId]
+        _local_folders[context.applicationId] = tempfile.TemporaryDirectory(prefix="factlake-", ignore_cleanup_errors=True)
+    return _local_folders[context.applicationId].name
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -70,7 +70,9 @@ def read_extraction_cache(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "*_extracted.json")
         .json(folder)
     )
-    stem = F.regexp_replace(file_stem(F.col("_metadata.file_path")), "_extracted$", "")
+    # the path comes URL-encoded, but for the plus sign
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(file_stem(path), "_extracted$", "")
     return files.select(stem.alias("cache_key"), F.struct(*schemas.EXTRACTION_CACHE.fieldNames()).alias("payload"))
 
 
@@ -91,12 +93,13 @@ def cached_facts(cache: DataFrame) -> DataFrame:
     )
 
 
-def read_entities(spark: SparkSession, path: str, view: str = "entities") -> DataFrame:
-    """Company and industry list from CSV; column names in any case."""
+def read_entities(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:
+    """Company and industry list from CSV; column names in any case. `view` names a temp view for it."""
     rows = spark.read.option("header", "true").csv(path)
     named = rows.toDF(*[c.strip().lower() for c in rows.columns])
     missing = {"company", "industry"} - set(named.columns)
     if missing:
         raise ValueError(f"the entity list lacks {', '.join(sorted(missing))}")
-    named.createOrReplaceTempView(view)
+    if view:
+        named.createOrReplaceTempView(view)
     return named

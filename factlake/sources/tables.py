@@ -3,37 +3,112 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from factlake import schemas
 from factlake.operators.chunks import chunk_rows
-from factlake.operators.documents import accepted, rejected, validate_facts, validate_pages
+from factlake.operators.documents import validate_facts, validate_pages
 from factlake.operators.vectors import embed_terms, index_manifest, normalize_l2
+from factlake.session import work_path
 
 
-def append_facts(facts: DataFrame, path: str, rejects_path: str | None = None) -> None:
-    """Append the facts that satisfy the table's rules; keep the others aside.
+def _append(checked: DataFrame, path: str, layout: list[str], order: list[str]) -> None:
+    """One job for accepted and rejected rows, so each row of the input ends up in one of them."""
+    marked = checked.withColumn("rejected", F.col("reject_reason").isNotNull())
+    marked.sortWithinPartitions("rejected", *layout, *order).write.mode("append").partitionBy(
+        "rejected", *layout
+    ).parquet(path)
+
+
+def _appended(spark: SparkSession, path: str, schema: T.StructType, layout: list[str]) -> DataFrame:
+    plain = [f for f in schema.fields if f.name not in layout]
+    marks = [T.StructField("reject_reason", T.StringType()), T.StructField("rejected", T.BooleanType())]
+    loose = [T.StructField(f.name, f.dataType) for f in (*plain, *(schema[name] for name in layout))]
+    return spark.read.schema(T.StructType([*loose, *marks])).parquet(path)
+
+
+def append_facts(facts: DataFrame, path: str) -> None:
+    """Append the facts that satisfy the table's rules, and the others beside them.
 
     Files are laid out by period type and ordered by metric and company, so that
     lookups skip most of the data.
     """
-    checked = validate_facts(facts)
-    (
-        accepted(checked)
-        .sortWithinPartitions("period_type", "metric_key", "company")
-        .write.mode("append")
-        .partitionBy("period_type")
-        .parquet(path)
-    )
-    if rejects_path:
-        rejected(checked).write.mode("append").parquet(rejects_path)
+    _append(validate_facts(facts), path, ["period_type"], ["metric_key", "company"])
+
+
+def stored_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The accepted facts of an appended table."""
+    rows = _appended(spark, path, schemas.FACTS, ["period_type"])
+    return rows.where(~F.col("rejected")).select(schemas.FACT_COLUMNS)
+
+
+def rejected_facts(spark: SparkSession, path: str) -> DataFrame:
+    rows = _appended(spark, path, schemas.FACTS, ["period_type"])
+    return rows.where("rejected").select(*schemas.FACT_COLUMNS, "reject_reason")
+
+
+def append_pages(pages: DataFrame, path: str) -> None:
+    """Append the page texts that satisfy the table's rules, and the others beside them."""
+    _append(validate_pages(pages), path, [], ["doc_id", "page_num"])
+
+
+def stored_pages(spark: SparkSession, path: str) -> DataFrame:
+    rows = _appended(spark, path, schemas.RAW_PAGES, [])
+    return rows.where(~F.col("rejected")).select(schemas.RAW_PAGES.fieldNames())
 
 
-def append_pages(pages: DataFrame, path: str, rejects_path: str | None = None) -> None:
-    """Append the page texts that satisfy the table's rules; keep the others aside."""
-    checked = validate_pages(pages)
-    accepted(checked).write.mode("append").parquet(path)
-    if rejects_path:
-        rejected(checked).write.mode("append").parquet(rejects_path)
+def rejected_pages(spark: SparkSession, path: str) -> DataFrame:
+    rows = _appended(spark, path, schemas.RAW_PAGES, [])
+    return rows.where("rejected").select(*schemas.RAW_PAGES.fieldNames(), "reject_reason")
+
+
+# --- tables that are kept up to date by document ------------------------------
+
+PART = "part"
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+
+
+def create_by_doc(rows: DataFrame, path: str, parts: int = 64) -> None:
+    """Write a table that later batches replace by document: its files lie by a hash of doc_id."""
+    rows.withColumn(PART, _part(parts)).repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(path)
+
+
+def read_by_doc(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
+
+
+def replace_by_doc(batch_docs: DataFrame, new_rows: DataFrame, path: str, schema: T.StructType, parts: int = 64) -> None:
+    """Replace all stored rows of the batch's documents by the new rows.
+
+    Only parts that hold a document of the batch are read and written. The new parts are
+    written aside first; then each takes the place of the stored one, or removes it if
+    nothing is left in it. Running a batch again gives the same table.
+    """
+    spark = new_rows.sparkSession
+    docs = batch_docs.select("doc_id").distinct()
+    touched = sorted(row[0] for row in docs.select(_part(parts)).distinct().collect())  # at most `parts` numbers
+    if not touched:
+        return
+    with_part = T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])
+    stored = spark.read.schema(with_part).parquet(path).where(F.col(PART).isin(touched))
+    left = stored.join(docs, "doc_id", "left_anti").select(with_part.fieldNames())
+    fresh = new_rows.select(schema.fieldNames()).join(docs, "doc_id", "left_semi").withColumn(PART, _part(parts))
+    aside = work_path(spark, "replace")
+    left.unionByName(fresh.select(with_part.fieldNames())).repartition(PART).write.partitionBy(PART).parquet(aside)
+    made = spark.read.schema(with_part).parquet(aside)
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    filled = {row[0] for row in made.select(PART).distinct().collect()}
+    for number in set(touched) - filled:
+        _remove(spark, f"{path}/{PART}={number}")
+    _remove(spark, aside)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def write_index(index: DataFrame, path: str) -> None:
@@ -54,7 +129,7 @@ def build_index(
     company: str | None = None,
     ignore_last_page: bool = False,
     embed=embed_terms,
-    embed_model: str = "hashed-terms",
+    embed_model: str = "terms",
     is_unit: bool = True,
 ) -> DataFrame:
     """Chunk, embed and write the pages; returns the manifest. Nothing to index is an error.

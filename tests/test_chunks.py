@@ -47,6 +47,12 @@ def test_long_text_is_whole(spark):
     assert {str(i) for i in range(60_000)} <= seen and len(pieces) < 700
 
 
+def test_chunks_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(1, "x" * 900)], "i int, text string")
+    plan = C.chunk_text(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_chunk_rows(spark):
     pages = spark.createDataFrame(
         [("d", "Acme", 1, "/p", "x" * 39), ("d", "Acme", 2, "/p", "y" * 820), ("d", "Acme", 3, "/p", "z" * 50), ("e", "Beta", 1, "/q", "w" * 60)],

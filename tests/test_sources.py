@@ -39,6 +39,19 @@ def test_cache_files(spark, tmp_path):
     assert rows.columns == schemas.FACT_COLUMNS and rows.count() == 2
 
 
+def test_cache_files_with_odd_names(spark, tmp_path):
+    stems = ["my report é", "a%20b", "1+1", "plain"]
+    for i, stem in enumerate(stems):
+        payload = {"doc_id": str(i), "company": "Acme", "page_count": i, "source_path": f"/in/{stem}.pdf", "facts": []}
+        (tmp_path / f"{stem}_extracted.json").write_text(json.dumps(payload))
+    cache = files.read_extraction_cache(spark, str(tmp_path))
+    assert sorted(r.cache_key for r in cache.collect()) == sorted(stems)
+    asked = spark.createDataFrame([(f"/in/{s}.pdf", s == "plain") for s in stems], "path string, force boolean")
+    fresh = cache.select(V.F.concat(V.F.lit("/in/"), "cache_key", V.F.lit(".pdf")).alias("path"), "payload")
+    merged = documents.cache_merge(asked, cache, fresh).collect()
+    assert {r.path: r.from_cache for r in merged} == {f"/in/{s}.pdf": s != "plain" for s in stems}
+
+
 def test_cache_table(spark, tmp_path):
     raws = [("/in/a.pdf", '{"document_meta":{"company":"Acme"},"page_1":{"s":{"x_pct":1,"y":true}}}'), ("/in/b.pdf", "{}"), ("/in/c.pdf", "-")]
     extractions = spark.createDataFrame(raws, schemas.EXTRACTIONS)
@@ -58,15 +71,17 @@ def test_append_pages(spark, tmp_path):
         [("d", "1", "t", "c", "/p"), ("d", "x", "t", "c", "/p"), ("d", "2", None, "c", "/p")],
         ", ".join(f"{n} string" for n in schemas.RAW_PAGES.fieldNames()),
     )
-    tables.append_pages(rows, f"{tmp_path}/p", f"{tmp_path}/r")
-    assert [r.page_num for r in spark.read.schema(schemas.RAW_PAGES).parquet(f"{tmp_path}/p").collect()] == [1]
-    assert sorted(r.reject_reason for r in spark.read.parquet(f"{tmp_path}/r").collect()) == ["page_num is missing", "text is missing"]
+    tables.append_pages(rows, f"{tmp_path}/p")
+    assert [r.page_num for r in tables.stored_pages(spark, f"{tmp_path}/p").collect()] == [1]
+    reasons = sorted(r.reject_reason for r in tables.rejected_pages(spark, f"{tmp_path}/p").collect())
+    assert reasons == ["page_num is missing", "text is missing"]
 
 
 def test_entities(spark, tmp_path):
     (tmp_path / "e.csv").write_text("Company, INDUSTRY,Ticker\nAcme,Banks,A\n")
     assert files.read_entities(spark, str(tmp_path / "e.csv")).first().asDict()["industry"] == "Banks"
-    assert spark.table("entities").count() == 1
+    files.read_entities(spark, str(tmp_path / "e.csv"), view="entities_of_test")
+    assert spark.table("entities_of_test").count() == 1
     (tmp_path / "bad.csv").write_text("name\nAcme\n")
     with pytest.raises(ValueError, match="company, industry"):
         files.read_entities(spark, str(tmp_path / "bad.csv"))
@@ -75,10 +90,38 @@ def test_entities(spark, tmp_path):
 def test_append(spark, tmp_path):
     rows = facts(spark, {"value": 1.0}, {"value": 2.0, "confidence": 2.0}, {"value": 3.0, "period_type": "year"})
     for _ in range(2):
-        tables.append_facts(rows, f"{tmp_path}/f", f"{tmp_path}/r")
-    stored = spark.read.schema(schemas.FACTS).parquet(f"{tmp_path}/f")
+        tables.append_facts(rows, f"{tmp_path}/f")
+    stored = tables.stored_facts(spark, f"{tmp_path}/f")
     assert sorted(r.value for r in stored.collect()) == [1.0, 1.0, 3.0, 3.0]
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 2
+    assert stored.columns == schemas.FACT_COLUMNS
+    assert tables.rejected_facts(spark, f"{tmp_path}/f").count() == 2
+
+
+def test_replace_touches_only_parts_of_the_batch(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    schema = V.T.StructType([V.T.StructField("doc_id", V.T.StringType()), V.T.StructField("value", V.T.IntegerType())])
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), schema)
+
+    def now():
+        return sorted(tuple(r) for r in tables.read_by_doc(spark, path, schema).collect())
+
+    def written():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+
+    tables.create_by_doc(rows(*[(f"d{i}", i) for i in range(20)], ("d3", 33)), path, parts=8)
+    before = written()
+    batch = rows(("d3", 0), ("d4", 0), ("d99", 0))
+    for _ in range(2):
+        tables.replace_by_doc(batch, rows(("d3", 300), ("d99", 99), ("not in the batch", 1)), path, schema, parts=8)
+        want = sorted([(f"d{i}", i) for i in range(20) if i not in (3, 4)] + [("d3", 300), ("d99", 99)])
+        assert now() == want
+    kept = set(before.items()) & set(written().items())
+    assert kept
+    # a batch that empties every part leaves none
+    tables.replace_by_doc(rows(*want), rows(), path, schema, parts=8)
+    assert now() == []
 
 
 @pytest.mark.parametrize("kind", ["csv", "json"])
@@ -101,10 +144,10 @@ def test_index(spark, tmp_path):
         "doc_id string, company string, page_num int, source_path string, text string",
     )
     manifest = tables.build_index(pages, f"{tmp_path}/i").first()
-    assert (manifest["count"], manifest.dim, manifest.embed_model) == (2, 256, "hashed-terms") and manifest.built_at
-    index = tables.read_index(spark, f"{tmp_path}/i/chunks").withColumn("vec_id", V.F.col("page_num").cast("long"))
-    q = V.embed_terms(spark.createDataFrame([(1, "provisions for bad loans")], "query_id int, text string"), vector="query_vector")
-    assert V.knn_cosine(index, q, k=1).first().vec_id == 2
+    assert (manifest["count"], manifest.dim, manifest.embed_model) == (2, 19, "terms") and manifest.built_at
+    index = tables.read_index(spark, f"{tmp_path}/i/chunks")
+    q = spark.createDataFrame([(1, "provisions for bad loans")], "question_id int, text string")
+    assert V.search_terms(index, q, k=1).first().page_num == 2
     scaled = tables.build_index(
         pages, f"{tmp_path}/j", embed=lambda df: df.withColumn("embedding", V.F.array(V.F.lit(3.0), V.F.lit(4.0))),
         embed_model="two", is_unit=False,

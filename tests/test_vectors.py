@@ -38,17 +38,14 @@ def collected(hits):
 
 
 @pytest.mark.parametrize("kind", ["bigint", "string"])
-@pytest.mark.parametrize("max_shared", [4096, 3])
-def test_knn_like_brute_force(spark, monkeypatch, kind, max_shared):
-    monkeypatch.setattr(V, "CELL_QUERIES", 4)
-    monkeypatch.setattr(V, "CELL_VECTORS", 60)
-    monkeypatch.setattr(V, "SCORE_ROWS", 16)
+def test_knn_like_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(V, "STRIPE", 4)
     vectors = RNG.integers(-4, 5, (300, 5)).astype("float32").astype(float)
     vectors[:100] = vectors[0]  # a third of all vectors are copies of one
     vectors[200] = 0
     queries = np.vstack([RNG.integers(-4, 5, (9, 5)).astype(float), vectors[0], np.zeros(5)])
     names = list(range(300)) if kind == "bigint" else [f"v{i}" for i in range(300)]
-    hits = V.knn_cosine(index(spark, vectors, names, kind), asked(spark, queries), k=7, payload=("company",), max_shared=max_shared)
+    hits = V.knn_cosine(index(spark, vectors, names, kind), asked(spark, queries), k=7, payload=("company",))
     labels = {n: f"label_{i % 3}" for i, n in enumerate(names)}
     assert all(r.company == labels[r.vec_id] for r in hits.collect())
     assert collected(hits) == brute(vectors, queries, 7, names)
@@ -60,7 +57,30 @@ def test_fewer_vectors_than_k_and_none(spark):
     assert collected(V.knn_cosine(df, asked(spark, vectors[:1]), k=9)) == brute(vectors, vectors[:1], 9, [0, 1, 2])
     assert V.knn_cosine(df, asked(spark, vectors[:1]).limit(0)).count() == 0
     assert V.knn_cosine(df.limit(0), asked(spark, vectors[:1])).count() == 0
-    assert V.knn_cosine(df.limit(0), asked(spark, vectors), max_shared=1).count() == 0
+
+
+def test_nan_takes_no_place(spark):
+    vectors = RNG.normal(size=(40, 6))
+    broken = [float("nan"), float("inf"), float("-inf")]
+    rows = [[broken[i % 3], *v[1:]] if i < 9 else list(v) for i, v in enumerate(vectors.tolist())]
+    df = index(spark, rows, list(range(40)), "bigint")
+    good = vectors[9:].astype("float32").astype(float)
+    q = spark.createDataFrame(
+        [(0, rows[20]), (1, rows[3]), (2, None), (3, [1.0, None, 0.0, 0.0, 0.0, 0.0])], "query_id int, query_vector array<float>"
+    )
+    want = brute(good, good[11:12], 8, list(range(9, 40)))
+    assert collected(V.knn_cosine(df, q, k=8)) == want
+
+
+def test_many_queries_do_not_repeat_the_payload(spark):
+    vectors = RNG.normal(size=(50, 4))
+    queries = RNG.normal(size=(5000, 4))
+    df = index(spark, vectors, list(range(50)), "bigint")
+    hits = V.knn_cosine(df, asked(spark, queries), k=3, payload=("company",))
+    exact = vectors.astype("float32").astype(float)
+    assert collected(hits) == brute(exact, queries.astype("float32").astype(float), 3, list(range(50)))
+    dealt = [line for line in hits._jdf.queryExecution().optimizedPlan().toString().split("\n") if "__block" in line and "Repartition" in line]
+    assert dealt and not any("company" in line for line in dealt)
 
 
 def test_wrong_width_is_an_error(spark):
@@ -89,12 +109,31 @@ def test_normalize(spark):
 
 
 def test_term_vectors(spark):
-    df = spark.createDataFrame([(1, "copper price rose"), (2, "Copper  price rose"), (3, "unrelated words here"), (4, "copper")], "i int, text string")
-    v = {r.i: np.array(r.embedding) for r in V.embed_terms(df, dimensions=4096).collect()}
-    assert all(len(x) == 4096 for x in v.values())
-    assert all(abs(np.linalg.norm(x) - 1) < 1e-6 for x in v.values())
-    assert v[1] @ v[4] == pytest.approx(1 / np.sqrt(3), abs=1e-6)
-    assert v[1] @ v[3] == pytest.approx(0, abs=1e-6)
+    texts = ["copper price rose", "Copper  price rose", "unrelated words here", "copper", "a b a\tA", "", None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    v = {r.i: None if r.embedding is None else dict(map(tuple, r.embedding)) for r in V.embed_terms(df).collect()}
+    assert v[0] == v[1] and v[3] == {"copper": 1.0}
+    assert v[0] == pytest.approx({"copper": 1 / 3**0.5, "price": 1 / 3**0.5, "rose": 1 / 3**0.5})
+    assert v[4] == pytest.approx({"a": 3 / 10**0.5, "b": 1 / 10**0.5})
+    assert v[5] == v[7] == {} and not v[6]
+    assert "Python" not in V.embed_terms(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def chunk_index(spark):
+    rows = [("d", 1, 0, "A", "copper prices rose"), ("d", 2, 0, "A", "copper"), ("e", 1, 0, "B", "copper"), ("e", 1, 1, "B", "tin")]
+    return V.embed_terms(
+        spark.createDataFrame(rows, "doc_id string, page_num int, chunk_idx int, company string, text string")
+    )
+
+
+def test_search_terms(spark):
+    asked = spark.createDataFrame([(1, "Copper"), (2, "copper prices"), (3, "zinc"), (4, None)], "question_id int, text string")
+    hits = V.search_terms(chunk_index(spark), asked, k=2).collect()
+    got = {(r.question_id, r.place): (r.doc_id, r.page_num, r.score, r.text) for r in hits}
+    assert got == {
+        (1, 1): ("d", 2, 1.0, "copper"), (1, 2): ("e", 1, 1.0, "copper"),
+        (2, 1): ("d", 1, round(2 / 6**0.5, 6), "copper prices rose"), (2, 2): ("d", 2, round(0.5**0.5, 6), "copper"),
+    }
 
 
 def test_adapt_schema(spark):
@@ -119,14 +158,18 @@ def test_snippets(spark):
 
 
 def test_fall_through(spark):
-    vectors = np.eye(3)
-    df = index(spark, vectors, [0, 1, 2], "bigint").withColumn("text", V.F.lit("t"))
     found = spark.createDataFrame(
-        [(1, 1, "A", "Roe", None, 1.0, "%", 4)],
+        [(i, 1, "A", "Roe", None, 1.0, "%", 4) for i in (1, 3)],
         "request_id int, place int, company string, metric_key string, metric_variant string, value double, unit string, source_page int",
     )
-    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "question_id int, query_vector array<float>")
-    rows = V.facts_else_vector(q, found, df, k=2).collect()
-    got = sorted((r.question_id, r.tool, r.place, r.page_num, r.value, r.score) for r in rows if r.place == 1)
-    assert got == [(1, "facts", 1, 4, 1.0, None), (2, "vector", 1, 1, None, 1.0)]
-    assert len(rows) == 3
+    q = spark.createDataFrame(
+        [(1, "roe of A", "facts"), (2, "tin", "facts"), (3, "copper prices", "vector"), (4, "zinc", "vector")],
+        "question_id int, text string, intent string",
+    )
+    rows = V.facts_else_vector(q, found, chunk_index(spark), k=2).collect()
+    got = sorted((r.question_id, r.tool, r.status, r.place, r.value, r.text) for r in rows if r.place in (1, None))
+    assert got == [
+        (1, "facts", "ok", 1, 1.0, None), (2, "vector", "ok", 1, None, "tin"),
+        (3, "vector", "ok", 1, None, "copper prices rose"), (4, "vector", "no hits", None, None, None),
+    ]
+    assert len(rows) == 5
