@@ -9,10 +9,13 @@ a link:
 - Only the first n - ceil(t*n) + 1 n-grams of each set enter the product, in an order that
   all sets share: two sets that reach t share one of them. The order puts frequent n-grams
   last, by a count sketch of fixed size, so common passages rarely enter.
-- Each n-gram's documents are first compared with one of them only. Pairs of what is not yet
-  connected are formed afterwards, so a group of copies never becomes all of its pairs.
+- Each n-gram's documents are first compared with one of them only, twice with different ones.
+  What is connected by then is not compared again, so a group of copies never becomes all of
+  its pairs. Of n-grams whose documents are not all connected, those with few documents give
+  their pairs; the others are cut into blocks, and each pair of blocks is multiplied as a
+  matrix in its task, so that only links leave it.
 
-Every candidate that passes the bounds is verified on the whole sets.
+Every link is decided on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,8 +33,14 @@ SKETCH_BITS = 21
 SKETCH_SLOTS = 64
 # partners of one node that are verified by one task
 PARTNERS = 1024
+# bits of the filter that keeps most texts without a candidate from being hashed again
+FILTER_BITS = 27
 # rows put into one Arrow batch of incidence entries
 ENTRIES = 1 << 18
+# documents of an n-gram up to which its pairs are rows; more are multiplied in blocks of BLOCK
+FEW = 32
+BLOCK = 1024
+COLUMNS = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -137,12 +146,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
-    """How frequent the n-grams of each counter are: 0 up to four times the mean, then one more for each doubling."""
+    """How frequent the n-grams of each counter are, in sixteenths of a doubling."""
     sums = np.zeros((SKETCH_SLOTS, (1 << SKETCH_BITS) // SKETCH_SLOTS), dtype=np.int64)
     for slot, counts in sketch.repartition("slot").mapInArrow(_added, sketch.schema).collect():
         sums[slot] = np.frombuffer(counts, dtype=np.int64)
-    sums = sums.ravel()
-    return np.frexp(sums / max(4.0, 4 * sums.mean()))[1].clip(0, 40).astype(np.uint8)
+    return np.rint(16 * np.log2(1.0 + sums.ravel())).clip(0, 1000).astype(np.uint16)
 
 
 def _incidence(words: int, percent: int, levels):
@@ -213,18 +221,58 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _whole_sets(words: int):
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slot the hashes seen in it, as bits; a slot's rows are all in one task."""
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        slots, places = (batch.column(i).to_numpy() for i in range(2))
+        for slot in np.unique(slots).tolist():
+            bits = seen.setdefault(slot, np.zeros((1 << FILTER_BITS) // SKETCH_SLOTS, dtype=bool))
+            bits[places[slots == slot]] = True
+    if seen:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.int32()), pa.array([np.packbits(b).tobytes() for b in seen.values()], pa.binary())],
+            names=["slot", "bits"],
+        )
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the hashes of doc_id: most documents that are not in ids fail it, none that is."""
+    within = (1 << FILTER_BITS) // SKETCH_SLOTS
+    found = (
+        ids.select(F.xxhash64("doc_id").alias("k"))
+        .select(
+            F.pmod("k", F.lit(SKETCH_SLOTS)).cast("int").alias("slot"),
+            F.pmod(F.shiftright("k", 6), F.lit(within)).cast("int").alias("place"),
+        )
+        .repartition("slot")
+        .mapInArrow(_bits, "slot int, bits binary")
+        .collect()
+    )
+    bitmap = np.zeros((SKETCH_SLOTS, within // 8), dtype=np.uint8)
+    for slot, bits in found:
+        bitmap[slot] = np.frombuffer(bits, dtype=np.uint8)
+    return bitmap
+
+
+def _whole_sets(words: int, bitmap):
+    """(doc_id, node, members) of the documents that pass the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for batch in batches:
-            for first, last, data, starts in text_slices(batch.column(1)):
-                _, sh, sizes = shingle_sets(data, starts, words)
+            slot, place = (batch.column(i).to_numpy() for i in (1, 2))
+            some = batch.filter(pa.array((bits[slot, place >> 3] >> (7 - (place & 7))) & 1 == 1))
+            for first, last, data, starts in text_slices(some.column(3)):
+                row, sh, sizes = shingle_sets(data, starts, words)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first),
+                        some.column(0).slice(first, last - first),
+                        pa.array(signed(_set_sums(row, sh, sizes)), mask=sizes == 0),
                         pa.array([sh[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary()),
                     ],
-                    names=["node", "members"],
+                    names=["doc_id", "node", "members"],
                 )
 
     return run
@@ -254,6 +302,79 @@ def _compare(percent: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal first columns, over the bounds of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            key = tuple(values[:, begin])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _product(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of each set of `rows` with each of `columns`, added up over blocks of n-grams."""
+    every = np.concatenate([*rows, *columns])
+    words, place = np.unique(every, return_inverse=True)
+    sizes = [len(r) for r in (*rows, *columns)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for begin in range(0, len(words), COLUMNS):
+        low, high = np.searchsorted(place, [begin, begin + COLUMNS])
+        block = np.zeros((len(sizes), min(COLUMNS, len(words) - begin)), dtype=np.float32)
+        block[owner[low:high], place[low:high] - begin] = 1
+        out += block[: len(rows)] @ block[len(rows) :].T
+    return out
+
+
+def _multiplied(percent: int):
+    """Links (a, b) between documents of one n-gram that are not connected yet, from blocks of whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+            node, component, block = (group.column(c).to_numpy() for c in ("node", "component", "block"))
+            sets = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in group.column("members").combine_chunks()]
+            sizes = np.array([len(s) for s in sets])
+            names, counts = np.unique(component, return_counts=True)
+            # documents of the largest component need not be compared with each other
+            ours = np.flatnonzero(component != names[counts.argmax()])
+            a, b = [], []
+            for begin in range(0, len(ours), 256):
+                some = ours[begin : begin + 256]
+                both = _product([sets[i] for i in some], sets)
+                linked = 100 * both >= percent * (sizes[some][:, None] + sizes[None, :] - both)
+                linked &= component[some][:, None] != component[None, :]
+                if x != y:
+                    linked &= block[some][:, None] != block[None, :]
+                for i, line in zip(some, linked, strict=True):
+                    partners = np.flatnonzero(line)
+                    if len(partners):
+                        # one link to each other component connects as much as all of them
+                        first = np.unique(component[partners], return_index=True)[1]
+                        a.append(np.full(len(first), node[i]))
+                        b.append(node[partners[first]])
+            if a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
+                )
+
+    return run
+
+
 def _fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -264,23 +385,38 @@ def _may_reach(both: Column, n: Column, m: Column, percent: int) -> Column:
     return (100 + percent) * (both + rest) >= percent * (n + m)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _with_sets(rows: DataFrame, first: DataFrame, plain: DataFrame, words: int) -> DataFrame:
+    """The rows (with node) and the whole set of each node, read from the text of one of its documents.
+
+    The texts themselves do not move: a bitmap of fixed size goes to the tasks that read them,
+    and only sets of documents that pass it come back.
+    """
+    chosen = stored(first.join(rows.select("node").distinct(), "node", "left_semi"), "chosen")
+    bitmap = plain.sparkSession.sparkContext.broadcast(_filter(chosen))
+    within = (1 << FILTER_BITS) // SKETCH_SLOTS
+    key = F.xxhash64("doc_id")
+    sets = plain.select(
+        "doc_id",
+        F.pmod(key, F.lit(SKETCH_SLOTS)).cast("int"),
+        F.pmod(F.shiftright(key, 6), F.lit(within)).cast("int"),
+        "text",
+    ).mapInArrow(_whole_sets(words, bitmap), "doc_id long, node long, members binary")
+    return rows.join(chosen, "node").join(sets, ["doc_id", "node"]).drop("doc_id")
+
+
+def _verified(pairs: DataFrame, with_sets, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
     share = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    salt = F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     roles = stored(
         pairs.join(share, "a")
-        .select("a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), F.lit(1).alias("partner"), F.col("b").alias("node"))
-        .union(
-            share.select(
-                "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("partner"), F.col("a").alias("node")
-            )
-        ),
+        .select("a", salt, F.lit(1).alias("partner"), F.col("b").alias("node"))
+        .union(share.select("a", every_salt, F.lit(0).alias("partner"), F.col("a").alias("node"))),
         "roles",
     )
-    wanted = texts.join(roles.select("node").distinct(), "node", "left_semi")
-    sets = wanted.select("node", "text").mapInArrow(_whole_sets(words), "node long, members binary")
     return (
-        roles.join(sets, "node")
+        with_sets(roles)
         .select("a", "salt", "partner", "node", "members")
         .repartition("a", "salt")
         .sortWithinPartitions("a", "salt", "partner")
@@ -288,6 +424,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     )
 
 
+def _spokes(placed: DataFrame, order: Column, least: Column) -> DataFrame:
+    """(a, b): each node with the first one, by `order`, of each of its n-grams, where they are not connected.
+
+    `least` says by the number of n-grams (both) they met in, and their sizes n and m, which pairs to try.
+    """
+    centres = placed.groupBy("h").agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("c"))
+    return stored(
+        placed.join(centres, "h")
+        .where(F.col("component") != F.col("c.component"))
+        .groupBy(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b"))
+        .agg(
+            F.count("*").alias("both"),
+            F.least(F.first("n"), F.first("c.n")).alias("n"),
+            F.greatest(F.first("n"), F.first("c.n")).alias("m"),
+        )
+        .where(least)
+        .select("a", "b"),
+        "spokes",
+    )
+
+
+def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The incidence entries of n-grams whose nodes are not all connected by the links, with their component."""
+    joined = components(links)
+    placed = shared.join(joined, "node", "left").select(
+        "h", "node", "n", F.coalesce("component", "node").alias("component")
+    )
+    open_ones = (
+        placed.groupBy("h")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("docs"))
+        .where("x < y")
+        .select("h", "docs")
+    )
+    return stored(placed.join(open_ones, "h"), "open")
+
+
 def ngram_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -319,28 +491,23 @@ def ngram_groups(
 
     # one document with each set, for the texts of the candidates
     first = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts_of = lambda pairs: _with_text(plain, first, pairs)
-
-    centres = shared.groupBy("h").agg(F.min(F.struct("node", "n")).alias("c"))
-    spokes = stored(
-        shared.join(centres, "h")
-        .where((F.col("node") != F.col("c.node")) & _fits(F.col("n"), F.col("c.n"), percent))
-        .groupBy(F.col("c.node").alias("a"), F.col("node").alias("b"))
-        .agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("c.n").alias("m"))
-        .where(_may_reach(F.col("both"), F.col("n"), F.col("m"), percent))
-        .select("a", "b"),
-        "spokes",
-    )
-    links = stored(_verified(spokes, texts_of(spokes), words, percent), "links")
-    joined = components(links)
 
-    placed = shared.join(joined, "node", "left").select(
-        "h", "node", "n", F.coalesce("component", "node").alias("component")
-    )
-    open_ones = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    left = stored(placed.join(open_ones.select("h"), "h", "left_semi"), "open")
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        return _with_sets(nodes, first, plain, words)
+
+    sizes_fit = _fits(F.col("n"), F.col("m"), percent)
+    reach = sizes_fit & _may_reach(F.col("both"), F.col("n"), F.col("m"), percent)
+    apart = shared.withColumn("component", F.col("node"))
+    links = stored(_verified(_spokes(apart, F.col("node"), reach), with_sets, percent), "links")
+    placed = _placed(shared, links)
+    # n-grams of many documents try another centre each
+    again = _spokes(placed.where(F.col("docs") > FEW), F.xxhash64("h", "node"), sizes_fit)
+    links = stored(links.union(_verified(again, with_sets, percent)), "links")
+    placed = _placed(shared, links)
+
+    left = placed.where(F.col("docs") <= FEW)
     right = left.select(*[F.col(c).alias(f"{c}_2") for c in left.columns])
-    rest = stored(
+    few = stored(
         left.join(
             right,
             (F.col("h") == F.col("h_2"))
@@ -349,12 +516,29 @@ def ngram_groups(
         )
         .groupBy(F.col("node").alias("a"), F.col("node_2").alias("b"))
         .agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("n_2").alias("m"))
+        # a pair that also shares an n-gram of many documents is decided there, whatever is counted here
         .where(_may_reach(F.col("both"), F.col("n"), F.col("m"), percent))
         .select("a", "b"),
         "pairs",
     )
-    links = links.union(_verified(rest, texts_of(rest), words, percent))
-    joined = components(links)
+    many = placed.where(F.col("docs") > FEW).withColumn("blocks", F.ceil(F.col("docs") / BLOCK).cast("int"))
+    many = stored(
+        many.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+            "node", "component", "block",
+        ),
+        "blocks",
+    )
+    multiplied = (
+        with_sets(many)
+        .select("h", "x", "y", "node", "component", "block", "members")
+        .repartition("h", "x", "y")
+        .sortWithinPartitions("h", "x", "y")
+        .mapInArrow(_multiplied(percent), "a long, b long")
+    )
+    joined = components(links.union(_verified(few, with_sets, percent)).union(multiplied))
 
     grouped = rows.join(joined, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("group")
@@ -365,13 +549,6 @@ def ngram_groups(
     )
 
 
-def _with_text(plain: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in pairs, one row each."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = stored(first.join(nodes, "node", "left_semi"), "chosen")
-    return plain.join(chosen, "doc_id").select("node", "text").dropDuplicates(["node"])
-
-
 def first_of_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that are the first (smallest doc_id) of their group of near copies.
 
