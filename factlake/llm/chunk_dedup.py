@@ -92,8 +92,8 @@ def repeated_passages(
     """One row per repeated passage: doc_id, begin, end (bytes, end exclusive), n_words, n_chunks, first_doc_id, kept.
 
     A chunk is repeated if two doc_ids hold it; first_doc_id is the smallest doc_id that holds
-    one of the passage's chunks, kept says that no chunk of the passage has a smaller holder
-    than this document. Documents without a repeated passage of min_words words have no row.
+    one of the passage's chunks, kept says that this document is the smallest holder of all of
+    them; a passage never mixes chunks of both kinds. Documents without a repeated passage of min_words words have no row.
     Null and empty texts and null doc_ids have none; equal rows count once, rows of one doc_id
     never repeat each other; very long texts are chunked whole; an empty table gives none.
     """
@@ -106,7 +106,10 @@ def repeated_passages(
     )
     repeated = found.join(held, "digest").select("doc_id", "version", "begin", "end", "words", "first_doc").distinct()
     order = Window.partitionBy("doc_id", "version").orderBy("begin")
-    opens = F.when(F.lag("end").over(order) == F.col("begin"), 0).otherwise(1)
+    # a run ends where the text does, and where it changes whether this document is the first holder
+    own = F.col("first_doc") == F.col("doc_id")
+    goes_on = (F.lag("end").over(order) == F.col("begin")) & (F.lag(own).over(order) == own)
+    opens = F.when(goes_on, 0).otherwise(1)
     runs = repeated.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
     return (
         runs.groupBy("doc_id", "version", "run")
@@ -116,7 +119,7 @@ def repeated_passages(
             F.sum("words").alias("n_words"),
             F.count("*").alias("n_chunks"),
             F.min("first_doc").alias("first_doc_id"),
-            (F.max("first_doc") == F.col("doc_id")).alias("kept"),
+            F.bool_and(F.col("first_doc") == F.col("doc_id")).alias("kept"),
         )
         .where(F.col("n_words") >= min_words)
         .select("doc_id", "begin", "end", "n_words", "n_chunks", "first_doc_id", "kept")

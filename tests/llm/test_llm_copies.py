@@ -138,14 +138,15 @@ def brute_runs(rows):
     for d, parts in chunks.items():
         run = []
         for b, e, c in [*parts, (None, None, None)]:
-            if c is not None and len(held[c]) > 1:
+            shared = c is not None and len(held[c]) > 1
+            if shared and (not run or (min(held[c]) == d) == (min(held[run[-1][2]]) == d)):
                 run.append((b, e, c))
                 continue
             text = b"".join(c for _, _, c in run)
             first = {min(held[c]) for _, _, c in run}
             if run:
                 out.add((d, run[0][0], run[-1][1], len(run), min(first), max(first) == d, text))
-            run = []
+            run = [(b, e, c)] if shared else []
     return out
 
 
