@@ -20,7 +20,8 @@ def _pieces(text: Column, size: int, overlap: int) -> Column:
     earliest = math.ceil(size * K.CHUNK_BREAK_SHARE)
     total = F.length(text)
     most_steps = F.floor(total / max(earliest - overlap, 1)).cast("int") + 2
-    blocks = F.split(text, f"(?s)(?<=\\G.{{{size}}})", -1)
+    # no look-behind: Java steps back in UTF-16 units there, so characters beyond U+FFFF would shift the cuts
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
     def next_window(state: Column, _: Column) -> Column:
         here = F.floor(state["at"] / size).cast("int")

@@ -40,6 +40,13 @@ def test_chunks_like_plain_loop(spark):
     assert max(len(c) for cs in got for c in cs) <= 800
 
 
+def test_characters_beyond_the_first_plane(spark):
+    rng = random.Random(8)
+    texts = ["😀" + "x" * 2000, "x" * 400 + "😀" + "y" * 9599, "x" * 799 + "😀" * 3 + "y" * 900, "𠀀" * 1700, "😀" * 800]
+    texts += ["".join(rng.choices("ab😀𠀀\r.", weights=[9, 9, 3, 3, 1, rng.random()], k=rng.randint(700, 9000))).strip() for _ in range(20)]
+    assert chunked(spark, texts) == [plain_chunks(t) for t in texts]
+
+
 def test_long_text_is_whole(spark):
     text = " ".join(str(i) for i in range(60_000))
     pieces = chunked(spark, [text])[0]
