@@ -89,11 +89,13 @@ def chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def repeated_passages(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """One row per repeated passage: doc_id, begin, end (bytes, end exclusive), n_words, n_chunks, first_doc_id, kept.
+    """One row per part of a repeated passage: doc_id, begin, end (bytes, end exclusive), n_words, n_chunks, first_doc_id, kept.
 
-    A chunk is repeated if two doc_ids hold it; first_doc_id is the smallest doc_id that holds
-    one of the passage's chunks, kept says that this document is the smallest holder of all of
-    them; a passage never mixes chunks of both kinds. Documents without a repeated passage of min_words words have no row.
+    A chunk is repeated if two doc_ids hold it; a passage is a run of neighbouring repeated chunks
+    with min_words words in all. It is cut into parts where it changes whether this document is the
+    smallest holder (kept). Each part has a row, however short: begin, end, n_chunks, first_doc_id (the
+    smallest doc_id that holds one of its chunks) and kept are the part's, n_words counts the words of
+    the whole passage. Documents without a repeated passage have no row.
     Null and empty texts and null doc_ids have none; equal rows count once, rows of one doc_id
     never repeat each other; very long texts are chunked whole; an empty table gives none.
     """
@@ -106,21 +108,27 @@ def repeated_passages(
     )
     repeated = found.join(held, "digest").select("doc_id", "version", "begin", "end", "words", "first_doc").distinct()
     order = Window.partitionBy("doc_id", "version").orderBy("begin")
-    # a run ends where the text does, and where it changes whether this document is the first holder
+    # a run ends where the text does; a part of it also where it changes whether this document is the first holder
     own = F.col("first_doc") == F.col("doc_id")
-    goes_on = (F.lag("end").over(order) == F.col("begin")) & (F.lag(own).over(order) == own)
-    opens = F.when(goes_on, 0).otherwise(1)
-    runs = repeated.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    breaks = F.when(F.lag("end").over(order) == F.col("begin"), 0).otherwise(1)
+    turns = F.when(F.lag(own).over(order) == own, F.col("breaks")).otherwise(1)
+    runs = (
+        repeated.select("*", breaks.alias("breaks"))
+        .select("*", turns.alias("turns"))
+        .select("*", F.sum("breaks").over(order).alias("run"), F.sum("turns").over(order).alias("part"))
+    )
+    parts = runs.groupBy("doc_id", "version", "run", "part").agg(
+        F.min("begin").alias("begin"),
+        F.max("end").alias("end"),
+        F.sum("words").alias("words"),
+        F.count("*").alias("n_chunks"),
+        F.min("first_doc").alias("first_doc_id"),
+        F.bool_and(F.col("first_doc") == F.col("doc_id")).alias("kept"),
+    )
+    # the whole run counts: a line that an earlier document holds too does not hide the passage around it
+    whole = Window.partitionBy("doc_id", "version", "run")
     return (
-        runs.groupBy("doc_id", "version", "run")
-        .agg(
-            F.min("begin").alias("begin"),
-            F.max("end").alias("end"),
-            F.sum("words").alias("n_words"),
-            F.count("*").alias("n_chunks"),
-            F.min("first_doc").alias("first_doc_id"),
-            F.bool_and(F.col("first_doc") == F.col("doc_id")).alias("kept"),
-        )
+        parts.withColumn("n_words", F.sum("words").over(whole))
         .where(F.col("n_words") >= min_words)
         .select("doc_id", "begin", "end", "n_words", "n_chunks", "first_doc_id", "kept")
     )

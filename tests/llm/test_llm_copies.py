@@ -176,6 +176,25 @@ def test_repeated_passages(spark):
     assert all(after[i] == texts[i] for i in clean)
 
 
+def test_passages_around_a_line_of_an_earlier_document(spark):
+    rng = random.Random(31)
+    rows, holders = [], {}
+    for i in range(40):
+        line = llm_data.prose(rng, 12)
+        around = [llm_data.prose(rng, 19), llm_data.prose(rng, 20)]
+        passage = f"{around[0]} {line} {around[1]}"
+        rows.append((i, f"{llm_data.prose(rng, 30)} {line} {llm_data.prose(rng, 30)}", "en", "s", 1))
+        for d in (100 + 2 * i, 101 + 2 * i):
+            rows.append((d, f"{llm_data.prose(rng, 40)} {passage} {llm_data.prose(rng, 30)}", "en", "s", 1))
+            holders[d] = passage
+    found = chunk_dedup.repeated_passages(llm_data.table(spark, rows)).collect()
+    assert {r.doc_id for r in found} >= set(holders)
+    firsts = {r.doc_id for r in found if r.kept}
+    assert firsts >= {d for d in holders if d % 2 == 0}
+    brute = {w[:6] for w in brute_runs(rows)}
+    assert {(r.doc_id, r.begin, r.end, r.n_chunks, r.first_doc_id, r.kept) for r in found} <= brute
+
+
 def test_cuts_resist_insertions():
     import numpy as np
 
