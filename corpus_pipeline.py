@@ -18,10 +18,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose text scores 0.5 or more; the lexicon comes from the labelled rows of docs."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    added = [c for c in ("held_out", "score", "predicted") if c in docs.columns]
-    if added:
-        raise ValueError(f"documents have columns of the operator: {added}")
-    return toxicity.toxicity(docs, lexicon).where(F.col("predicted") == 0).select(*docs.columns)
+    inner = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(name) for c, name in inner.items()])
+    scored = toxicity.toxicity(rows, lexicon, inner["text"], inner["doc_id"]).where(F.col("predicted") == 0)
+    return scored.select(*[F.col(name).alias(c) for c, name in inner.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import importlib.util
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import oracle_check
 from factlake.llm import queries
@@ -68,3 +69,21 @@ def test_pipeline(spark):
     last = corpus_pipeline.run(spark, SF_DIR)
     rows = last.collect()
     assert {r.doc_id for r in rows} <= ids and all(len(r.ids) == r.n_tokens == len(r.begins) for r in rows)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_stages_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    extra = dict(held_out="h", score="s", predicted=7, component_id="c", found="f", ids="i", decoded="d", n_tokens="n", size="z", part="p", whole="w", taken="t")
+    clashing = plain.withColumns({c: F.lit(v) for c, v in extra.items()})
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, SF_DIR), stage(spark, clashing, SF_DIR)
+        if name == "pieces":
+            assert got.columns == want.columns
+        else:
+            assert got.columns == clashing.columns, name
+            assert not got.where(" or ".join(f"{c} is null or {c} <> '{v}'" for c, v in extra.items())).count(), name
+        rows = [sorted(map(str, df.select(*want.columns).collect())) for df in (want, got)]
+        assert rows[0] == rows[1] and rows[0], name
