@@ -41,9 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source of each row of the mix with its ids and the byte spans they stand for."""
+    """doc_id, lang and source of each row of the mix with its ids, the byte spans they stand for and what they decode to."""
     rows = docs.select("doc_id", "lang", "source", "text")
-    return pieces.encode_pieces(rows, public_tokenizers.path(PIECE_MODEL), outputs=("ids", "begins", "ends"))
+    return pieces.encode_pieces(rows, public_tokenizers.path(PIECE_MODEL), outputs=("ids", "begins", "ends", "decoded"))
 
 
 STAGES = [

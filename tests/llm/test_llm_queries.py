@@ -87,3 +87,15 @@ def test_pipeline_stages_with_clashing_columns(spark):
             assert not got.where(" or ".join(f"{c} is null or {c} <> '{v}'" for c, v in extra.items())).count(), name
         rows = [sorted(map(str, df.select(*want.columns).collect())) for df in (want, got)]
         assert rows[0] == rows[1] and rows[0], name
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+def test_pipeline_decodes(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path(corpus_pipeline.PIECE_MODEL)))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = corpus_pipeline.encode(spark, docs, SF_DIR).collect()
+    assert rows and all(r.decoded == library.decode(list(r.ids)) for r in rows)
