@@ -9,6 +9,7 @@ from factlake.llm.common import stored
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_AFTER_BLANKS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 # The seeded order is cut into DIGIT_STEPS parts, the part where the mix ends again, LEVELS times.
 DIGIT_STEPS = 256
@@ -166,8 +167,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The documents of the mix, with the columns of docs.
 
-    A document that is taken k times whole is k rows; what is taken in part is a row of that
-    many of its words. n_chars, where there is one, follows the text.
+    A document that is taken k times whole is k rows; what is taken in part is a row with
+    its text up to the end of that many words, blanks as they are. n_chars, where there is one, follows the text.
     """
     plan = _plan(stored(_measured(docs, text, source, doc_id, seed), "sizes"), weights, max_epochs)
     inner = {c: f"__{i}" for i, c in enumerate(docs.columns)}
@@ -180,7 +181,8 @@ def mixed_documents(
     copies = F.concat(F.array_repeat(F.lit(None).cast("long"), whole.cast("int")), some)
     rows = rows.select(*inner.values(), F.explode(copies).alias("__words"))
     body = F.col(inner[text])
-    cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), 1, F.col("__words").cast("int")), " ")
+    words = F.regexp_extract_all(body, F.lit(WORD_AFTER_BLANKS), F.lit(0))
+    cut = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), "")
     rows = rows.withColumn(inner[text], F.when(F.col("__words").isNull(), body).otherwise(cut))
     if "n_chars" in inner and dict(docs.dtypes)["n_chars"] in ("int", "bigint"):
         length = F.when(F.col("__words").isNull(), F.col(inner["n_chars"])).otherwise(F.length(inner[text]))

@@ -80,6 +80,18 @@ def test_mixed_documents_hold_what_was_taken(spark):
     assert held == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
 
 
+def test_a_document_in_part_keeps_its_blanks(spark):
+    text = "\n\n" + "\n\n".join(f"line {i}\tof  some\r\nwords" for i in range(200)) + "\n"
+    rows = [(i, text, "en", s, len(text)) for i, s in enumerate(["a", "b", "c", "d"])]
+    out = mixing.mixed_documents(llm_data.table(spark, rows)).collect()
+    parts = [r for r in out if r.text != text]
+    assert parts and all(text.startswith(r.text) and r.n_chars == len(r.text) for r in parts)
+    held = {}
+    for r in out:
+        held[r.doc_id] = held.get(r.doc_id, 0) + words(r.text)
+    assert held == {r.doc_id: r.taken for r in mixing.mix(llm_data.table(spark, rows)).collect() if r.taken}
+
+
 def plain_spans(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
