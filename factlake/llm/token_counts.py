@@ -24,9 +24,9 @@ BLANK = "▁"
 # costs time and changes nothing else.
 REMEMBERED = 600_000
 
-# Texts are split here: before a run of blanks, and around line ends, which are bytes of their
-# own in models without a piece that holds them.
-PRETOKEN = re.compile(r" *[^ ]+| +")
+# Texts are split here: before a run of blanks, the character that stands for a blank among them, and
+# around line ends, which are bytes of their own in models without a piece that holds them.
+PRETOKEN = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
 
 
 def check_model(model: sentencepiece.SentencePieceProcessor) -> None:
@@ -50,9 +50,6 @@ def _counter(model_path: str) -> Callable[[list[str]], list[int]]:
     def count(texts: list[str]) -> list[int]:
         out = []
         for text in texts:
-            if BLANK in text:
-                out.append(len(model.encode(text, num_threads=1)))
-                continue
             # the model puts one blank before the text
             frequency = Counter(PRETOKEN.findall(" " + text)) if text else Counter()
             missing = [p for p in frequency if p not in known]

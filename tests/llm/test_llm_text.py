@@ -35,6 +35,22 @@ def test_counts_of_odd_texts(model):
     assert count(texts) == [len(model.encode(t)) for t in texts]
 
 
+def test_texts_with_the_blank_mark_are_cut_too(model, monkeypatch):
+    longest = []
+
+    class Recording(sentencepiece.SentencePieceProcessor):
+        def encode(self, texts, *args, **options):
+            longest.append(max(map(len, [texts] if isinstance(texts, str) else texts), default=0))
+            return super().encode(texts, *args, **options)
+
+    monkeypatch.setattr(token_counts.sentencepiece, "SentencePieceProcessor", Recording)
+    count = token_counts._counter(MODEL)
+    texts = ["▁", "▁▁", " ▁ ", "a▁b", "\n▁a▁\n", "some words ▁ and▁more " * 50]
+    got = count(texts)
+    assert max(longest) < 12
+    assert got == [len(model.encode(t)) for t in texts]
+
+
 def test_forgetting_changes_no_count(model, monkeypatch):
     monkeypatch.setattr(token_counts, "REMEMBERED", 5)
     texts = [t for _, t, *_ in llm_data.documents() if t and len(t) < 5000]
