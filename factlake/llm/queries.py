@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factlake.llm import (
+    ball_codes,
     chunk_dedup,
     hamming,
     langid,
@@ -13,6 +16,7 @@ from factlake.llm import (
     mixing,
     ngram_jaccard,
     pieces,
+    quality,
     secret_scan,
     token_counts,
     toxicity,
@@ -70,6 +74,24 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, public_tokenizers.path(PIECE_MODEL), outputs=wanted)
 
 
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = ball_codes.fit_codes(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.entries.reshape(-1).tolist())).encode()).hexdigest()
+    return ball_codes.with_label_error(books.codes).select(
+        F.col("id").alias("vec_id"),
+        ball_codes.code_text(F.col("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(digest).alias("codebooks_sha256"),
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -81,8 +103,126 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_pieces": op10_pieces,
+    "op12_ball_codes": op12_ball_codes,
+    "op13_quality_rules": op13_quality_rules,
 }
 
+
+def _ball_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round as its own pair of steps: all distances, then means."""
+    steps = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), pieces AS MATERIALIZED (
+  SELECT vec_id, p, q[CAST(p * len(q) // {parts} + 1 AS BIGINT) : CAST((p + 1) * len(q) // {parts} AS BIGINT)] AS x
+  FROM kept, range({parts}) AS r(p)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+), book0 AS MATERIALIZED (
+  SELECT p, e, x AS c FROM firsts JOIN pieces USING (vec_id)
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x, min((d, e)) AS best
+  FROM (
+    SELECT vec_id, pieces.p, x, e,
+      list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM pieces JOIN book{i} ON pieces.p = book{i}.p
+  ) GROUP BY 1, 2
+)""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS (
+  SELECT p, e, list(floor_mean ORDER BY place) AS c FROM (
+    SELECT p, e, place, (s - ((s % n) + n) % n) // n AS floor_mean FROM (
+      SELECT p, best[2] AS e, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT p, best, unnest(x) AS v, unnest(range(len(x))) AS place FROM near{i}) GROUP BY 1, 2, 3
+    )
+  ) GROUP BY 1, 2
+), book{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(mean{i}.c, book{i}.c) AS c FROM book{i} LEFT JOIN mean{i} USING (p, e)
+)""")
+    return ",\n".join(steps) + f""", coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY 1
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest"""
+
+
+def _quality_sql() -> str:
+    """The same counts by splitting, and the same sketches and fences as whole numbers."""
+    values, fences, failed = [], [], []
+    for rule, (above, factor, below, least, has_low) in quality.RULES.items():
+        values.append(f"SELECT a, b, '{rule}' AS rule, CASE WHEN {below} > 0 THEN {above} * {factor} // {below} ELSE 0 END AS v FROM m WHERE n_words > 0")
+        fences.append(f"WHEN '{rule}' THEN {least}")
+        value = f"(CASE WHEN {below} > 0 THEN {above} * {factor} // {below} ELSE 0 END)"
+        low = f" OR {value} < f_{rule}.low" if has_low else ""
+        failed.append(f"({value} > f_{rule}.high{low})")
+    joins = " ".join(
+        f"LEFT JOIN fences f_{r} ON f_{r}.rule = '{r}' AND f_{r}.a IS NOT DISTINCT FROM m.a AND f_{r}.b IS NOT DISTINCT FROM m.b"
+        for r in quality.RULES
+    )
+    return rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang AS a, source AS b, coalesce(text, '') AS t FROM documents
+), words AS MATERIALIZED (
+  SELECT rid, unnest(w) AS w, unnest(range(len(w))) AS i FROM (
+    SELECT rid, regexp_extract_all(t, '[^ 	-]+') AS w FROM docs)
+), windows AS MATERIALIZED (
+  SELECT x.rid, x.i, x.w || ' ' || y.w || ' ' || z.w AS s
+  FROM words x JOIN words y ON y.rid = x.rid AND y.i = x.i + 1 JOIN words z ON z.rid = x.rid AND z.i = x.i + 2
+), twice AS (
+  SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, s) > 1
+), repeated AS (
+  SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS i FROM twice, range(3) AS r(k)) GROUP BY 1
+), counted AS (
+  SELECT rid, count(*) AS n, sum(length(w)) AS chars FROM words GROUP BY 1
+), lines AS (
+  SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1
+), m AS MATERIALIZED (
+  SELECT doc_id, a, b, CAST(coalesce(counted.n, 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words
+  FROM docs LEFT JOIN counted USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)
+), vals AS (
+  {' UNION ALL '.join(values)}
+), levels AS (
+  SELECT 0 AS level, a, b, rule, v FROM vals UNION ALL SELECT 1, a, NULL, rule, v FROM vals
+  UNION ALL SELECT 2, NULL, NULL, rule, v FROM vals
+), sketch AS (
+  SELECT level, a, b, rule, bucket, count(*) AS n FROM (
+    SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket FROM levels)
+  GROUP BY ALL
+), upto AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, a, b, rule ORDER BY bucket) AS u,
+    sum(n) OVER (PARTITION BY level, a, b, rule) AS total FROM sketch
+), quartiles AS (
+  SELECT level, a, b, rule, max(total) AS total, min(bucket) FILTER (4 * u >= total) AS q1, min(bucket) FILTER (4 * u >= 3 * total) AS q3
+  FROM upto GROUP BY ALL
+), bounds AS (
+  SELECT *, {quality.REACH} * greatest(q3 - q1, CASE rule {' '.join(fences)} END) AS d FROM quartiles
+), fences AS (
+  SELECT g.a, g.b, g.rule, arg_min(o.q1 - o.d, o.level) AS low, arg_min(o.q3 + o.d, o.level) AS high
+  FROM (SELECT * FROM bounds WHERE level = 0) g JOIN bounds o ON o.rule = g.rule AND (
+    (o.level = 0 AND o.a IS NOT DISTINCT FROM g.a AND o.b IS NOT DISTINCT FROM g.b)
+    OR (o.level = 1 AND o.a IS NOT DISTINCT FROM g.a) OR o.level = 2)
+  WHERE o.total >= {quality.LEAST_DOCS} OR o.level = 2 GROUP BY ALL
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce({' OR '.join(failed)}, false) AS kept
+FROM m {joins}
+"""
+
+
 ORACLES = {
     "op4_ngram_jaccard": r"""
 WITH RECURSIVE texts AS (
@@ -162,4 +302,6 @@ WITH RECURSIVE units AS (
 SELECT vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
 FROM reach LEFT JOIN counts ON x = vec_id GROUP BY vec_id
 """,
+    "op12_ball_codes": _ball_codes_sql(),
+    "op13_quality_rules": _quality_sql(),
 }
