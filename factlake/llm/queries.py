@@ -16,6 +16,7 @@ from factlake.llm import (
     mixing,
     ngram_jaccard,
     pieces,
+    prefix_trie,
     quality,
     secret_scan,
     token_counts,
@@ -74,6 +75,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, public_tokenizers.path(PIECE_MODEL), outputs=wanted)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("digest1", "digest2")
+
+
 def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = ball_codes.fit_codes(table(spark, sf_dir, "embeddings"))
     digest = hashlib.sha256(",".join(map(str, books.entries.reshape(-1).tolist())).encode()).hexdigest()
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_pieces": op10_pieces,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ball_codes": op12_ball_codes,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -172,7 +178,8 @@ WITH docs AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, lang AS a, source AS b, coalesce(text, '') AS t FROM documents
 ), words AS MATERIALIZED (
   SELECT rid, unnest(w) AS w, unnest(range(len(w))) AS i FROM (
-    SELECT rid, regexp_extract_all(t, '[^ 	-]+') AS w FROM docs)
+    SELECT rid, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM docs)
 ), windows AS MATERIALIZED (
   SELECT x.rid, x.i, x.w || ' ' || y.w || ' ' || z.w AS s
   FROM words x JOIN words y ON y.rid = x.rid AND y.i = x.i + 1 JOIN words z ON z.rid = x.rid AND z.i = x.i + 2
@@ -185,7 +192,8 @@ WITH docs AS MATERIALIZED (
 ), lines AS (
   SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1
 ), m AS MATERIALIZED (
   SELECT doc_id, a, b, CAST(coalesce(counted.n, 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -301,6 +309,51 @@ WITH RECURSIVE units AS (
 )
 SELECT vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
 FROM reach LEFT JOIN counts ON x = vec_id GROUP BY vec_id
+""",
+    "op11_prefix_trie": """
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL
+), bits(conv_id, at, step, crc) AS (
+  SELECT conv_id, 0, 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT conv_id, CASE WHEN step = 8 THEN at + 1 ELSE at END, CASE WHEN step = 8 THEN 0 ELSE step + 1 END,
+    CASE WHEN step = 0 THEN xor(crc, ascii(substr(CAST(conv_id AS VARCHAR), at + 1, 1))::BIGINT)
+      WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END
+  FROM (SELECT *, CASE WHEN step = 8 THEN 1 ELSE 0 END AS turn_over FROM bits)
+  WHERE turn_over = 0 AND at < length(CAST(conv_id AS VARCHAR))
+    OR turn_over = 1
+), shares AS (
+  SELECT conv_id, xor(crc, 4294967295::BIGINT) % 6 AS h FROM bits
+  WHERE at = length(CAST(conv_id AS VARCHAR)) AND step = 0
+), placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(x ORDER BY place) AS turns FROM placed GROUP BY 1
+), rebuilt AS MATERIALIZED (
+  SELECT conv_id, coalesce(b.turns[1:h], []) || own.turns[h + 1:] AS turns
+  FROM own JOIN shares USING (conv_id) LEFT JOIN own b ON b.conv_id = conv_id - conv_id % 100
+), starts AS MATERIALIZED (
+  SELECT conv_id, d, turns[1:d] AS node, len(turns) AS n FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '') AS ends
+  FROM starts GROUP BY ALL
+), kids AS (
+  SELECT node[1:d - 1] AS parent, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), whole AS MATERIALIZED (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * coalesce(length(node[d].t), 0) AS saved
+  FROM nodes LEFT JOIN kids ON kids.parent = node
+), sums AS (
+  SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT DISTINCT a.node AS top, b.node AS node FROM starts a JOIN starts b ON a.conv_id = b.conv_id AND a.d <= b.d) pairs
+  JOIN whole USING (node) GROUP BY 1
+)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs,
+  CAST(w.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums ON sums.top = w.node LEFT JOIN nodes p ON w.d > 0 AND p.node = w.node[1:w.d - 1]
 """,
     "op12_ball_codes": _ball_codes_sql(),
     "op13_quality_rules": _quality_sql(),

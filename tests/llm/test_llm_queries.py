@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op9_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op10_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
     "op12_ball_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
     "op13_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
