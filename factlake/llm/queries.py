@@ -311,20 +311,16 @@ SELECT vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS com
 FROM reach LEFT JOIN counts ON x = vec_id GROUP BY vec_id
 """,
     "op11_prefix_trie": """
-WITH RECURSIVE ids AS (
+WITH ids AS (
   SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL
-), bits(conv_id, at, step, crc) AS (
-  SELECT conv_id, 0, 0, 4294967295::BIGINT FROM ids
-  UNION ALL
-  SELECT conv_id, CASE WHEN step = 8 THEN at + 1 ELSE at END, CASE WHEN step = 8 THEN 0 ELSE step + 1 END,
-    CASE WHEN step = 0 THEN xor(crc, ascii(substr(CAST(conv_id AS VARCHAR), at + 1, 1))::BIGINT)
-      WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END
-  FROM (SELECT *, CASE WHEN step = 8 THEN 1 ELSE 0 END AS turn_over FROM bits)
-  WHERE turn_over = 0 AND at < length(CAST(conv_id AS VARCHAR))
-    OR turn_over = 1
+), bits AS (
+  SELECT conv_id, list_reduce([4294967295::BIGINT] || range(8 * length(CAST(conv_id AS VARCHAR))), lambda c, i:
+    xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END::BIGINT) >> 1,
+      3988292384::BIGINT
+        * (xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END::BIGINT) & 1))) AS crc
+  FROM ids
 ), shares AS (
   SELECT conv_id, xor(crc, 4294967295::BIGINT) % 6 AS h FROM bits
-  WHERE at = length(CAST(conv_id AS VARCHAR)) AND step = 0
 ), placed AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
     {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x
