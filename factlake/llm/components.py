@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from factlake.llm.common import stored
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their number and fingerprint, taken while they are written."""
+    seen = Observation()
+    marks = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+    now = stored(edges.observe(seen, *marks), "edges")
+    return now, (seen.get["n"], seen.get["x"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,8 +47,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .union(least.select("a", F.col("low").alias("b")))
             .distinct()
         )
-        now = stored(small, "edges")
-        before, mark = mark, _fingerprint(now)
+        before = mark
+        now, mark = _written(small)
         if before == mark:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def merged(known: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) after more edges, from that of the edges before.
+
+    The edges are turned to the components of their ends first, so that only edges between
+    different components go through the rounds, whatever was connected before.
+    """
+    of_a = known.select(F.col("node").alias(a), F.col("component").alias("__x"))
+    of_b = known.select(F.col("node").alias(b), F.col("component").alias("__y"))
+    between = edges.select(a, b).join(of_a, a, "left").join(of_b, b, "left")
+    between = between.select(F.coalesce("__x", a).alias("a"), F.coalesce("__y", b).alias("b"))
+    moved = components(between)
+    after = moved.select(F.col("node").alias("component"), F.col("component").alias("__z"))
+    again = known.join(after, "component", "left").select("node", F.coalesce("__z", "component").alias("component"))
+    # smallest nodes of components and nodes without an edge before are no nodes of `known`
+    return again.union(moved)

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factlake.llm.common import mixed, signed, span_hashes, stored, text_slices, word_spans
-from factlake.llm.components import components
+from factlake.llm.components import components, merged
 
 SKETCH_BITS = 21
 SKETCH_SLOTS = 64
@@ -385,14 +386,15 @@ def _may_reach(both: Column, n: Column, m: Column, percent: int) -> Column:
     return (100 + percent) * (both + rest) >= percent * (n + m)
 
 
-def _with_sets(rows: DataFrame, first: DataFrame, plain: DataFrame, words: int) -> DataFrame:
+def _with_sets(rows: DataFrame, first: DataFrame, plain: DataFrame, words: int, sent: list[Broadcast]) -> DataFrame:
     """The rows (with node) and the whole set of each node, read from the text of one of its documents.
 
     The texts themselves do not move: a bitmap of fixed size goes to the tasks that read them,
-    and only sets of documents that pass it come back.
+    and only sets of documents that pass it come back. The bitmap is added to `sent`.
     """
     chosen = stored(first.join(rows.select("node").distinct(), "node", "left_semi"), "chosen")
     bitmap = plain.sparkSession.sparkContext.broadcast(_filter(chosen))
+    sent.append(bitmap)
     within = (1 << FILTER_BITS) // SKETCH_SLOTS
     key = F.xxhash64("doc_id")
     sets = plain.select(
@@ -445,9 +447,8 @@ def _spokes(placed: DataFrame, order: Column, least: Column) -> DataFrame:
     )
 
 
-def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """The incidence entries of n-grams whose nodes are not all connected by the links, with their component."""
-    joined = components(links)
+def _placed(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """The incidence entries of n-grams whose nodes are not all in one component, with their component."""
     placed = shared.join(joined, "node", "left").select(
         "h", "node", "n", F.coalesce("component", "node").alias("component")
     )
@@ -492,18 +493,27 @@ def ngram_groups(
     # one document with each set, for the texts of the candidates
     first = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
+    sent = [levels]
+
     def with_sets(nodes: DataFrame) -> DataFrame:
-        return _with_sets(nodes, first, plain, words)
+        return _with_sets(nodes, first, plain, words, sent)
+
+    def kept(links: DataFrame) -> DataFrame:
+        """The links as a written table; what was broadcast to find them is given up everywhere."""
+        links = stored(links, "links")
+        while sent:
+            sent.pop().destroy()
+        return links
 
     sizes_fit = _fits(F.col("n"), F.col("m"), percent)
     reach = sizes_fit & _may_reach(F.col("both"), F.col("n"), F.col("m"), percent)
     apart = shared.withColumn("component", F.col("node"))
-    links = stored(_verified(_spokes(apart, F.col("node"), reach), with_sets, percent), "links")
-    placed = _placed(shared, links)
+    joined = components(kept(_verified(_spokes(apart, F.col("node"), reach), with_sets, percent)))
+    placed = _placed(shared, joined)
     # n-grams of many documents try another centre each
     again = _spokes(placed.where(F.col("docs") > FEW), F.xxhash64("h", "node"), sizes_fit)
-    links = stored(links.union(_verified(again, with_sets, percent)), "links")
-    placed = _placed(shared, links)
+    joined = stored(merged(joined, kept(_verified(again, with_sets, percent))), "joined")
+    placed = _placed(shared, joined)
 
     left = placed.where(F.col("docs") <= FEW)
     right = left.select(*[F.col(c).alias(f"{c}_2") for c in left.columns])
@@ -538,7 +548,7 @@ def ngram_groups(
         .sortWithinPartitions("h", "x", "y")
         .mapInArrow(_multiplied(percent), "a long, b long")
     )
-    joined = components(links.union(_verified(few, with_sets, percent)).union(multiplied))
+    joined = merged(joined, kept(_verified(few, with_sets, percent).union(multiplied)))
 
     grouped = rows.join(joined, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("group")
