@@ -24,13 +24,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds grow with the logarithm of the graph. Null ends and loops are left out; repeated
     edges count once; no edges give no rows.
     """
-    now = stored(
+    now, mark = _written(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
-        .distinct(),
-        "edges",
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+        .distinct()
     )
-    mark = _fingerprint(now)
     while mark[0]:
         lowest = (
             now.select(F.col("a").alias("node"), F.col("b").alias("other"))
