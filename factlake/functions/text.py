@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: every character that counts as white space.
@@ -23,6 +25,11 @@ SPACE_CHARS = (
 NO_ESCAPE = "\u0001"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for each row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_space(text: Column) -> Column:
     """Remove white space of any kind at both ends; reads the ends only."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -1,8 +1,9 @@
-"""Vectors of chunks: normalisation, term vectors, exact nearest neighbours."""
+"""Vectors of chunks: normalisation, exact nearest neighbours, hits."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,20 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from factlake import constants as K
 from factlake.functions.text import float_text, matches_like
 from factlake.operators.ranking import first_rows
-
-# Scores are compared and given with this many digits, so that the order of
-# summation does not matter.
-SCORE_DIGITS = 6
+from factlake.operators.terms import SCORE_DIGITS, TermLists, embed_terms, search_terms
 
 # Queries that a task compares with its vectors at a time.
 STRIPE = 256
 
+# A block of vectors in a task's memory, in double precision; it is not cut below LEAST_ROWS.
+BLOCK_BYTES = 32 << 20
+LEAST_ROWS = 256
+# Vectors that pivots and first bars are taken from, and the pivots among them.
+SAMPLE = 2048
+PIVOTS = 256
+# Steps of the angle to a pivot, from 0 to half a turn.
+RINGS = 1024
+
 
 def l2_norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
@@ -35,64 +42,6 @@ def normalize_l2(df: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def embed_terms(df: DataFrame, text: str = "text", vector: str = "embedding") -> DataFrame:
-    """Add unit vectors of term counts, as arrays of (term, weight): vectors without any service.
-
-    Terms are the lower-cased words of the text. Every word is a dimension of its own, so
-    the same text has the same vector everywhere and different words never meet.
-    """
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    counted = df.withColumn("__words", words).withColumn(
-        "__counts",
-        F.transform(
-            F.sort_array(F.array_distinct("__words")),
-            lambda term: F.struct(
-                term.alias("term"), (F.size("__words") - F.size(F.array_remove("__words", term))).alias("n")
-            ),
-        ),
-    )
-    squares = F.aggregate("__counts", F.lit(0.0), lambda total, c: total + c["n"].cast("double") * c["n"])
-    # the norm goes along as an array: what a lambda refers to is computed for each element
-    parts = F.arrays_zip(
-        F.col("__counts.term").alias("term"),
-        F.col("__counts.n").alias("n"),
-        F.array_repeat(F.sqrt(squares), F.size("__counts")).alias("norm"),
-    )
-    weigh = F.transform(parts, lambda c: F.struct(c["term"].alias("term"), (c["n"] / c["norm"]).alias("weight")))
-    return counted.withColumn(vector, weigh).drop("__words", "__counts")
-
-
-def search_terms(
-    index: DataFrame,
-    questions: DataFrame,
-    k: int = K.SEARCH_HITS,
-    keys: tuple[str, ...] = ("doc_id", "page_num", "chunk_idx"),
-    payload: tuple[str, ...] = ("company", "text"),
-    question_id: str = "question_id",
-    text: str = "text",
-    vector: str = "embedding",
-) -> DataFrame:
-    """The k chunks nearest to each question by cosine of term vectors, exactly.
-
-    The terms of questions meet those of chunks by equality, and products are added up per
-    question and chunk before the shuffle. Chunks without a common term are no hits. What
-    the hits carry is joined last, by the chunk's keys.
-    """
-    asked = embed_terms(questions.select(question_id, text), text, "__q").select(
-        question_id, F.explode_outer("__q").alias("q")
-    )
-    # explode_outer: for explode, Spark would compute the array once more to filter by its size
-    terms = index.select(*keys, F.explode_outer(vector).alias("t")).select(*keys, "t.term", "t.weight")
-    products = terms.join(asked.select(question_id, "q.term", F.col("q.weight").alias("asked")), "term")
-    scored = products.groupBy(question_id, *keys).agg(
-        F.round(F.sum(F.col("weight") * F.col("asked")), SCORE_DIGITS).alias("score")
-    )
-    best = first_rows(
-        scored, [question_id], [F.desc("score"), *[F.asc(c) for c in keys]], n=k, rank="place", salt_by=list(keys)
-    )
-    return best.join(index.select(*keys, *payload), list(keys)).select(question_id, "place", "score", *keys, *payload)
-
-
 # --- nearest neighbours -------------------------------------------------------
 
 
@@ -194,6 +143,173 @@ def is_finite(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & good, F.lit(False))
 
 
+class _Blocks(NamedTuple):
+    """Where the vectors of an index lie: blocks are rings of angles around pivots.
+
+    `sample` has some unit vectors of the index, the first of which, far apart, are the pivots. Block i holds
+    vectors nearest to pivot[i], at angles from low[i] to high[i]. A ring with too many vectors is
+    dealt to several blocks by a hash. The block of vectors without a direction has pivot -1.
+    `first` and `several` say by pivot and step of the angle which block is a ring's first, and how many it has.
+    """
+
+    sample: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    several: np.ndarray
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _nearest_pivots(unit: np.ndarray, pivots: np.ndarray, rings: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pivot, step of the angle to it); vectors without a direction have pivot -1."""
+    cosines = unit @ pivots.T
+    nearest = cosines.argmax(axis=1)
+    angle = _angles(cosines[np.arange(len(unit)), nearest])
+    step = np.minimum((angle / np.pi * rings).astype(np.int64), rings - 1)
+    return np.where(unit.any(axis=1), nearest, -1), step
+
+
+def _ring_counter(pivots: np.ndarray, rings: int):
+    """Per task: (pivot, step, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(pivots) + 1) * rings, np.int64)
+        for batch in batches:
+            unit = _unit_rows(_matrix(batch.column("__vector"), pivots.shape[1]))
+            pivot, step = _nearest_pivots(unit, pivots, rings)
+            counts += np.bincount((pivot + 1) * rings + step, minlength=len(counts))
+        have = np.flatnonzero(counts)
+        columns = [have // rings - 1, have % rings, counts[have]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pivot", "step", "n"])
+
+    return run
+
+
+def _cut_blocks(sample: np.ndarray, n_pivots: int, counts: np.ndarray, most: int) -> _Blocks:
+    """Blocks of at most about `most` vectors, from the counts by pivot (the last row is pivot -1) and step."""
+    pivot, low, high = [], [], []
+    first = np.full(counts.shape, -1, np.int64)
+    several = np.ones(counts.shape, np.int64)
+    for p in range(len(counts)):
+        filled = np.flatnonzero(counts[p]).tolist()
+        begin, held = None, 0
+        for step in filled:
+            begin = step if begin is None else begin
+            held += int(counts[p, step])
+            if held < most and step != filled[-1]:
+                continue
+            parts = -(-held // most)
+            first[p, begin : step + 1] = len(pivot)
+            several[p, begin : step + 1] = parts
+            pivot += [p if p < n_pivots else -1] * parts
+            # angles at the edge of a step may fall on either side of it
+            low += [begin * np.pi / RINGS - 1e-6] * parts
+            high += [(step + 1) * np.pi / RINGS + 1e-6] * parts
+            begin, held = None, 0
+    # the last block is for what falls, by rounding, where nothing was counted: every query asks it
+    first[first < 0] = len(pivot)
+    pivot, low, high = [*pivot, 0 if n_pivots else -1], [*low, 0.0], [*high, np.pi]
+    return _Blocks(sample, np.array(pivot, np.int64), np.array(low), np.array(high), first, several)
+
+
+def _far_apart_first(unit: np.ndarray, n: int) -> np.ndarray:
+    """The vectors with n of them first, each the one farthest from those before it."""
+    chosen = [0][:n]
+    nearest = unit @ unit[0] if n else None
+    while len(chosen) < n:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    rest = np.ones(len(unit), bool)
+    rest[chosen] = False
+    return np.concatenate([unit[chosen], unit[rest]])
+
+
+def _fit_blocks(rows: DataFrame, most_bytes: int) -> _Blocks:
+    """Blocks of an index (__id, __vector), each small enough for one task's memory.
+
+    The driver sees a fixed number of sampled vectors and the counts by pivot and step, which are
+    bounded by their numbers.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    taken = rows.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE).select("__vector").toArrow().column(0)
+    sample = _unit_rows(_matrix(taken))
+    sample = sample[sample.any(axis=1)] if len(sample) else sample
+    width = max(1, sample.shape[1])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(most_bytes // (8 * width), max(LEAST_ROWS, -(-n // tasks))))
+    n_pivots = min(PIVOTS, 2 * max(1, -(-n // most)), len(sample))
+    sample = _far_apart_first(sample, n_pivots)
+    if not n_pivots:
+        # nothing, or nothing with a direction
+        none = np.zeros((1, RINGS), np.int64)
+        none[0, 0] = n
+        return _cut_blocks(np.zeros((0, sample.shape[1])), 0, none, most)
+    found = rows.select("__vector").mapInArrow(_ring_counter(sample[:n_pivots], RINGS), "pivot long, step long, n long")
+    counts = np.zeros((n_pivots + 1, RINGS), np.int64)
+    for row in found.groupBy("pivot", "step").agg(F.sum("n").alias("n")).collect():
+        counts[row["pivot"], row["step"]] = row["n"]
+    return _cut_blocks(sample, n_pivots, counts, most)
+
+
+def _dealer(blocks: _Blocks):
+    """Rows (__id, __hash, __vector) with their block."""
+    pivots = blocks.sample[: len(blocks.first) - 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit_rows(_matrix(batch.column("__vector"), pivots.shape[1] if len(pivots) else None))
+            if len(pivots):
+                pivot, step = _nearest_pivots(unit, pivots, blocks.first.shape[1])
+            else:
+                pivot = step = np.zeros(len(unit), np.int64)
+            block = blocks.first[pivot, step]
+            block = block + batch.column("__hash").to_numpy() % blocks.several[pivot, step]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block), batch.column("__id"), batch.column("__vector")], names=["__block", "__id", "__vector"]
+            )
+
+    return run
+
+
+def _asker(blocks: _Blocks, k: int):
+    """Rows (__query, __vector) with every block that may hold one of the query's k best.
+
+    The k-th best score among the sampled vectors is a bar that the k best of all do not fall
+    below. By the triangle inequality of angles no vector of a block scores more than the cosine of
+    the least angle between the query and the block's ring.
+    """
+    pivots = blocks.sample[: len(blocks.first) - 1]
+    rings = blocks.pivot >= 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, STRIPE):
+                part = batch.slice(begin, STRIPE)
+                unit = _unit_rows(_matrix(part.column("__vector"), pivots.shape[1] if len(pivots) else None))
+                bar = np.full(len(unit), -np.inf)
+                if len(blocks.sample) >= k:
+                    scores = np.round(unit @ blocks.sample.T, SCORE_DIGITS)
+                    bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                most = np.zeros((len(unit), len(blocks.pivot)))
+                if rings.any():
+                    to_pivot = _angles(unit @ pivots.T)[:, blocks.pivot[rings]]
+                    apart = np.maximum(np.maximum(to_pivot - blocks.high[rings], blocks.low[rings] - to_pivot), 0)
+                    most[:, rings] = np.where(unit.any(axis=1)[:, None], np.cos(np.minimum(apart, np.pi)), 0.0)
+                row, block = np.nonzero(most + 10.0**-SCORE_DIGITS >= bar[:, None])
+                picked = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), picked.column("__query"), picked.column("__vector")],
+                    names=["__block", "__query", "__vector"],
+                )
+
+    return run
+
+
 def knn_cosine(
     vectors: DataFrame,
     queries: DataFrame,
@@ -203,27 +319,35 @@ def knn_cosine(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     payload: tuple[str, ...] = (),
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The k vectors nearest to every query by cosine, exactly, with `score` and `place`.
 
-    Ids and vectors are dealt into as many blocks as the session has shuffle partitions, and
-    move once; queries go to every block. A block is scored by matrix products, its k best
-    leave it, and a window picks the k best of those. The payload is joined to these last, by
+    Vectors are dealt into blocks of at most about block_bytes, rings of angles around pivots, and
+    move once. A query goes to the blocks whose ring may hold one of its k best, whatever
+    the vectors; where they lie in clusters, these are few. A block is scored by matrix products, its
+    k best leave it, and a window picks the k best of those. The payload is joined to these last, by
     id. Vectors and queries with null, NaN or infinite elements take no part.
     """
-    blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type, name_type = vectors.schema[id_col].dataType, queries.schema[query_id].dataType
-    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = vectors.where(is_finite(F.col(vector_col))).select(
-        own.alias("__block"), F.lit(False).alias("__asks"), F.col(id_col).alias("__id"),
-        F.lit(None).cast(name_type).alias("__query"), F.col(vector_col).cast("array<double>").alias("__vector"),
-    ).union(
-        queries.where(is_finite(F.col(query_vector))).select(
-            every.alias("__block"), F.lit(True), F.lit(None).cast(id_type),
-            query_id, F.col(query_vector).cast("array<double>"),
+    held = vectors.where(is_finite(F.col(vector_col))).select(
+        F.col(id_col).alias("__id"), F.col(vector_col).cast("array<double>").alias("__vector")
+    )
+    blocks = _fit_blocks(held, block_bytes)
+    numbers = T.ArrayType(T.DoubleType())
+    dealt = held.select("__id", F.pmod(F.xxhash64("__id"), F.lit(1 << 31)).alias("__hash"), "__vector").mapInArrow(
+        _dealer(blocks), T.StructType().add("__block", "long").add("__id", id_type).add("__vector", numbers)
+    )
+    asked = (
+        queries.where(is_finite(F.col(query_vector)))
+        .select(F.col(query_id).alias("__query"), F.col(query_vector).cast("array<double>").alias("__vector"))
+        .mapInArrow(
+            _asker(blocks, k), T.StructType().add("__block", "long").add("__query", name_type).add("__vector", numbers)
         )
-    )
+    )
+    rows = dealt.select(
+        "__block", F.lit(False).alias("__asks"), "__id", F.lit(None).cast(name_type).alias("__query"), "__vector"
+    ).union(asked.select("__block", F.lit(True), F.lit(None).cast(id_type), "__query", "__vector"))
     names = ["__query", "__id", "score"]
     schema = T.StructType(
         [T.StructField("__query", name_type), T.StructField("__id", id_type), T.StructField("score", T.DoubleType())]
@@ -318,12 +442,14 @@ def snippet_context(hits: DataFrame, queries: DataFrame | None = None, query_id:
     )
 
 
-def facts_else_vector(questions: DataFrame, found: DataFrame, index: DataFrame, k: int = K.ROUTED_HITS) -> DataFrame:
+def facts_else_vector(
+    questions: DataFrame, found: DataFrame, index: DataFrame, k: int = K.ROUTED_HITS, lists: TermLists | None = None
+) -> DataFrame:
     """Fact rows of the questions about facts that have some, nearest chunks for all others.
 
     questions(question_id, text, intent), found(request_id, place, ...) as facts_search gives
-    it, index(doc_id, page_num, chunk_idx, company, text, embedding) with term vectors. Every
-    question has a row; status tells `ok` from `no hits`.
+    it, index(doc_id, page_num, chunk_idx, company, text, embedding) with term vectors, and
+    its lists if they are stored. Every question has a row; status tells `ok` from `no hits`.
     """
     about_facts = questions.where(F.col("intent") == "facts").select("question_id")
     facts = found.join(about_facts, F.col("request_id") == F.col("question_id"), "left_semi").select(
@@ -339,7 +465,7 @@ def facts_else_vector(questions: DataFrame, found: DataFrame, index: DataFrame,
     )
     answered = facts.select("question_id").distinct()
     open_questions = questions.join(answered, "question_id", "left_anti").select("question_id", "text")
-    hits = search_terms(index, open_questions, k).select(
+    hits = search_terms(index, open_questions, k, lists=lists).select(
         "question_id", "place", "company", "page_num", "text", "score"
     )
     chunks = open_questions.select("question_id").join(hits, "question_id", "left").withColumn("tool", F.lit("vector"))

@@ -730,3 +730,4 @@ SELECT (SELECT count(*) FROM chunks WHERE length(text) >= {K.CHUNK_MIN_CHARS}) A
     ),
 }
 ORACLES["facts_replace_stored"] = ORACLES["facts_replace_by_doc"]
+ORACLES["documents_upsert_stored"] = ORACLES["documents_upsert"]

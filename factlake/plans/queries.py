@@ -19,10 +19,11 @@ from factlake.operators import (
     routing,
     search,
     sqlviews,
+    terms,
     vectors,
 )
 from factlake.session import configure, work_path
-from factlake.sources import files, tables
+from factlake.sources import files, tables, versioned
 from factlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,8 +91,12 @@ def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def documents_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = view(spark, sf_dir, "order_documents_fx").select(schemas.DOCUMENTS.fieldNames())
+    return documents.documents_upsert(stored, _document_batch(spark, sf_dir))
+
+
+def _document_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.expr("CASE period_type WHEN 'year' THEN 1 WHEN 'quarter' THEN 2 WHEN 'estimate' THEN 3 ELSE 4 END")
-    batch = (
+    return (
         view(spark, sf_dir, "facts_fx")
         .groupBy("doc_id", order.alias("batch_order"))
         .agg(
@@ -103,7 +108,6 @@ def documents_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("source_page").alias("page_count"),
         )
     )
-    return documents.documents_upsert(stored, batch)
 
 
 @query
@@ -120,14 +124,22 @@ def facts_replace_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts_replace_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts_replace_by_doc on a written table: changed and emptied documents, the batch run twice."""
     path = work_path(spark, "by_doc")
-    tables.create_by_doc(view(spark, sf_dir, "facts_fx").select(schemas.FACT_COLUMNS), path)
-    stored = tables.read_by_doc(spark, path, schemas.FACTS)
+    versioned.create_by_doc(view(spark, sf_dir, "facts_fx").select(schemas.FACT_COLUMNS), path)
     batch = view(spark, sf_dir, "order_documents_fx").where("status = 'F'").select("doc_id")
     fx = view(spark, sf_dir, "facts_fx")
     again = fx.where("confidence >= 0.7").join(batch, "doc_id", "left_semi").withColumn("value", F.col("value") + 1.0)
     for _ in range(2):
-        tables.replace_by_doc(batch, again, path, schemas.FACTS)
-    return stored.sparkSession.read.schema(schemas.FACTS).parquet(path).select(schemas.FACT_COLUMNS)
+        versioned.replace_by_doc(batch, again, path)
+    return versioned.read_by_doc(spark, path)
+
+
+@query
+def documents_upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents_upsert on a written table."""
+    path = work_path(spark, "documents")
+    versioned.create_by_doc(view(spark, sf_dir, "order_documents_fx").select(schemas.DOCUMENTS.fieldNames()), path)
+    versioned.upsert_by_doc(_document_batch(spark, sf_dir), path)
+    return versioned.read_by_doc(spark, path)
 
 
 @query
@@ -581,16 +593,25 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts_else_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = routing.classify_questions(view(spark, sf_dir, "questions_fx"))
     found = routing.search_questions(view(spark, sf_dir, "facts_fx"), asked)
-    return vectors.facts_else_vector(asked, found, _chunk_index(spark, sf_dir))
+    index, lists = _stored_index(spark, sf_dir)
+    return vectors.facts_else_vector(asked, found, index, lists=lists)
 
 
 @query
 def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.search_terms(_chunk_index(spark, sf_dir), view(spark, sf_dir, "questions_fx"))
+    index, lists = _stored_index(spark, sf_dir)
+    return terms.search_terms(index, view(spark, sf_dir, "questions_fx"), lists=lists)
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, terms.TermLists]:
+    path = work_path(spark, "index")
+    tables.write_index(_chunk_index(spark, sf_dir), f"{path}/chunks")
+    index = tables.read_index(spark, f"{path}/chunks")
+    return index, tables.write_lists(index, path)
 
 
 def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.embed_terms(chunks.chunk_rows(view(spark, sf_dir, "raw_pages_fx")))
+    return terms.embed_terms(chunks.chunk_rows(view(spark, sf_dir, "raw_pages_fx")))
 
 
 # --- chunks and vectors -------------------------------------------------------
@@ -623,8 +644,8 @@ def normalize_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _chunk_index(spark, sf_dir).select("doc_id", "page_num", "chunk_idx", F.explode_outer("embedding").alias("t"))
-    terms = index.select("doc_id", "page_num", "chunk_idx", "t.term", F.round("t.weight", 6).alias("weight"))
-    return terms.where(F.col("term").isNotNull())
+    weighed = index.select("doc_id", "page_num", "chunk_idx", "t.term", F.round("t.weight", 6).alias("weight"))
+    return weighed.where(F.col("term").isNotNull())
 
 
 def _all_as_queries(index: DataFrame) -> DataFrame:

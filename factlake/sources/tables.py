@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factlake import schemas
 from factlake.operators.chunks import chunk_rows
 from factlake.operators.documents import validate_facts, validate_pages
-from factlake.operators.vectors import embed_terms, index_manifest, normalize_l2
-from factlake.session import work_path
+from factlake.operators.terms import TermLists, embed_terms, term_lists
+from factlake.operators.vectors import index_manifest, normalize_l2
 
 
 def _append(checked: DataFrame, path: str, layout: list[str], order: list[str]) -> None:
@@ -62,55 +62,6 @@ def rejected_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("rejected").select(*schemas.RAW_PAGES.fieldNames(), "reject_reason")
 
 
-# --- tables that are kept up to date by document ------------------------------
-
-PART = "part"
-
-
-def _part(parts: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-
-
-def create_by_doc(rows: DataFrame, path: str, parts: int = 64) -> None:
-    """Write a table that later batches replace by document: its files lie by a hash of doc_id."""
-    rows.withColumn(PART, _part(parts)).repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(path)
-
-
-def read_by_doc(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
-
-
-def replace_by_doc(batch_docs: DataFrame, new_rows: DataFrame, path: str, schema: T.StructType, parts: int = 64) -> None:
-    """Replace all stored rows of the batch's documents by the new rows.
-
-    Only parts that hold a document of the batch are read and written. The new parts are
-    written aside first; then each takes the place of the stored one, or removes it if
-    nothing is left in it. Running a batch again gives the same table.
-    """
-    spark = new_rows.sparkSession
-    docs = batch_docs.select("doc_id").distinct()
-    touched = sorted(row[0] for row in docs.select(_part(parts)).distinct().collect())  # at most `parts` numbers
-    if not touched:
-        return
-    with_part = T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])
-    stored = spark.read.schema(with_part).parquet(path).where(F.col(PART).isin(touched))
-    left = stored.join(docs, "doc_id", "left_anti").select(with_part.fieldNames())
-    fresh = new_rows.select(schema.fieldNames()).join(docs, "doc_id", "left_semi").withColumn(PART, _part(parts))
-    aside = work_path(spark, "replace")
-    left.unionByName(fresh.select(with_part.fieldNames())).repartition(PART).write.partitionBy(PART).parquet(aside)
-    made = spark.read.schema(with_part).parquet(aside)
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
-    filled = {row[0] for row in made.select(PART).distinct().collect()}
-    for number in set(touched) - filled:
-        _remove(spark, f"{path}/{PART}={number}")
-    _remove(spark, aside)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def write_index(index: DataFrame, path: str) -> None:
     """Chunks and their vectors as one table."""
     index.write.mode("overwrite").parquet(path)
@@ -123,6 +74,21 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no vector index under {path}; build it first") from error
 
 
+def write_lists(index: DataFrame, path: str) -> TermLists:
+    """The lists of a stored index, for text search: rows of a term lie together, so a search skips the other files."""
+    lists = term_lists(index)
+    lists.postings.repartitionByRange("term", "step", "salt").sortWithinPartitions("term", "step", "salt").write.mode(
+        "overwrite"
+    ).parquet(f"{path}/postings")
+    for name, rows in (("impacts", lists.impacts), ("champions", lists.champions)):
+        rows.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
+    return read_lists(index.sparkSession, path)
+
+
+def read_lists(spark: SparkSession, path: str) -> TermLists:
+    return TermLists(*[read_index(spark, f"{path}/{name}") for name in TermLists._fields])
+
+
 def build_index(
     pages: DataFrame,
     path: str,
@@ -134,6 +100,8 @@ def build_index(
 ) -> DataFrame:
     """Chunk, embed and write the pages; returns the manifest. Nothing to index is an error.
 
+    An index of term vectors gets its lists beside it (`read_lists`).
+
     `embed` is any function that adds an `embedding` column to rows with `text`;
     is_unit=False has its vectors scaled to unit length here.
     """
@@ -146,6 +114,8 @@ def build_index(
     index = read_index(spark, f"{path}/chunks")
     if index.isEmpty():
         raise ValueError("no text to index; ingest pages first")
+    if isinstance(index.schema["embedding"].dataType.elementType, T.StructType):
+        write_lists(index, path)
     manifest = index_manifest(index, embed_model, path)
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return spark.read.schema(manifest.schema).json(f"{path}/manifest")

@@ -82,9 +82,17 @@ def test_context_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text and f"{K.CONTEXT_CHARS}" in text
 
 
-def test_vectors_are_not_shuffled_for_few_queries(spark, tmp_path):
-    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/v")
+def test_vectors_move_once_and_without_payload(spark, tmp_path):
+    rows = [(i, [1.0, float(i)], "text") for i in range(9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, text string").write.parquet(f"{tmp_path}/v")
     index = spark.read.parquet(f"{tmp_path}/v")
-    text = plan(vectors.knn_cosine(index, index.selectExpr("vec_id AS query_id", "embedding AS query_vector")))
-    below = text[text.index("MapInArrow"):]
-    assert "Exchange" not in below
+    asked = index.selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(vectors.knn_cosine(index, asked, payload=("text",)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = [line for line in text.splitlines() if "Exchange" in line and "__block" in line]
+    assert len(scan) == 1
+    below = text[text.index(scan[0]):text.index("FileScan", text.index(scan[0]))]
+    assert "text" not in below and "Broadcast" not in text

@@ -97,33 +97,6 @@ def test_append(spark, tmp_path):
     assert tables.rejected_facts(spark, f"{tmp_path}/f").count() == 2
 
 
-def test_replace_touches_only_parts_of_the_batch(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    schema = V.T.StructType([V.T.StructField("doc_id", V.T.StringType()), V.T.StructField("value", V.T.IntegerType())])
-
-    def rows(*pairs):
-        return spark.createDataFrame(list(pairs), schema)
-
-    def now():
-        return sorted(tuple(r) for r in tables.read_by_doc(spark, path, schema).collect())
-
-    def written():
-        return {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
-
-    tables.create_by_doc(rows(*[(f"d{i}", i) for i in range(20)], ("d3", 33)), path, parts=8)
-    before = written()
-    batch = rows(("d3", 0), ("d4", 0), ("d99", 0))
-    for _ in range(2):
-        tables.replace_by_doc(batch, rows(("d3", 300), ("d99", 99), ("not in the batch", 1)), path, schema, parts=8)
-        want = sorted([(f"d{i}", i) for i in range(20) if i not in (3, 4)] + [("d3", 300), ("d99", 99)])
-        assert now() == want
-    kept = set(before.items()) & set(written().items())
-    assert kept
-    # a batch that empties every part leaves none
-    tables.replace_by_doc(rows(*want), rows(), path, schema, parts=8)
-    assert now() == []
-
-
 @pytest.mark.parametrize("kind", ["csv", "json"])
 def test_export(spark, tmp_path, kind):
     spec = "company string, metric_key string, page int, value double"
@@ -148,6 +121,7 @@ def test_index(spark, tmp_path):
     index = tables.read_index(spark, f"{tmp_path}/i/chunks")
     q = spark.createDataFrame([(1, "provisions for bad loans")], "question_id int, text string")
     assert V.search_terms(index, q, k=1).first().page_num == 2
+    assert V.search_terms(index, q, k=1, lists=tables.read_lists(spark, f"{tmp_path}/i")).first().page_num == 2
     scaled = tables.build_index(
         pages, f"{tmp_path}/j", embed=lambda df: df.withColumn("embedding", V.F.array(V.F.lit(3.0), V.F.lit(4.0))),
         embed_model="two", is_unit=False,

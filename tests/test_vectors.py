@@ -72,6 +72,45 @@ def test_nan_takes_no_place(spark):
     assert collected(V.knn_cosine(df, q, k=8)) == want
 
 
+@pytest.mark.parametrize("block_bytes", [8 * 6 * 40, 1 << 25])
+def test_clusters_copies_and_vectors_without_direction(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(V, "PIVOTS", 12)
+    monkeypatch.setattr(V, "LEAST_ROWS", 20)
+    monkeypatch.setattr(V, "SAMPLE", 100)
+    monkeypatch.setattr(V, "RINGS", 64)
+    centres = RNG.normal(size=(10, 6))
+    vectors = centres[RNG.integers(10, size=900)] + RNG.normal(size=(900, 6)) * 0.02
+    vectors[:300] = vectors[0]
+    vectors[300:340] = 0
+    vectors = vectors.astype("float32").astype(float)
+    queries = np.vstack([vectors[::37], np.zeros((1, 6)), RNG.normal(size=(5, 6)).astype("float32").astype(float)])
+    hits = V.knn_cosine(index(spark, vectors, list(range(900)), "bigint"), asked(spark, queries), k=6, block_bytes=block_bytes)
+    assert collected(hits) == brute(vectors, queries, 6, list(range(900)))
+
+
+def blocks_of(spark, vectors, queries, k, block_bytes):
+    held = index(spark, vectors, list(range(len(vectors))), "bigint").selectExpr("vec_id AS __id", "CAST(embedding AS array<double>) AS __vector")
+    blocks = V._fit_blocks(held, block_bytes)
+    rows = held.selectExpr("__id", "pmod(xxhash64(__id), 2147483648L) AS __hash", "__vector").toArrow().to_batches()
+    dealt = np.concatenate([b.column("__block").to_numpy() for b in V._dealer(blocks)(iter(rows))])
+    names = V.pa.RecordBatch.from_pydict({"__query": list(range(len(queries))), "__vector": queries.tolist()})
+    visits = sum(b.num_rows for b in V._asker(blocks, k)(iter([names])))
+    return np.bincount(dealt, minlength=len(blocks.pivot)), visits / len(queries)
+
+
+def test_blocks_are_bounded_and_most_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(V, "LEAST_ROWS", 50)
+    sizes = []
+    centres = RNG.normal(size=(30, 16))
+    for n in (1500, 6000):
+        vectors = centres[RNG.integers(30, size=n)] + RNG.normal(size=(n, 16)) * 0.05
+        vectors[: n // 3] = vectors[0]
+        held, visits = blocks_of(spark, vectors, vectors[::50], 5, 8 * 16 * 100)
+        sizes.append(held.max())
+        assert held.sum() == n and visits < len(held) / 2
+    assert max(sizes) < 300  # whatever the rows
+
+
 def test_many_queries_do_not_repeat_the_payload(spark):
     vectors = RNG.normal(size=(50, 4))
     queries = RNG.normal(size=(5000, 4))
