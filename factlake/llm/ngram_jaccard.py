@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from factlake.llm.common import mixed, signed, span_hashes, stored, text_slices, word_spans
 from factlake.llm.components import components, merged
@@ -34,8 +34,10 @@ SKETCH_BITS = 21
 SKETCH_SLOTS = 64
 # partners of one node that are verified by one task
 PARTNERS = 1024
-# bits of the filter that keeps most texts without a candidate from being hashed again
-FILTER_BITS = 27
+# bits for each candidate in the filter that keeps most texts without a candidate from being hashed again,
+# and the powers of two that the filter stays within
+BITS_EACH = 32
+FILTER_BITS = (16, 30)
 # rows put into one Arrow batch of incidence entries
 ENTRIES = 1 << 18
 # documents of an n-gram up to which its pairs are rows; more are multiplied in blocks of BLOCK
@@ -140,18 +142,16 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.frombuffer(part, dtype=np.uint16).astype(np.int64)
             sums[slot] = sums[slot] + part if slot in sums else part
     if sums:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-            names=["slot", "counts"],
-        )
+        levels = [np.rint(16 * np.log2(1.0 + s)).clip(0, 1000).astype(np.uint16).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["slot", "counts"])
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
     """How frequent the n-grams of each counter are, in sixteenths of a doubling."""
-    sums = np.zeros((SKETCH_SLOTS, (1 << SKETCH_BITS) // SKETCH_SLOTS), dtype=np.int64)
-    for slot, counts in sketch.repartition("slot").mapInArrow(_added, sketch.schema).collect():
-        sums[slot] = np.frombuffer(counts, dtype=np.int64)
-    return np.rint(16 * np.log2(1.0 + sums.ravel())).clip(0, 1000).astype(np.uint16)
+    out = np.zeros((SKETCH_SLOTS, (1 << SKETCH_BITS) // SKETCH_SLOTS), dtype=np.uint16)
+    for slot, levels in sketch.repartition("slot").mapInArrow(_added, sketch.schema).collect():
+        out[slot] = np.frombuffer(levels, dtype=np.uint16)
+    return out.ravel()
 
 
 def _incidence(words: int, percent: int, levels):
@@ -222,36 +222,40 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(within: int):
     """For each slot the hashes seen in it, as bits; a slot's rows are all in one task."""
-    seen: dict[int, np.ndarray] = {}
-    for batch in batches:
-        slots, places = (batch.column(i).to_numpy() for i in range(2))
-        for slot in np.unique(slots).tolist():
-            bits = seen.setdefault(slot, np.zeros((1 << FILTER_BITS) // SKETCH_SLOTS, dtype=bool))
-            bits[places[slots == slot]] = True
-    if seen:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.int32()), pa.array([np.packbits(b).tobytes() for b in seen.values()], pa.binary())],
-            names=["slot", "bits"],
-        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots, places = (batch.column(i).to_numpy() for i in range(2))
+            for slot in np.unique(slots).tolist():
+                bits = seen.setdefault(slot, np.zeros(within, dtype=bool))
+                bits[places[slots == slot]] = True
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.int32()), pa.array([np.packbits(b).tobytes() for b in seen.values()], pa.binary())],
+                names=["slot", "bits"],
+            )
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of doc_id: most documents that are not in ids fail it, none that is."""
-    within = (1 << FILTER_BITS) // SKETCH_SLOTS
-    found = (
-        ids.select(F.xxhash64("doc_id").alias("k"))
-        .select(
-            F.pmod("k", F.lit(SKETCH_SLOTS)).cast("int").alias("slot"),
-            F.pmod(F.shiftright("k", 6), F.lit(within)).cast("int").alias("place"),
-        )
-        .repartition("slot")
-        .mapInArrow(_bits, "slot int, bits binary")
-        .collect()
-    )
+    return run
+
+
+def _slot_and_place(key: Column, within: int) -> list[Column]:
+    slot = F.pmod(key, F.lit(SKETCH_SLOTS)).cast("int").alias("slot")
+    return [slot, F.pmod(F.shiftright(key, 6), F.lit(within)).cast("int").alias("place")]
+
+
+def _filter(ids: DataFrame, count: int) -> np.ndarray:
+    """A bitmap over the hashes of doc_id: most documents that are not in ids fail it, none that is.
+
+    It has BITS_EACH bits for each of the `count` ids.
+    """
+    low, high = FILTER_BITS
+    within = (1 << min(max((BITS_EACH * count - 1).bit_length(), low), high)) // SKETCH_SLOTS
+    found = ids.select(*_slot_and_place(F.xxhash64("doc_id"), within)).repartition("slot")
     bitmap = np.zeros((SKETCH_SLOTS, within // 8), dtype=np.uint8)
-    for slot, bits in found:
+    for slot, bits in found.mapInArrow(_bits(within), "slot int, bits binary").collect():
         bitmap[slot] = np.frombuffer(bits, dtype=np.uint8)
     return bitmap
 
@@ -389,18 +393,18 @@ def _may_reach(both: Column, n: Column, m: Column, percent: int) -> Column:
 def _with_sets(rows: DataFrame, first: DataFrame, plain: DataFrame, words: int, sent: list[Broadcast]) -> DataFrame:
     """The rows (with node) and the whole set of each node, read from the text of one of its documents.
 
-    The texts themselves do not move: a bitmap of fixed size goes to the tasks that read them,
+    The texts themselves do not move: a bitmap sized by the documents goes to the tasks that read them,
     and only sets of documents that pass it come back. The bitmap is added to `sent`.
     """
-    chosen = stored(first.join(rows.select("node").distinct(), "node", "left_semi"), "chosen")
-    bitmap = plain.sparkSession.sparkContext.broadcast(_filter(chosen))
+    seen = Observation()
+    chosen = first.join(rows.select("node").distinct(), "node", "left_semi").observe(seen, F.count(F.lit(1)).alias("n"))
+    chosen = stored(chosen, "chosen")
+    bits = _filter(chosen, max(1, seen.get["n"]))
+    bitmap = plain.sparkSession.sparkContext.broadcast(bits)
     sent.append(bitmap)
-    within = (1 << FILTER_BITS) // SKETCH_SLOTS
-    key = F.xxhash64("doc_id")
     sets = plain.select(
         "doc_id",
-        F.pmod(key, F.lit(SKETCH_SLOTS)).cast("int"),
-        F.pmod(F.shiftright(key, 6), F.lit(within)).cast("int"),
+        *_slot_and_place(F.xxhash64("doc_id"), 8 * bits.shape[1]),
         "text",
     ).mapInArrow(_whole_sets(words, bitmap), "doc_id long, node long, members binary")
     return rows.join(chosen, "node").join(sets, ["doc_id", "node"]).drop("doc_id")
