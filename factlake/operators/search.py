@@ -10,8 +10,8 @@ from factlake import constants as K
 from factlake.functions.text import matches_like, matches_part
 from factlake.operators.ranking import best_first, first_rows
 
-# Parts are looked up by their first characters, up to this many, and then compared in full.
-KEY_CHARS = 64
+# Parts are looked up by grams of so many characters, shorter parts by themselves.
+GRAM = 3
 
 FACT_COLUMNS = (
     "company",
@@ -31,29 +31,38 @@ SPEC = ("company_part", "metrics", "period")
 # --- names that contain a part ------------------------------------------------
 
 
+def _grams(text: Column, length: int) -> Column:
+    """The distinct grams of the text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+
+
 def names_containing(names: DataFrame, parts: DataFrame, name: str, part: str) -> DataFrame:
     """Pairs (part, name) where the name contains the part, without regard to case.
 
-    An equi join of the beginnings of the parts with the places of the names, then a
-    comparison in full. Places are read only at lengths that a part has.
+    A part is looked up by the one of its grams that the fewest names hold, and compared in full
+    with those. So a name has at most as many keys as characters, for each length that a gram
+    has: GRAM, and less if there are parts that short.
     """
-    keyed_parts = (
-        parts.select(part).where(F.col(part) != "").distinct()
-        .withColumn("__key", F.left(F.lower(part), F.lit(KEY_CHARS)))
-    )
-    # at most KEY_CHARS rows
-    lengths = keyed_parts.select(F.length("__key").alias("__length")).distinct()
-    lowered, size = F.lower(F.col(name)), F.length(F.lower(F.col(name)))
-    at_length = (
-        names.select(name).distinct()
-        .where(size > 0)
-        .select(name, F.explode(F.sequence(F.lit(1), F.least(size, F.lit(KEY_CHARS)))).alias("__length"))
-        .join(F.broadcast(lengths), "__length", "left_semi")
+    asked = parts.select(F.col(part).alias("__part")).where(F.col("__part") != "").distinct()
+    asked = asked.withColumn("__length", F.least(F.length(F.lower("__part")), F.lit(GRAM)))
+    held = names.select(F.col(name).alias("__name")).distinct()
+    # at most GRAM rows
+    lengths = F.broadcast(asked.select("__length").distinct())
+    grams = F.coalesce(*[F.when(F.col("__length") == n, _grams(F.lower("__name"), n)) for n in range(1, GRAM + 1)])
+    sized = held.select("__name", F.explode(F.array(*map(F.lit, range(1, GRAM + 1)))).alias("__length"))
+    keyed = sized.join(lengths, "__length", "left_semi").select("__name", F.explode(grams).alias("__gram"))
+    own = F.coalesce(*[F.when(F.col("__length") == n, _grams(F.lower("__part"), n)) for n in range(1, GRAM + 1)])
+    spread = keyed.groupBy("__gram").agg(F.count("*").alias("__names"))
+    rarest = (
+        asked.select("__part", F.explode(own).alias("__gram"))
+        .join(spread, "__gram", "left")
+        .groupBy("__part")
+        .agg(F.min(F.struct(F.coalesce("__names", F.lit(0)).alias("n"), "__gram")).alias("r"))
+        .where("r.n > 0")
     )
-    places = F.sequence(F.lit(1), size - F.col("__length") + 1)
-    keys = F.array_distinct(F.transform(places, lambda at: F.substring(lowered, at, F.col("__length"))))
-    keyed_names = at_length.select(name, F.explode(keys).alias("__key"))
-    return keyed_parts.join(keyed_names, "__key").where(matches_part(F.col(name), F.col(part))).select(part, name)
+    pairs = rarest.select("__part", F.col("r.__gram").alias("__gram")).join(keyed, "__gram")
+    pairs = pairs.where(matches_part(F.col("__name"), F.col("__part")))
+    return pairs.select(F.col("__part").alias(part), F.col("__name").alias(name))
 
 
 # --- fact search --------------------------------------------------------------
@@ -229,23 +238,48 @@ def keyword_search(pages: DataFrame, company: str, keyword: str, limit: int = K.
     return found.orderBy("company", "doc_id", "page_num").limit(limit).select("doc_id", "page_num", "text")
 
 
+# Fixed value: a word, as far as keywords are looked up by one.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def _longest_word(text: Column) -> Column:
+    """The longest word of the text, null without one."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    return F.array_max(words)["w"]
+
+
 def keyword_search_batch(pages: DataFrame, requests: DataFrame, limit: int = K.PAGE_ROWS) -> DataFrame:
-    """keyword_search per request: requests(request_id, company, keyword), both literal text."""
+    """keyword_search per request: requests(request_id, company, keyword), both literal text.
+
+    A page that holds a keyword has a word that contains the keyword's longest word. So these are
+    looked up in the distinct words of the pages first, then pages meet by company and word the
+    keywords they may hold, and only those are compared with the text. A page never meets the
+    other keywords, however many there are. Keywords without a word, such as signs, are compared
+    with all pages of their companies.
+    """
     asked = requests.withColumns({"company_part": F.lower("company"), "keyword": F.lower("keyword")})
     names = names_containing(pages.select("company"), asked.select("company_part"), "company", "company_part")
-    searches = asked.select("company_part", "keyword").distinct().join(names, "company_part")
-    per_company = searches.groupBy("company").agg(F.collect_set(F.struct("company_part", "keyword")).alias("asked"))
-    # a page meets one row with all searches on its company; its text stays behind
-    words = F.lower("text")
-    met = F.filter("asked", lambda search: F.contains(words, search["keyword"]))
-    hits = (
-        pages.join(per_company, "company")
-        .select("company", "doc_id", "page_num", F.explode(met).alias("search"))
-        .select("company", "doc_id", "page_num", "search.*")
+    searches = (
+        asked.select("company_part", "keyword").distinct()
+        .join(names, "company_part")
+        .withColumn("part", _longest_word(F.col("keyword")))
+    )
+    page = ["company", "doc_id", "page_num"]
+    in_question = pages.join(searches.select("company").distinct(), "company", "left_semi")
+    words = in_question.select(*page, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    holding = names_containing(words.select("word"), searches.select("part"), "word", "part")
+    may_hold = (
+        words.join(holding, "word")
+        .select(*page, "part").distinct()
+        .join(searches.where(F.col("part").isNotNull()), ["company", "part"])
+        .select(*page, "company_part", "keyword")
     )
+    texts = pages.select(*page, F.lower("text").alias("lowered"))
+    wordless = searches.where(F.col("part").isNull()).drop("part")
+    hits = texts.join(may_hold, page).unionByName(texts.join(wordless, "company")).where(F.contains("lowered", F.col("keyword")))
     order = [F.asc("company"), F.asc("doc_id"), F.asc("page_num")]
-    top = first_rows(hits, ["company_part", "keyword"], order, n=limit, rank="place")
-    found = top.join(pages.select("company", "doc_id", "page_num", "text"), ["company", "doc_id", "page_num"])
+    top = first_rows(hits.drop("lowered"), ["company_part", "keyword"], order, n=limit, rank="place")
+    found = top.join(pages.select(*page, "text"), page)
     return (
         asked.select("request_id", "company_part", "keyword")
         .join(found, ["company_part", "keyword"])

@@ -418,6 +418,18 @@ UNION ALL SELECT company, metric_key, source_page, value, unit FROM extracted"""
         "extraction_fx",
     ),
     "incremental_ingest": _with(f"{FIELDS} => {EXTRACTED}", "extraction_fx"),
+    "incremental_versions": _with(
+        f"""versions_fx AS (
+  SELECT path, CASE CAST(regexp_extract(path, '([0-9]+)', 1) AS INT) % 3
+    WHEN 0 THEN replace(raw, '"revenue":', '"revenue":1') ELSE raw END AS raw FROM extraction_fx
+), {FIELDS.replace('FROM extraction_fx', 'FROM versions_fx')} => {EXTRACTED}""",
+        "extraction_fx",
+    ),
+    "incremental_rejects": _with(
+        """SELECT sha1(path) AS doc_id, path, 'no JSON object' AS reason, true AS open
+FROM extraction_fx WHERE CAST(regexp_extract(path, '([0-9]+)', 1) AS INT) % 3 = 1""",
+        "extraction_fx",
+    ),
     "incremental_pages": _with(
         f"""SELECT sha1(source_path) AS doc_id, page_num, {_lines('text')} AS text, doc_id AS company, source_path
 FROM raw_pages_fx""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,10 +46,8 @@ def query(build: Query) -> Query:
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the folder and the rows that each of them holds."""
     found = files.discover_files(spark, [sf_dir], suffix="parquet")
-    name = F.element_at(F.split("path", "/"), -1)
-    paths = sorted((row["name"], row["path"]) for row in found.select(name.alias("name"), "path").collect())
-    counts = [spark.read.parquet(path).agg(F.count("*").alias("rows")).withColumn("file_name", F.lit(n)) for n, path in paths]
-    return functools.reduce(DataFrame.unionByName, counts)
+    counted = files.rows_per_file(found, [sf_dir])
+    return counted.select("rows", F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
 @query
@@ -243,6 +240,36 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.current_facts(spark, path)
 
 
+def _two_versions(spark: SparkSession, sf_dir: str) -> str:
+    """A target that ingested all extractions, was compacted, and then ingested second versions of two thirds of them.
+
+    Half of the second versions hold other values, the other half cannot be read.
+    """
+    path = work_path(spark, "versions")
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("int") % 3
+    changed = F.when(number == 0, F.replace(F.col("raw"), F.lit('"revenue":'), F.lit('"revenue":1')))
+    first = view(spark, sf_dir, "extraction_fx")
+    second = first.where(number < 2).withColumn("raw", changed.otherwise(F.left("raw", F.lit(40))))
+    for name, version in (("a", first), ("b", second)):
+        version.write.parquet(f"{path}/in/{name}")
+        ingest.incremental_ingest(spark, f"{path}/in/*", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+        if name == "a":
+            ingest.compact(spark, f"{path}/out")
+    return f"{path}/out"
+
+
+@query
+def incremental_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current facts after second versions of documents came through the stream."""
+    return ingest.current_facts(spark, _two_versions(spark, sf_dir))
+
+
+@query
+def incremental_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second versions that could not be read."""
+    return ingest.rejected_extractions(spark, _two_versions(spark, sf_dir)).select("doc_id", "path", "reason", "open")
+
+
 @query
 def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "pages")

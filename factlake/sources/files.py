@@ -103,3 +103,18 @@ def read_entities(spark: SparkSession, path: str, view: str | None = None) -> Da
     if view:
         named.createOrReplaceTempView(view)
     return named
+
+
+def rows_per_file(files: DataFrame, folders: list[str], suffix: str = "parquet", path: str = "path") -> DataFrame:
+    """The files with `rows`, the rows that each Parquet file holds; 0 for files not below the folders.
+
+    One scan counts all files, whatever their columns, as it reads none of them. The counts are
+    joined to the listing, so neither the plan nor the driver grows with the files.
+    """
+    spark = files.sparkSession
+    scan = spark.read.schema(T.StructType([])).option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(suffix))
+    # the path comes URL-encoded, but for the plus sign
+    read = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    counts = scan.parquet(*folders).groupBy(F.regexp_replace(read, "^file:/*", "/").alias("__path")).count()
+    joined = files.join(counts, F.col(path) == F.col("__path"), "left")
+    return joined.select(*files.columns, F.coalesce("count", F.lit(0).cast("long")).alias("rows"))

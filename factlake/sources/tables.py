@@ -13,9 +13,14 @@ from factlake.operators.vectors import index_manifest, normalize_l2
 
 
 def _append(checked: DataFrame, path: str, layout: list[str], order: list[str]) -> None:
-    """One job for accepted and rejected rows, so each row of the input ends up in one of them."""
+    """One write for accepted and rejected rows, so each row of the input ends up in one of them.
+
+    Tasks take ranges of the whole order, so what belongs together lies in one file or in few, whichever
+    tasks it came from. Ranges also cut through a key with very many rows, if the order goes on after it.
+    """
     marked = checked.withColumn("rejected", F.col("reject_reason").isNotNull())
-    marked.sortWithinPartitions("rejected", *layout, *order).write.mode("append").partitionBy(
+    whole = ["rejected", *layout, *order]
+    marked.repartitionByRange(*whole).sortWithinPartitions(*whole).write.mode("append").partitionBy(
         "rejected", *layout
     ).parquet(path)
 
@@ -30,10 +35,10 @@ def _appended(spark: SparkSession, path: str, schema: T.StructType, layout: list
 def append_facts(facts: DataFrame, path: str) -> None:
     """Append the facts that satisfy the table's rules, and the others beside them.
 
-    Files are laid out by period type and ordered by metric and company, so that
-    lookups skip most of the data.
+    Files are laid out by period type and hold ranges of metric and company, so that
+    lookups skip most files, and most row groups of the others.
     """
-    _append(validate_facts(facts), path, ["period_type"], ["metric_key", "company"])
+    _append(validate_facts(facts), path, ["period_type"], ["metric_key", "company", "doc_id"])
 
 
 def stored_facts(spark: SparkSession, path: str) -> DataFrame:

@@ -97,6 +97,37 @@ def test_append(spark, tmp_path):
     assert tables.rejected_facts(spark, f"{tmp_path}/f").count() == 2
 
 
+def test_a_lookup_reads_few_files(spark, tmp_path):
+    rows = facts(spark, *[{"metric_key": f"m{i % 20}", "company": f"c{i % 7}", "doc_id": f"d{i}", "value": float(i)} for i in range(2800)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # every task holds every metric
+        tables.append_facts(rows.repartition(8), f"{tmp_path}/f")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    import pyarrow.parquet as pq
+
+    found = []
+    for path in (tmp_path / "f").rglob("*.parquet"):
+        held = pq.ParquetFile(path)
+        names = held.schema_arrow.names
+        for g in range(held.num_row_groups):
+            stats = [held.metadata.row_group(g).column(names.index(c)).statistics for c in ("metric_key", "company")]
+            found.append(all(s.min <= v <= s.max for s, v in zip(stats, ("m7", "c3"))))
+    assert len(found) >= 8 and 1 <= sum(found) <= 3
+
+
+def test_rows_per_file(spark, tmp_path):
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/in/a b+c%20d")
+    spark.range(5).selectExpr("CAST(id AS STRING) AS other").repartition(2).write.parquet(f"{tmp_path}/in/x")
+    found = files.discover_files(spark, [f"{tmp_path}/in"], suffix="parquet", recursive=True)
+    got = files.rows_per_file(found, [f"{tmp_path}/in"])
+    assert sum(r.rows for r in got.collect()) == 12 and got.columns == [*found.columns, "rows"]
+
+
 @pytest.mark.parametrize("kind", ["csv", "json"])
 def test_export(spark, tmp_path, kind):
     spec = "company string, metric_key string, page int, value double"

@@ -61,3 +61,51 @@ def test_pages(spark, tmp_path):
     assert run_pages() == ([("Acme Q1", 1, "one"), ("Acme Q1", 2, "two")], {"Acme Q1": 2, "b": 0})
     put_pages("b", ("/in/Acme_Q1.pdf", ["new", "last"]), ("/in/b.pdf", ["x", "y"]))
     assert run_pages() == ([("Acme Q1", 1, "new"), ("b", 1, "x")], {"Acme Q1": 1, "b": 1})
+
+
+def test_rejects_and_the_version_before(spark, tmp_path):
+    put(spark, f"{tmp_path}/in", "a", ("/1.pdf", raw(x=1)), ("/bad.pdf", "none"), ("/2.pdf", raw(y=2)))
+    run(spark, tmp_path)
+    put(spark, f"{tmp_path}/in", "b", ("/1.pdf", "{ broken"), ("/bad.pdf", raw(z=3)))
+    facts, documents = run(spark, tmp_path)
+    # the version that cannot be read replaces nothing
+    assert facts == [("page_1.s.x", 1.0), ("page_1.s.y", 2.0), ("page_1.s.z", 3.0)]
+    assert documents == {"/1.pdf", "/2.pdf", "/bad.pdf"}
+    rejects = {(r.path, r.raw, r.open) for r in I.rejected_extractions(spark, f"{tmp_path}/out").collect()}
+    assert rejects == {("/bad.pdf", "none", False), ("/1.pdf", "{ broken", True)}
+    assert all(r.reason == I.NO_OBJECT for r in I.rejected_extractions(spark, f"{tmp_path}/out").collect())
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    out = f"{tmp_path}/out"
+
+    def batch(n, *rows):
+        I.write_batch(spark.createDataFrame(list(rows), EXTRACTIONS), n, out)
+
+    def now():
+        return sorted((r.source_span, r.value) for r in I.current_facts(spark, out).collect())
+
+    batch(0, ("/1.pdf", raw(x=1)), ("/2.pdf", raw(y=2)))
+    batch(1, ("/1.pdf", raw(x=10)), ("/3.pdf", raw(w=4)))
+    want = [("page_1.s.w", 4.0), ("page_1.s.x", 10.0), ("page_1.s.y", 2.0)]
+    assert now() == want
+    before = I.current_facts(spark, out)
+    # a compaction that fails before its manifest changes nothing
+    with monkeypatch.context() as broken:
+        broken.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(OSError("stop")))
+        try:
+            I.compact(spark, out)
+        except OSError:
+            pass
+    assert now() == want
+    assert I.compact(spark, out) == 1 == I.compact(spark, out)
+    assert now() == want and sorted((r.source_span, r.value) for r in before.collect()) == want
+    # files of the batches are not read any more
+    plan = I.current_facts(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "compacted/1/facts" in plan
+    batch(2, ("/2.pdf", raw()), ("/3.pdf", "{ broken"))
+    want = [("page_1.s.w", 4.0), ("page_1.s.x", 10.0)]
+    assert now() == want
+    assert {r.source_path: r.batch_id for r in I.current_documents(spark, out).collect()} == {"/1.pdf": 1, "/2.pdf": 2, "/3.pdf": 1}
+    assert I.compact(spark, out) == 2 and now() == want
+    assert {r.path: r.open for r in I.rejected_extractions(spark, out).collect()} == {"/3.pdf": True}
