@@ -9,6 +9,8 @@ from factlake.functions import questions as Q
 from factlake.functions.text import float_text
 from factlake.operators.conversations import chat_context, last_user_message
 from factlake.operators.search import facts_search_labelled
+from factlake.operators.terms import TermLists, search_terms
+from factlake.operators.vectors import snippet_context
 
 
 def route_questions(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -54,11 +56,8 @@ def _page() -> Column:
     return F.concat(F.lit("p."), F.col("source_page").cast("string"))
 
 
-def fact_answer_lines(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """Answer and context text per request from its ordered facts.
-
-    found(request_id, place, ...) as a search gives it: a few rows per request.
-    """
+def _answer_texts(found: DataFrame) -> DataFrame:
+    """row_count, answer and context of each request with facts."""
     period = F.coalesce(F.nullif("metric_variant", F.lit("")), F.nullif("period_type", F.lit("")))
     alone = F.concat(
         "company", F.lit(": "), "metric_key",
@@ -76,13 +75,20 @@ def fact_answer_lines(requests: DataFrame, found: DataFrame) -> DataFrame:
     )
     per_request = lines.groupBy("request_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     several = F.size("ls") > 1
-    texts = per_request.select(
+    return per_request.select(
         "request_id",
         F.size("ls").alias("row_count"),
         F.when(several, F.array_join("ls.line", "\n")).otherwise(F.col("ls")[0]["alone"]).alias("answer"),
         F.array_join("ls.piped", "\n").alias("context"),
     )
-    return requests.select("request_id").join(texts, "request_id", "left").select(
+
+
+def fact_answer_lines(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """Answer and context text per request from its ordered facts.
+
+    found(request_id, place, ...) as a search gives it: a few rows per request.
+    """
+    return requests.select("request_id").join(_answer_texts(found), "request_id", "left").select(
         "request_id",
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
         F.coalesce("answer", F.lit(K.MSG_NO_FACTS)).alias("answer"),
@@ -90,10 +96,9 @@ def fact_answer_lines(requests: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def routed_requests(questions: DataFrame) -> DataFrame:
-    """Search requests of the routed questions; a company column steps in for a missing hint."""
-    routed = route_questions(questions)
-    given = F.col("company") if "company" in questions.columns else F.lit(None).cast("string")
+def _requests(routed: DataFrame) -> DataFrame:
+    """Search requests of routed questions; a company column steps in for a missing hint."""
+    given = F.col("company") if "company" in routed.columns else F.lit(None).cast("string")
     return routed.where(F.col("tool") == "facts_sql").select(
         F.col("question_id").alias("request_id"),
         F.coalesce(F.nullif("company_hint", F.lit("")), given).alias("company_hint"),
@@ -102,24 +107,69 @@ def routed_requests(questions: DataFrame) -> DataFrame:
     )
 
 
+def routed_requests(questions: DataFrame) -> DataFrame:
+    """Search requests of the questions that are about facts."""
+    return _requests(route_questions(questions))
+
+
+def _search(facts: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
+    return facts_search_labelled(facts, requests, list(K.QUESTION_ALIASES), limit)
+
+
 def search_questions(facts: DataFrame, questions: DataFrame, limit: int = K.FACT_ROWS) -> DataFrame:
     """First facts of every routed question, with request_id = question_id."""
-    return facts_search_labelled(facts, routed_requests(questions), list(K.QUESTION_ALIASES), limit)
+    return _search(facts, routed_requests(questions), limit)
 
 
 def answer_questions(facts: DataFrame, questions: DataFrame, limit: int = K.FACT_ROWS) -> DataFrame:
     """One answer per question: questions(question_id, text[, company])."""
-    requests = routed_requests(questions)
-    found = search_questions(facts, questions, limit)
-    answers = fact_answer_lines(requests, found).withColumnRenamed("request_id", "question_id")
-    routed = route_questions(questions).select("question_id", "tool")
+    routed = route_questions(questions)
+    answers = _answer_texts(_search(facts, _requests(routed), limit)).withColumnRenamed("request_id", "question_id")
     known = F.col("tool") == "facts_sql"
-    return routed.join(answers, "question_id", "left").select(
+    return routed.select("question_id", "tool").join(answers, "question_id", "left").select(
         "question_id",
         F.when(known, "ok").otherwise("unknown").alias("status"),
         "tool",
         F.when(~known, K.MSG_NO_ROUTE).alias("message"),
-        "row_count",
-        "answer",
+        F.when(known, F.coalesce("row_count", F.lit(0))).alias("row_count"),
+        F.when(known, F.coalesce("answer", F.lit(K.MSG_NO_FACTS))).alias("answer"),
     )
 
+
+def answer_conversations(
+    conversations: DataFrame,
+    facts: DataFrame,
+    index: DataFrame,
+    lists: TermLists | None = None,
+    limit: int = K.FACT_ROWS,
+    k: int = K.ROUTED_HITS,
+) -> DataFrame:
+    """From whole conversations to what answers the last question of each.
+
+    A question about facts is answered from the facts it names, if there are some; every other one
+    from the nearest chunks. conv_id, question, context (the end of the conversation), tool
+    (facts or vector), status (ok or no hits), row_count and answer: the fact lines, or the chunks
+    with company and page. Conversations without a user message to answer give no row. The fact
+    search is run once for all conversations; only questions without facts go to the chunks.
+    """
+    asked = conversation_questions(conversations)
+    found = _search(facts, _requests(asked.where(F.col("intent") == "facts")), limit)
+    from_facts = _answer_texts(found).select(
+        F.col("request_id").alias("question_id"), F.lit("facts").alias("tool"), "row_count", "answer"
+    )
+    unanswered = asked.select("question_id", "text").join(from_facts.select("question_id"), "question_id", "left_anti")
+    hits = search_terms(index, unanswered, k, lists=lists)
+    counts = hits.groupBy("question_id").agg(F.count("*").cast("int").alias("row_count"))
+    from_chunks = counts.join(snippet_context(hits, query_id="question_id"), "question_id").select(
+        "question_id", F.lit("vector").alias("tool"), "row_count", F.col("context").alias("answer")
+    )
+    answers = from_facts.unionByName(from_chunks)
+    return asked.select("question_id", "text", "context").join(answers, "question_id", "left").select(
+        F.col("question_id").alias("conv_id"),
+        F.col("text").alias("question"),
+        "context",
+        F.coalesce("tool", F.lit("vector")).alias("tool"),
+        F.when(F.col("answer").isNull(), "no hits").otherwise("ok").alias("status"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.coalesce("answer", F.lit(K.MSG_NO_HITS)).alias("answer"),
+    )

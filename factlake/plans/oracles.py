@@ -6,7 +6,6 @@ from factlake import constants as K
 from factlake.fixtures import DUCKDB_VIEWS, TABLES
 from factlake.functions.metrics import NAMED_NUMBER_TEXT, NUMBER_TEXT
 from factlake.functions.text import LINE_END, SPACE
-from factlake.operators import sqlviews
 from factlake.operators.extraction import FENCE_PATTERN, OBJECT_PATTERN
 
 TIES = "confidence DESC, source_page, doc_id, source_span NULLS LAST, value"
@@ -312,12 +311,6 @@ def _with(body: str, *views: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + text
 
 
-def _bind(sql: str, **args: str) -> str:
-    for name, value in args.items():
-        sql = sql.replace(f":{name}", value)
-    return sql.replace("v_facts_best", "best").replace("FROM entities", "FROM entities_fx")
-
-
 CONTEXTS = f"""
 SELECT conv_id, coalesce(right(string_agg(line, chr(10) ORDER BY turn, line), {K.CONTEXT_CHARS}), '') AS context
 FROM (SELECT conv_id, turn, CASE WHEN body <> '' THEN coalesce(role, 'user') || ': ' || body END AS line
@@ -610,14 +603,27 @@ WHERE metric_variant ILIKE '%FY98%'""",
         "facts_fx",
     ),
     "sql_top_by_metric": _with(
-        f"{BEST} => " + _bind(sqlviews.TOP_BY_METRIC, metric="'revenue'", industry="'nation_7'"), "facts_fx", "entities_fx"
+        f"""{BEST}, ranked AS (
+  SELECT b.*, row_number() OVER (ORDER BY b.value DESC, b.company, b.metric_variant NULLS LAST) AS nth
+  FROM best b SEMI JOIN (SELECT upper(company) AS name FROM entities_fx WHERE upper(industry) = 'NATION_7') e
+    ON e.name = upper(b.company)
+  WHERE upper(b.metric_key) = 'REVENUE'
+) => SELECT company, metric_key, metric_variant, value, unit, source_page FROM ranked WHERE nth <= 5""",
+        "facts_fx",
+        "entities_fx",
     ),
     "sql_metric_threshold": _with(
-        f"{BEST} => " + _bind(sqlviews.METRIC_THRESHOLD, metric="'roe'", threshold="60000.0"), "facts_fx"
+        f"""{BEST}, above AS (SELECT company, list(value) AS found FROM best WHERE upper(metric_key) = 'ROE' AND value > 60000 GROUP BY 1)
+=> SELECT company, list_max(found) AS best_value, CAST(len(found) AS BIGINT) AS fact_count FROM above""",
+        "facts_fx",
     ),
     "sql_group_aggregate": _with(
-        f"""{BEST} => SELECT company, metric_key, metric_variant, value, unit, source_page
-FROM ({_bind(sqlviews.GROUP_AGGREGATE)}) ORDER BY value DESC, company, metric_key LIMIT {K.SQL_ROWS}""",
+        f"""{BEST}, grouped AS (
+  SELECT DISTINCT company, metric_key, max(metric_variant) OVER w AS metric_variant, max(value) OVER w AS value,
+    min(unit) OVER w AS unit, min(source_page) OVER w AS source_page
+  FROM best WINDOW w AS (PARTITION BY company, metric_key)
+) => SELECT company, metric_key, metric_variant, value, unit, source_page FROM grouped
+QUALIFY row_number() OVER (ORDER BY value DESC, company, metric_key) <= {K.SQL_ROWS}""",
         "facts_fx",
     ),
     "fact_answer_lines": _with(
@@ -671,6 +677,32 @@ FROM named n LEFT JOIN wanted w ON n.question_id = w.question_id LEFT JOIN answe
         "facts_fx",
         "questions_fx",
     ),
+    "answer_conversations": _with(
+        f"""talks AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT question_id, 1000, 'user', text FROM questions_fx WHERE question_id % 3 = 0
+), contexts AS ({CONTEXTS.replace('FROM conversations', 'FROM talks')}),
+last_queries AS ({LAST_QUERIES.replace('FROM conversations', 'FROM talks')}), texts AS (
+  SELECT conv_id AS question_id, query AS text FROM last_queries WHERE query IS NOT NULL
+), {NAMES}, {FOUND.replace('WHERE len(metrics) > 0', f"WHERE len(metrics) > 0 AND regexp_matches(text, '{K.FACT_INTENT_PATTERN}')")}, {LINES},
+{_chunks('raw_pages_fx', PAGE_KEYS)}, {TERMS},
+asked AS (SELECT question_id, text FROM texts WHERE question_id NOT IN (SELECT question_id FROM answers)),
+{TERM_HITS.format(k=K.ROUTED_HITS)}, snippets AS (
+  SELECT question_id, CAST(count(*) AS INT) AS row_count,
+    string_agg('[' || company || '] (p.' || CAST(page_num AS VARCHAR) || ') ' || text, chr(10) || chr(10) ORDER BY place) AS answer
+  FROM hits GROUP BY 1
+) =>
+SELECT t.question_id AS conv_id, t.text AS question, c.context,
+  CASE WHEN a.question_id IS NULL THEN 'vector' ELSE 'facts' END AS tool,
+  CASE WHEN coalesce(a.answer, s.answer) IS NULL THEN 'no hits' ELSE 'ok' END AS status,
+  coalesce(a.row_count, s.row_count, 0) AS row_count, coalesce(a.answer, s.answer, '{K.MSG_NO_HITS}') AS answer
+FROM texts t JOIN contexts c ON t.question_id = c.conv_id
+LEFT JOIN answers a ON t.question_id = a.question_id LEFT JOIN snippets s ON t.question_id = s.question_id""",
+        "facts_fx",
+        "questions_fx",
+        "raw_pages_fx",
+        recursive=True,
+    ),
     "facts_else_vector": _with(
         f"""{QUESTION_TEXTS}, {NAMES}, {FOUND}, {_chunks('raw_pages_fx', PAGE_KEYS)}, {TERMS},
 asked AS (

@@ -616,6 +616,23 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.answer_questions(view(spark, sf_dir, "facts_fx"), view(spark, sf_dir, "questions_fx"))
 
 
+@query
+def answer_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last question of each conversation, every third one turned to a stored figure, with its answer."""
+    index, lists = _stored_index(spark, sf_dir)
+    return routing.answer_conversations(_conversations_about_facts(spark, sf_dir), view(spark, sf_dir, "facts_fx"), index, lists)
+
+
+def _conversations_about_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, with the question of a supplier as a last turn of every third one."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    questions = view(spark, sf_dir, "questions_fx").where("question_id % 3 = 0")
+    last = questions.select(
+        F.col("question_id").cast("long").alias("conv_id"), F.lit(1000).cast("long").alias("turn"), F.lit("user").alias("role"), "text"
+    )
+    return talks.unionByName(last)
+
+
 @query
 def facts_else_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = routing.classify_questions(view(spark, sf_dir, "questions_fx"))

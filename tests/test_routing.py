@@ -76,3 +76,24 @@ def test_conversations(spark):
     assert got == {c: context(turns) for c, turns in talks.items()}
     asked = {r.conv_id: r.query for r in C.last_user_message(df).collect()}
     assert asked == {1: "last", 2: None, 3: "a" * 4000, 4: None, 5: None}
+
+
+def test_answer_conversations(spark):
+    from factlake.operators import terms
+
+    stored = facts(spark, {"metric_key": "Roe", "company": "Acme", "value": 12.5, "unit": "%", "source_page": 4})
+    pages = [("d", 3, 0, "Beta", "copper prices rose"), ("d", 4, 0, "Beta", "tin"), ("e", 1, 0, "Acme", "the roe of others")]
+    index = terms.embed_terms(spark.createDataFrame(pages, "doc_id string, page_num int, chunk_idx int, company string, text string"))
+    talk = [
+        (1, 0, "user", "hello"), (1, 1, "assistant", "yes?"), (1, 2, "User", 'What is the ROE of "Acme"?'),
+        (2, 0, "user", "what is the roe of \"Gamma\"?"), (3, 0, "user", "copper prices"), (4, 0, "user", "zinc"),
+        (5, 0, "assistant", "copper"), (6, 0, "user", "  "), (7, 0, None, "copper"),
+    ]
+    rows = R.answer_conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), stored, index)
+    got = {r.conv_id: (r.tool, r.status, r.row_count, r.answer) for r in rows.collect()}
+    assert got.keys() == {1, 2, 3, 4}
+    assert got[1][:3] == ("facts", "ok", 1) and got[1][3].startswith("Acme: Roe") and "12.5 % (p.4)" in got[1][3]
+    # no such fact: nearest chunks instead
+    assert got[2][:2] == ("vector", "ok") and "[Acme] (p.1) the roe of others" in got[2][3]
+    assert got[3] == ("vector", "ok", 1, "[Beta] (p.3) copper prices rose")
+    assert got[4] == ("vector", "no hits", 0, "No matching data found.")
