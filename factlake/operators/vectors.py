@@ -235,9 +235,11 @@ def _fit_blocks(rows: DataFrame, most_bytes: int) -> _Blocks:
     bounded by their numbers.
     """
     spark = rows.sparkSession
-    n = rows.count()
-    taken = rows.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE).select("__vector").toArrow().column(0)
-    sample = _unit_rows(_matrix(taken))
+    taken = rows.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE).select("__vector").toArrow()
+    # a sample that is not full is the whole index, and counted where it is
+    whole = taken.num_rows < SAMPLE
+    n = taken.num_rows if whole else rows.count()
+    sample = _unit_rows(_matrix(taken.column(0)))
     sample = sample[sample.any(axis=1)] if len(sample) else sample
     width = max(1, sample.shape[1])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -249,9 +251,14 @@ def _fit_blocks(rows: DataFrame, most_bytes: int) -> _Blocks:
         none = np.zeros((1, RINGS), np.int64)
         none[0, 0] = n
         return _cut_blocks(np.zeros((0, sample.shape[1])), 0, none, most)
-    found = rows.select("__vector").mapInArrow(_ring_counter(sample[:n_pivots], RINGS), "pivot long, step long, n long")
+    count = _ring_counter(sample[:n_pivots], RINGS)
+    if whole:
+        found = [row for batch in count(iter(taken.to_batches())) for row in batch.to_pylist()]
+    else:
+        held = rows.select("__vector").mapInArrow(count, "pivot long, step long, n long")
+        found = held.groupBy("pivot", "step").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((n_pivots + 1, RINGS), np.int64)
-    for row in found.groupBy("pivot", "step").agg(F.sum("n").alias("n")).collect():
+    for row in found:
         counts[row["pivot"], row["step"]] = row["n"]
     return _cut_blocks(sample, n_pivots, counts, most)
 
