@@ -3,15 +3,19 @@
 Vectors become binary codes: signs after rotations learned on a bounded sample (iterative
 quantisation). Codes are cut into substrings, each with an index of its values. Within a
 Hamming radius r two codes agree up to r / SUBSTRINGS bits in one substring at least, so
-probing the values that near in every index finds every code within r; these are ranked by
-the inner product of the vectors. The radius is set on the sample; queries with too few
-finds are probed again without a bound.
+looking up the values that near, in every index, retrieves every code within r. What is
+retrieved is ranked by the inner product of the vectors; no other vector is looked at.
+
+A query's radius grows bit by bit of a substring. It ends where it holds the codes of the
+vectors as near as the k-th best so far: how far codes of such an angle lie apart is measured
+on the sample. The k-th best of the sample is the first bar, and what a block yields raises it.
+Queries with too few finds are asked again without a bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +24,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factlake.llm.common import sample_order, stored
 from factlake.llm.vectors import by_dimension, usable_vectors
 
-# The bounded sample that the rotations and the radius come from.
+# The bounded sample that the rotations, the radii and the first bars come from.
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 CODE_BITS = 256
 SUBSTRING_BITS = 16
 ROUNDS = 20
-# Share of the sample's nearest neighbours that must lie within the radius.
+# Share of the sample's pairs of an angle that must lie within the radius for it.
 WITHIN = 0.97
-# Vectors that one task searches, and queries compared with them at a time.
+# The nearest pairs of the sample are the first step of angles; every other step holds GROWTH times as many.
+FIRST_PAIRS = 256
+GROWTH = 1.4
+# Vectors that one task searches, and queries compared with the sample at a time.
 BLOCK_ROWS = 1 << 16
-STRIPE = 64
+STRIPE = 256
 # Scores nearer than this to the last one are computed again before ranking.
 SLACK = 1e-9
 
-_ONES = np.array([bin(i).count("1") for i in range(1 << SUBSTRING_BITS)], dtype=np.uint8)
+_VALUES = np.arange(1 << SUBSTRING_BITS, dtype=np.int64)
+_ONES = np.bitwise_count(_VALUES)
+# Values by their number of bits: what a substring is changed by to reach those so far away.
+_MASKS = [_VALUES[_ONES == e] for e in range(SUBSTRING_BITS + 1)]
 
 
 @dataclass(frozen=True)
 class Codes:
-    """Rotations, the centre they are about, the largest norm, and the radius."""
+    """Rotations, the centre they are about, the largest norm, and the radius for each step of angles."""
 
     centre: np.ndarray
     rotations: np.ndarray
     largest: float
-    radius: int
+    angles: np.ndarray
+    radii: np.ndarray
 
     def rows(self, vectors: np.ndarray) -> np.ndarray:
         """Codes of vectors, with the lack of norm as one more component: then the inner product orders like the angle."""
@@ -59,6 +70,14 @@ class Codes:
         bits = (x - self.centre) @ self.rotations >= 0
         return np.packbits(bits, axis=1).view(np.uint16)
 
+    def radius(self, bar: float, length: float) -> int:
+        """The radius that holds codes of vectors with an inner product of `bar` or more with a query of this length."""
+        if bar == -np.inf:
+            return CODE_BITS
+        angle = np.arccos(np.clip(bar / (length * self.largest), -1.0, 1.0))
+        step = int(np.searchsorted(self.angles, angle))
+        return int(self.radii[step]) if step < len(self.radii) else CODE_BITS
+
 
 def _rotations(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Columns of rotations that bring the rows of x near to sign vectors, CODE_BITS in all."""
@@ -74,31 +93,82 @@ def _rotations(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.concatenate(found, axis=1)[:, :CODE_BITS]
 
 
-def fit(vectors: DataFrame, k: int, seed: int = 5) -> dict[int, Codes]:
-    """Codes for each dimension of the usable (vec_id, v) rows, from at most SAMPLE rows in seeded order."""
+def _apart(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Bits in which codes differ."""
+    return np.bitwise_count(queries.view(np.uint64) ^ rows.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def _steps(x: np.ndarray, made: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Upper ends of steps of angles between rows of the sample, and a radius for each that never falls."""
+    queries = x[:SAMPLE_QUERIES]
+    length = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
+    angle = np.arccos(np.clip(queries @ x.T / (length * made.largest), -1.0, 1.0))
+    rows = made.rows(x)
+    apart = np.stack([_apart(q, rows) for q in made.queries(queries)])
+    others = ~np.eye(len(queries), len(x), dtype=bool)
+    angle, apart = angle[others], apart[others]
+    order = np.argsort(angle, kind="stable")
+    angle, apart = angle[order], apart[order]
+    ends, radii, begin, size = [], [], 0, FIRST_PAIRS
+    while begin < len(angle):
+        end = min(len(angle), begin + int(size))
+        ends.append(angle[end - 1])
+        radii.append(np.ceil(np.quantile(apart[begin:end], WITHIN)))
+        begin, size = end, size * GROWTH
+    return np.array(ends), np.maximum.accumulate(np.array(radii, dtype=np.int64))
+
+
+def fit(vectors: DataFrame, seed: int = 5) -> dict[int, tuple[Codes, np.ndarray, np.ndarray]]:
+    """Codes for each dimension of the usable (vec_id, v) rows, with the ids and vectors of the sample they come from.
+
+    The sample has at most SAMPLE rows, in seeded order.
+    """
     norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
     largest = {r["d"]: r["m"] for r in vectors.groupBy(F.size("v").alias("d")).agg(F.max(norm).alias("m")).collect()}
     sample = vectors.orderBy(sample_order(F.col("vec_id"), seed), "vec_id").limit(SAMPLE).collect()
-    codes = {}
+    fitted = {}
     for dimension, most in largest.items():
-        x = np.array([r["v"] for r in sample if len(r["v"]) == dimension], dtype=np.float64).reshape(-1, dimension)
+        ours = [r for r in sample if len(r["v"]) == dimension]
+        ids = np.array([r["vec_id"] for r in ours], dtype=np.int64)
+        known = np.array([r["v"] for r in ours], dtype=np.float64).reshape(-1, dimension)
         rng = np.random.default_rng([seed, dimension])
-        if not len(x):
-            x = rng.standard_normal((1, dimension))
+        x = known if len(known) else rng.standard_normal((1, dimension))
         most = max(most, 1e-300)
         lack = np.sqrt(np.maximum(0.0, most**2 - (x * x).sum(axis=1)))
         full = np.concatenate([x, lack[:, None]], axis=1) / most
         centre = full.mean(axis=0)
-        rotations = _rotations(full - centre, rng)
-        made = Codes(centre, rotations, most, CODE_BITS)
-        queries = x[:SAMPLE_QUERIES]
-        scores = queries @ x.T
-        np.fill_diagonal(scores, -np.inf)
-        near = np.argsort(-scores, axis=1)[:, : min(k, max(1, len(x) - 1))]
-        apart = _ONES[made.queries(queries)[:, None, :] ^ made.rows(x)[near]].sum(axis=2, dtype=np.int64)
-        radius = int(np.ceil(np.quantile(apart, WITHIN))) if len(x) > 1 else CODE_BITS
-        codes[dimension] = Codes(centre, rotations, most, radius)
-    return codes
+        none = np.zeros(0)
+        made = Codes(centre, _rotations(full - centre, rng), most, none, none)
+        if len(known) > 1:
+            angles, radii = _steps(known, made)
+            made = replace(made, angles=angles, radii=radii)
+        fitted[dimension] = (made, ids, known)
+    return fitted
+
+
+def _bars(fitted: dict[int, tuple[Codes, np.ndarray, np.ndarray]], k: int):
+    """(vec_id, v, bar): each query with its k-th best inner product in the sample, without its own id."""
+    samples = {}
+    for dimension, (_, ids, known) in fitted.items():
+        ids, first = np.unique(ids, return_index=True)
+        samples[dimension] = ids, known[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bar = np.full(batch.num_rows, -np.inf)
+            asked = batch.column(0).to_numpy(zero_copy_only=False)
+            for places, matrix in by_dimension(batch.column(1)):
+                ids, known = samples[matrix.shape[1]]
+                if len(ids) <= k:
+                    continue
+                for begin in range(0, len(places), STRIPE):
+                    rows = places[begin : begin + STRIPE]
+                    scores = matrix[begin : begin + STRIPE] @ known.T
+                    scores[asked[rows][:, None] == ids] = -np.inf
+                    bar[rows] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bar)], names=["vec_id", "v", "bar"])
+
+    return run
 
 
 class Index:
@@ -107,54 +177,76 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes):
         self.ids, self.vectors, self.model = ids, vectors, codes
         self.codes = codes.rows(vectors)
-        self.tables = []
-        for s in range(self.codes.shape[1]):
-            order = np.argsort(self.codes[:, s], kind="stable")
-            values, counts = np.unique(self.codes[order, s], return_counts=True)
-            self.tables.append((order, values, counts))
-
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Queries by rows: whether the codes differ in `radius` bits at most."""
-        parts = len(self.tables)
-        each, more = divmod(min(radius, CODE_BITS), parts)
-        met = np.zeros((len(queries), len(self.ids)), dtype=bool)
-        for s, (order, values, counts) in enumerate(self.tables):
-            # pigeonhole: `each` bits in the first substrings, one less in the others
-            bound = each if s <= more else each - 1
-            if bound < 0:
-                continue
-            near = _ONES[queries[:, s][:, None] ^ values[None, :]] <= bound
-            met[:, order] |= np.repeat(near, counts, axis=1)
-        query, row = np.nonzero(met)
-        if radius < CODE_BITS:
-            apart = np.zeros(len(query), dtype=np.int64)
-            for s in range(parts):
-                apart += _ONES[queries[query, s] ^ self.codes[row, s]]
-            met[query, row] = apart <= radius
-        return met
-
-    def search(self, ids: np.ndarray, vectors: np.ndarray, k: int, radius: int) -> Iterator[tuple]:
-        """(query ids, vec ids, scores): the k best rows of this block for each query."""
-        for begin in range(0, len(ids), STRIPE):
-            asked, q = ids[begin : begin + STRIPE], vectors[begin : begin + STRIPE]
-            met = self.within(self.model.queries(q), radius)
-            met &= asked[:, None] != self.ids[None, :]
-            scores = np.where(met, q @ self.vectors.T, -np.inf)
-            top = min(k, scores.shape[1])
-            last = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
-            slack = SLACK * self.model.largest * np.sqrt((q * q).sum(axis=1))
-            query, row = np.nonzero(met & (scores >= (last - slack)[:, None]))
-            exact = np.zeros(len(query))
-            for d in range(q.shape[1]):  # one order of adding for every pair, so that equal vectors tie
-                exact += q[query, d] * self.vectors[row, d]
-            order = np.lexsort((self.ids[row], -exact, query))
-            query, row, exact = query[order], row[order], exact[order]
-            place = np.arange(len(query)) - np.searchsorted(query, query)
-            keep = place < k
-            yield asked[query[keep]], self.ids[row[keep]], exact[keep]
-
-
-def _searched(codes: dict[int, Codes], k: int, unbounded: bool):
+        self.repeated = len(np.unique(ids)) < len(ids)
+        self.scored = 0  # inner products computed so far
+        values = 1 << SUBSTRING_BITS
+        parts = self.codes.shape[1]
+        self.order = np.argsort(self.codes, axis=0, kind="stable").T.ravel()
+        # rows of value v in substring s: order[starts[s * values + v] : starts[s * values + v + 1]]
+        keys = self.codes.T.astype(np.int64) + (np.arange(parts) * values)[:, None]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(keys.ravel(), minlength=parts * values))])
+
+    def _holders(self, code: np.ndarray, changed: int, parts: int) -> np.ndarray:
+        """Rows that differ from the code in exactly `changed` bits of one of the first substrings."""
+        values = code[:parts, None].astype(np.int64) ^ _MASKS[changed]
+        values += (np.arange(parts) << SUBSTRING_BITS)[:, None]
+        begin = self.starts[values].ravel()
+        count = self.starts[values + 1].ravel() - begin
+        begin, count = begin[count > 0], count[count > 0]
+        shift = np.repeat(begin - (np.cumsum(count) - count), count)
+        return self.order[shift + np.arange(len(shift))]
+
+    def probe(self, code: np.ndarray, need) -> Iterator[np.ndarray]:
+        """Rows whose codes lie within need() bits, each once, from near to far; need() may fall while they are taken."""
+        parts = len(code)
+        unmet, given = CODE_BITS + 1, CODE_BITS + 2
+        apart = np.full(len(self.ids), unmet)
+        for changed in range(SUBSTRING_BITS + 1):
+            # pigeonhole: beyond radius parts * changed - 1 only the first `more` substrings are needed
+            more = min(parts, need() - parts * changed + 1)
+            if more <= 0:
+                return
+            met = np.zeros(len(self.ids), dtype=bool)
+            met[self._holders(code, changed, more)] = True
+            fresh = np.flatnonzero(met & (apart == unmet))
+            apart[fresh] = _apart(code, self.codes[fresh])
+            near = np.flatnonzero(apart <= min(need(), parts * (changed + 1) - 1, CODE_BITS))
+            apart[near] = given
+            if len(near):
+                yield near
+
+    def search(self, asked: int, vector: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vec ids and scores of the k best rows retrieved for a query; `bar` is a score that k rows reach somewhere."""
+        length = float(np.sqrt((vector * vector).sum()))
+        slack = SLACK * self.model.largest * length
+        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        need = self.model.radius(bar, length)
+        for near in self.probe(self.model.queries(vector[None])[0], lambda: need):
+            near = near[self.ids[near] != asked]
+            self.scored += len(near)
+            rows, scores = np.concatenate([rows, near]), np.concatenate([scores, self.vectors[near] @ vector])
+            each = self._best_of_ids(rows, scores) if self.repeated else scores
+            if len(each) >= k:
+                last = np.partition(each, len(each) - k)[len(each) - k]
+                keep = scores >= last - slack
+                rows, scores = rows[keep], scores[keep]
+                if last > bar:
+                    bar = last
+                    need = min(need, self.model.radius(bar, length))
+        exact = np.zeros(len(rows))
+        for d in range(len(vector)):  # one order of adding for every pair, so that equal vectors tie
+            exact += vector[d] * self.vectors[rows, d]
+        best = np.lexsort((self.ids[rows], -exact))
+        if self.repeated:
+            best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])]
+        return self.ids[rows[best[:k]]], exact[best[:k]]
+
+    def _best_of_ids(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-scores, self.ids[rows]))
+        return scores[order][np.unique(self.ids[rows][order], return_index=True)[1]]
+
+
+def _searched(codes: dict[int, Codes], k: int):
     """(query_id, vec_id, score) from rows ordered by block, with a block's vectors before the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +264,7 @@ def _searched(codes: dict[int, Codes], k: int, unbounded: bool):
                     at, held, indexes = block[begin], {}, {}
                 part = batch.slice(begin, end - begin)
                 ids = part.column(2).to_numpy(zero_copy_only=False)
+                bars = part.column(4).to_numpy(zero_copy_only=False)
                 for rows, matrix in by_dimension(part.column(3)):
                     d = matrix.shape[1]
                     if not asks[begin]:
@@ -181,23 +274,26 @@ def _searched(codes: dict[int, Codes], k: int, unbounded: bool):
                         indexes[d] = Index(*(np.concatenate(p) for p in zip(*held.pop(d), strict=True)), codes[d])
                     if d not in indexes:
                         continue
-                    radius = CODE_BITS if unbounded else codes[d].radius
-                    for found in indexes[d].search(ids[rows], matrix, k, radius):
-                        yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
+                    found = [(i, *indexes[d].search(i, v, b, k)) for i, v, b in zip(ids[rows], matrix, bars[rows], strict=True)]
+                    asked = np.repeat(ids[rows], [len(f[1]) for f in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(asked), *(pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2))],
+                        names=["query_id", "vec_id", "score"],
+                    )
 
     return run
 
 
-def _round(vectors: DataFrame, queries: DataFrame, codes, k: int, blocks: int, unbounded: bool) -> DataFrame:
+def _round(vectors: DataFrame, queries: DataFrame, codes: dict[int, Codes], k: int, blocks: int) -> DataFrame:
     own = F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)").alias("block")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    rows = vectors.select(own, F.lit(False).alias("asks"), "vec_id", "v").union(
-        queries.select(every, F.lit(True).alias("asks"), "vec_id", "v")
+    rows = vectors.select(own, F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("bar")).union(
+        queries.select(every, F.lit(True).alias("asks"), "vec_id", "v", "bar")
     )
     return (
         rows.repartition("block")
         .sortWithinPartitions("block", "asks")
-        .mapInArrow(_searched(codes, k, unbounded), "query_id long, vec_id long, score double")
+        .mapInArrow(_searched(codes, k), "query_id long, vec_id long, score double")
     )
 
 
@@ -214,22 +310,25 @@ def nearest(
     only queries are repeated, once per block.
     """
     known = usable_vectors(rows, vec_id, vector)
+    fitted = fit(known)
+    codes = {d: made for d, (made, _, _) in fitted.items()}
     asked = usable_vectors(rows.where(is_query), vec_id, vector).dropDuplicates(["vec_id"])
-    codes = fit(known, k)
+    kind = asked.schema["v"].dataType.simpleString()
+    asked = stored(asked.mapInArrow(_bars(fitted, k), f"vec_id long, v {kind}, bar double"), "asked")
     sizes = {r["d"]: r["n"] for r in known.groupBy(F.size("v").alias("d")).agg(F.countDistinct("vec_id").alias("n")).collect()}
     parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, min(parallel, sum(sizes.values()) // 512 + 1), -(-sum(sizes.values()) // BLOCK_ROWS))
-    best = stored(_ranked(_round(known, asked, codes, k, blocks, False), k), "nearest")
+    best = stored(_ranked(_round(known, asked, codes, k, blocks), k), "nearest")
     wanted = F.lit(0)
     for d, n in sizes.items():
         wanted = F.when(F.size("v") == d, min(k, n - 1)).otherwise(wanted)
     got = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got"))
-    short = stored(
-        asked.join(got, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < wanted).select("vec_id", "v"), "short"
-    )
+    missed = asked.join(got, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < wanted)
+    short = stored(missed.select("vec_id", "v", F.lit(-float("inf")).alias("bar")), "short")
     if short.isEmpty():
         return best
-    again = _ranked(_round(known, short, codes, k, blocks, True), k)
+    # without a bar a block gives k rows, or all it has
+    again = _ranked(_round(known, short, codes, k, blocks), k)
     return best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 

@@ -145,12 +145,45 @@ def test_nearest_of_no_rows(spark):
     assert hamming.nearest(df, df.vec_id % 20 == 0, 5).count() == 0
 
 
+def plain_index(x, seed=9):
+    rng = np.random.default_rng(seed)
+    most = float(np.sqrt((x * x).sum(axis=1)).max())
+    lack = np.sqrt(np.maximum(0, most**2 - (x * x).sum(axis=1)))
+    full = np.c_[x, lack] / most
+    centre = full.mean(axis=0)
+    made = hamming.Codes(centre, hamming._rotations(full - centre, rng), most, np.zeros(0), np.zeros(0))
+    ends, radii = hamming._steps(x, made)
+    return hamming.Index(np.arange(len(x)), x, hamming.replace(made, angles=ends, radii=radii))
+
+
 def test_probing_finds_every_code_within_the_radius():
-    rng = np.random.default_rng(9)
-    x = rng.standard_normal((400, 24))
-    codes = hamming.Codes(np.zeros(25), hamming._rotations(np.c_[x, np.zeros(400)], rng), 12.0, 0)
-    index = hamming.Index(np.arange(400), x, codes)
-    q = codes.queries(x[:50])
-    apart = hamming._ONES[q[:, None, :] ^ index.codes[None]].sum(axis=2, dtype=int)
-    for radius in (0, 7, 16, 40, 99, 130, 256):
-        assert (index.within(q, radius) == (apart <= radius)).all()
+    x = np.random.default_rng(9).standard_normal((400, 24))
+    index = plain_index(x)
+    for code in index.model.queries(x[:20]):
+        apart = np.array([bin(int.from_bytes((code ^ c).tobytes(), "little")).count("1") for c in index.codes])
+        for radius in (0, 7, 15, 16, 40, 99, 130, 256):
+            met = [r for near in index.probe(code, lambda: radius) for r in near]
+            assert len(met) == len(set(met)) and set(met) == set(np.flatnonzero(apart <= radius))
+
+
+def test_radii_hold_the_pairs_of_their_angles():
+    index = plain_index(np.random.default_rng(3).standard_normal((600, 32)))
+    assert (np.diff(index.model.angles) >= 0).all() and (np.diff(index.model.radii) >= 0).all()
+    assert index.model.radius(-np.inf, 1.0) == hamming.CODE_BITS
+    assert index.model.radius(1e9, 1.0) <= index.model.radius(0.1, 1.0)
+
+
+def test_only_what_is_retrieved_is_scored():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 48)) * 2
+    x = np.repeat(centres, 30, axis=0) + rng.standard_normal((3000, 48)) * 0.2
+    index = plain_index(x)
+    hits = 0
+    for i in range(0, 3000, 60):
+        ids, scores = index.search(i, x[i], -np.inf, 10)
+        every = x @ x[i]
+        every[i] = -np.inf
+        assert np.allclose(scores, every[ids]) and (np.diff(scores) <= 0).all()
+        hits += len(set(ids) & set(np.argsort(-every)[:10]))
+    assert hits >= 0.95 * 50 * 10
+    assert index.scored <= 0.1 * 50 * 3000
