@@ -184,7 +184,7 @@ class Index:
         self.order = np.argsort(self.codes, axis=0, kind="stable").T.ravel()
         # rows of value v in substring s: order[starts[s * values + v] : starts[s * values + v + 1]]
         keys = self.codes.T.astype(np.int64) + (np.arange(parts) * values)[:, None]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(keys.ravel(), minlength=parts * values))])
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(keys.ravel(), minlength=parts * values))]).astype(np.int32)
 
     def _holders(self, code: np.ndarray, changed: int, parts: int) -> np.ndarray:
         """Rows that differ from the code in exactly `changed` bits of one of the first substrings."""
@@ -284,11 +284,14 @@ def _searched(codes: dict[int, Codes], k: int):
     return run
 
 
-def _round(vectors: DataFrame, queries: DataFrame, codes: dict[int, Codes], k: int, blocks: int) -> DataFrame:
-    own = F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)").alias("block")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    rows = vectors.select(own, F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("bar")).union(
-        queries.select(every, F.lit(True).alias("asks"), "vec_id", "v", "bar")
+def _round(vectors: DataFrame, queries: DataFrame, codes: dict[int, Codes], k: int, blocks: int, shares: int) -> DataFrame:
+    """Each block meets all queries; with fewer blocks than tasks, in `shares` tasks that take a part of the queries each."""
+    block = F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)") * shares
+    in_all = F.explode(F.sequence(block, block + shares - 1)).alias("block")
+    share = F.expr(f"cast(pmod(xxhash64(vec_id, 1), {shares}) as int)")
+    to_all = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * shares + share)).alias("block")
+    rows = vectors.select(in_all, F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("bar")).union(
+        queries.select(to_all, F.lit(True).alias("asks"), "vec_id", "v", "bar")
     )
     return (
         rows.repartition("block")
@@ -306,8 +309,8 @@ def nearest(
     equal scores go to the smaller vec_id. Vectors that are null, empty, zero or hold null or
     non-finite components, and null ids, take no part; vectors of another dimension are no
     candidates. A query gets all candidates if there are fewer than k. Rows repeated with one
-    vec_id are one candidate (the best) and one query. An empty table gives none. Vectors stay where their block is;
-    only queries are repeated, once per block.
+    vec_id are one candidate (the best) and one query. An empty table gives none. Queries are repeated once per block; vectors only
+    while the table has fewer blocks than there are tasks.
     """
     known = usable_vectors(rows, vec_id, vector)
     fitted = fit(known)
@@ -317,8 +320,9 @@ def nearest(
     asked = stored(asked.mapInArrow(_bars(fitted, k), f"vec_id long, v {kind}, bar double"), "asked")
     sizes = {r["d"]: r["n"] for r in known.groupBy(F.size("v").alias("d")).agg(F.countDistinct("vec_id").alias("n")).collect()}
     parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, min(parallel, sum(sizes.values()) // 512 + 1), -(-sum(sizes.values()) // BLOCK_ROWS))
-    best = stored(_ranked(_round(known, asked, codes, k, blocks), k), "nearest")
+    blocks = max(1, -(-sum(sizes.values()) // BLOCK_ROWS))
+    shares = max(1, parallel // blocks)
+    best = stored(_ranked(_round(known, asked, codes, k, blocks, shares), k), "nearest")
     wanted = F.lit(0)
     for d, n in sizes.items():
         wanted = F.when(F.size("v") == d, min(k, n - 1)).otherwise(wanted)
@@ -328,7 +332,7 @@ def nearest(
     if short.isEmpty():
         return best
     # without a bar a block gives k rows, or all it has
-    again = _ranked(_round(known, short, codes, k, blocks), k)
+    again = _ranked(_round(known, short, codes, k, blocks, shares), k)
     return best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
