@@ -9,7 +9,6 @@ from factlake.llm.common import stored
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_AFTER_BLANKS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 # The seeded order is cut into DIGIT_STEPS parts, the part where the mix ends again, LEVELS times.
 DIGIT_STEPS = 256
@@ -165,26 +164,16 @@ def mixed_documents(
     max_epochs: int = MAX_EPOCHS,
     seed: int = 7,
 ) -> DataFrame:
-    """The documents of the mix, with the columns of docs.
+    """The documents of the mix, with the columns of docs; a document that is taken k times is k rows.
 
-    A document that is taken k times whole is k rows; what is taken in part is a row with
-    its text up to the end of that many words, blanks as they are. n_chars, where there is one, follows the text.
+    Documents are taken whole: the one that `mix` takes in part, at most one per source, is taken once
+    more if that is at least half of it. So no text is cut, and a source's words differ from its target by at
+    most half of that document, which is the nearest that whole documents of the seeded order come.
     """
     plan = _plan(stored(_measured(docs, text, source, doc_id, seed), "sizes"), weights, max_epochs)
     inner = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     columns = [F.col(c).alias(name) for c, name in inner.items()]
     rows = _taken(_measured(docs, text, source, doc_id, seed, *columns), plan).where("taken > 0")
-    whole = F.col("whole") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)
-    some = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), whole.cast("int")), some)
-    rows = rows.select(*inner.values(), F.explode(copies).alias("__words"))
-    body = F.col(inner[text])
-    words = F.regexp_extract_all(body, F.lit(WORD_AFTER_BLANKS), F.lit(0))
-    cut = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), "")
-    rows = rows.withColumn(inner[text], F.when(F.col("__words").isNull(), body).otherwise(cut))
-    if "n_chars" in inner and dict(docs.dtypes)["n_chars"] in ("int", "bigint"):
-        length = F.when(F.col("__words").isNull(), F.col(inner["n_chars"])).otherwise(F.length(inner[text]))
-        rows = rows.withColumn(inner["n_chars"], length.cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(name).alias(c) for c, name in inner.items()])
+    times = F.col("whole") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
+    copies = F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("__copy")
+    return rows.select(*inner.values(), copies).select(*[F.col(name).alias(c) for c, name in inner.items()])

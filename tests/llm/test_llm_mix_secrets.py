@@ -1,7 +1,9 @@
 """Mixing and secret scans against plain Python, and that neither needs Python on the executors."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -72,24 +74,30 @@ def test_mixed_documents_hold_what_was_taken(spark):
     docs = llm_data.table(spark, rows, size=1, part="p", whole="w")
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
-    held = {}
+    times = Counter(r.doc_id for r in out.collect())
     texts = {r[0]: r[1] for r in rows}
-    for r in out.collect():
-        held[r.doc_id] = held.get(r.doc_id, 0) + words(r.text)
-        assert r.text == texts[r.doc_id] or " ".join(texts[r.doc_id].split()).startswith(r.text[:50])
-    assert held == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
-
-
-def test_a_document_in_part_keeps_its_blanks(spark):
+    assert all(r.text == texts[r.doc_id] for r in out.collect())
+    cut = {}
+    for r in mixing.mix(docs).collect():
+        wanted = r.taken / r.size if r.size else 0
+        assert times[r.doc_id] == math.floor(wanted + 0.5) <= mixing.MAX_EPOCHS
+        if wanted % 1:
+            source = next(d[3] for d in rows if d[0] == r.doc_id)
+            cut[source] = cut.get(source, 0) + 1
+    assert cut and max(cut.values()) == 1
+
+
+def test_whole_documents_come_near_the_targets(spark):
     text = "\n\n" + "\n\n".join(f"line {i}\tof  some\r\nwords" for i in range(200)) + "\n"
-    rows = [(i, text, "en", s, len(text)) for i, s in enumerate(["a", "b", "c", "d"])]
-    out = mixing.mixed_documents(llm_data.table(spark, rows)).collect()
-    parts = [r for r in out if r.text != text]
-    assert parts and all(text.startswith(r.text) and r.n_chars == len(r.text) for r in parts)
+    rows = [(i, text, "en", "abcd"[i % 4], len(text)) for i in range(40)]
+    docs = llm_data.table(spark, rows)
     held = {}
-    for r in out:
-        held[r.doc_id] = held.get(r.doc_id, 0) + words(r.text)
-    assert held == {r.doc_id: r.taken for r in mixing.mix(llm_data.table(spark, rows)).collect() if r.taken}
+    for r in mixing.mixed_documents(docs).collect():
+        assert r.text == text and r.n_chars == len(text)
+        held[r.source] = held.get(r.source, 0) + words(r.text)
+    targets = {"abcd"[r.doc_id % 4]: r.target for r in mixing.mix(docs).collect()}
+    assert set(held) == set(targets)
+    assert all(abs(held[s] - targets[s]) <= words(text) / 2 + 1 for s in held)
 
 
 def plain_spans(text):
