@@ -37,6 +37,8 @@ FIRST_PAIRS = 256
 GROWTH = 1.4
 # Vectors that one task searches, and queries compared with the sample at a time.
 BLOCK_ROWS = 1 << 16
+# Queries that are worth an index of their own, where tasks would be idle otherwise.
+SHARE = 256
 STRIPE = 256
 # Scores nearer than this to the last one are computed again before ranking.
 SLACK = 1e-9
@@ -321,7 +323,7 @@ def nearest(
     sizes = {r["d"]: r["n"] for r in known.groupBy(F.size("v").alias("d")).agg(F.countDistinct("vec_id").alias("n")).collect()}
     parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-sum(sizes.values()) // BLOCK_ROWS))
-    shares = max(1, parallel // blocks)
+    shares = max(1, min(parallel // blocks, -(-asked.count() // SHARE)))
     best = stored(_ranked(_round(known, asked, codes, k, blocks, shares), k), "nearest")
     wanted = F.lit(0)
     for d, n in sizes.items():
