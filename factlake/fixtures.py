@@ -120,6 +120,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_files(sf_dir: str, name: str) -> str:
+    """A pattern for the table, one file or a folder of files: a stream takes a single file only by a pattern."""
+    return f"{sf_dir.rstrip('/')}/{name}[.]parquet"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables of one folder."""
     text = SPARK_VIEWS[name]

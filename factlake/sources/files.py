@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -118,3 +120,10 @@ def rows_per_file(files: DataFrame, folders: list[str], suffix: str = "parquet",
     counts = scan.parquet(*folders).groupBy(F.regexp_replace(read, "^file:/*", "/").alias("__path")).count()
     joined = files.join(counts, F.col(path) == F.col("__path"), "left")
     return joined.select(*files.columns, F.coalesce("count", F.lit(0).cast("long")).alias("rows"))
+
+
+def rows_per_table(counted: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """Rows per table of a folder, `file_name` and `rows`: a table is one file, or a folder of that name with its files."""
+    start = re.sub("^file:/*", "/", folder).rstrip("/") + "/"
+    below = F.element_at(F.split(path, re.escape(start), 2), -1)
+    return counted.groupBy(F.split(below, "/")[0].alias("file_name")).agg(F.sum("rows").alias("rows")).select("rows", "file_name")
