@@ -161,18 +161,16 @@ def extraction_payloads(extractions: DataFrame, company_hint: str | None = None)
     described = describe(parse_extraction(extractions), hint=hint)
     facts = flatten_facts(described.select("doc_id", "company", "unit_hint", "doc"))
     cached = F.struct(*[F.col(name) for name in schemas.CACHED_FACT.fieldNames()])
-    lists = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(cached)).alias("facts"))
-    payload = F.struct(
-        "doc_id",
-        "company",
-        "page_count",
-        "source_path",
-        F.coalesce("facts", F.array().cast(schemas.EXTRACTION_CACHE["facts"].dataType)).alias("facts"),
-    )
-    return (
-        document_rows(described)
-        .join(lists, "doc_id", "left")
-        .select(file_stem(F.col("source_path")).alias("cache_key"), payload.alias("payload"))
+    about = F.struct("company", "page_count", "source_path")
+    documents = document_rows(described).select("doc_id", about.alias("document"), F.lit(None).alias("fact"))
+    # one grouping in place of a join: Spark would size the sides by the input's file and broadcast them
+    both = documents.unionByName(facts.select("doc_id", F.lit(None).alias("document"), cached.alias("fact")))
+    grouped = both.groupBy("doc_id").agg(
+        F.collect_list("document").alias("documents"), F.array_sort(F.collect_list("fact")).alias("facts")
+    )
+    payload = F.struct("doc_id", "d.company", "d.page_count", "d.source_path", "facts")
+    return grouped.withColumn("d", F.explode("documents")).select(
+        file_stem(F.col("d.source_path")).alias("cache_key"), payload.alias("payload")
     )
 
 
