@@ -14,11 +14,14 @@ from factlake.functions.text import float_text, matches_like
 from factlake.operators.ranking import first_rows
 from factlake.operators.terms import SCORE_DIGITS, TermLists, embed_terms, search_terms
 
-# Queries that a task compares with its vectors at a time.
-STRIPE = 256
+# Queries and vectors that a task compares at a time.
+STRIPE = 512
+CHUNK = 4096
 
-# A block of vectors in a task's memory, in double precision; it is not cut below LEAST_ROWS.
+# The vectors in a task's memory, in double precision, and the queries that it has at least, if there are as many;
+# a block is not cut below LEAST_ROWS.
 BLOCK_BYTES = 32 << 20
+LEAST_QUERIES = 8192
 LEAST_ROWS = 256
 # Vectors that pivots and first bars are taken from, and the pivots among them.
 SAMPLE = 2048
@@ -84,53 +87,88 @@ def _best_of(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray
     return query[keep], row[keep]
 
 
-class _Block:
-    """The vectors of one block, gathered batch by batch until the first query comes."""
+class _Shelf:
+    """The vectors of some blocks, gathered batch by batch until the first query comes."""
 
     def __init__(self):
-        self.ids, self.parts, self.unit = [], [], None
+        self.ids, self.rings, self.parts, self.unit = [], [], [], None
 
     def add(self, batch: pa.RecordBatch) -> None:
         self.ids.append(batch.column("__id"))
+        self.rings.append(batch.column("__ring").to_numpy(zero_copy_only=False))
         self.parts.append(_matrix(batch.column("__vector")))
 
-    def nearest(self, batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    def close(self) -> None:
+        if len({part.shape[1] for part in self.parts}) > 1:
+            raise ValueError("vectors have different lengths")
+        self.unit = _unit_rows(np.concatenate(self.parts))
+        self.ids = pa.concat_arrays(self.ids)
+        self.places = _sortable(self.ids)
+        rings = np.concatenate(self.rings)
+        self.rings, first = np.unique(rings, return_index=True)
+        last = [*first[1:].tolist(), len(rings)]
+        self.chunks = [
+            (ring, begin, min(begin + CHUNK, end))
+            for ring, (start, end) in enumerate(zip(first.tolist(), last, strict=True))
+            for begin in range(start, end, CHUNK)
+        ]
+        self.parts = []
+
+    def nearest(self, batch: pa.RecordBatch, k: int, blocks: _Blocks) -> Iterator[tuple]:
         if not self.ids:
             return
         if self.unit is None:
-            if len({part.shape[1] for part in self.parts}) > 1:
-                raise ValueError("vectors have different lengths")
-            self.unit = _unit_rows(np.concatenate(self.parts))
-            self.ids = pa.concat_arrays(self.ids)
-            self.places = _sortable(self.ids)
-            self.parts = []
+            self.close()
         asked = _unit_rows(_matrix(batch.column("__vector"), self.unit.shape[1]))
+        bars = batch.column("__bar").to_numpy(zero_copy_only=False)
         names = batch.column("__query")
         for begin in range(0, len(asked), STRIPE):
-            scores = np.round(asked[begin : begin + STRIPE] @ self.unit.T, SCORE_DIGITS)
-            query, row = _best_of(scores, self.places, k)
-            yield names.take(pa.array(query + begin)), self.ids.take(pa.array(row)), pa.array(scores[query, row])
-
-
-def _nearest_in_blocks(k: int, names: list[str]):
-    """k best vectors of each block for each query, from rows ordered by block, vectors before queries."""
+            unit, bar = asked[begin : begin + STRIPE], bars[begin : begin + STRIPE]
+            query, row, score = self._k_best(unit, bar, _reached(blocks, unit, bar, self.rings), k)
+            yield names.take(pa.array(query + begin)), self.ids.take(pa.array(row)), pa.array(score)
+
+    def _k_best(self, unit: np.ndarray, bar: np.ndarray, reached: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(query, vector, score) of each query's k best that reach its bar, in the blocks that it reaches."""
+        found = []
+        for ring, begin, end in self.chunks:
+            who = np.flatnonzero(reached[:, ring])
+            if not len(who):
+                continue
+            part = slice(begin, end)
+            scores = (unit if len(who) == len(unit) else unit[who]) @ self.unit[part].T
+            query, row = np.nonzero(scores >= bar[who, None] - 10.0**-SCORE_DIGITS)
+            if len(query) > 4 * k * len(who):
+                scores = np.round(scores, SCORE_DIGITS)
+                query, row = _best_of(scores, self.places[part], k)
+            found.append((who[query], row + begin, np.round(scores[query, row], SCORE_DIGITS)))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, row, score = (np.concatenate(column) for column in zip(*found, strict=True))
+        order = np.lexsort((self.places[row], -score, query))
+        query, row, score = query[order], row[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[keep], row[keep], score[keep]
+
+
+def _nearest_on_shelves(k: int, blocks: _Blocks, names: list[str]):
+    """k best vectors of each shelf for each query, from rows ordered by shelf, vectors by block before queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block = None, _Block()
+        at, shelf = None, _Shelf()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blocks = batch.column("__block").to_numpy(zero_copy_only=False)
+            shelves = batch.column("__block").to_numpy(zero_copy_only=False)
             asks = batch.column("__asks").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
-                if blocks[begin] != at:
-                    at, block = blocks[begin], _Block()
+            cuts = np.flatnonzero((shelves[1:] != shelves[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shelves)], strict=True):
+                if shelves[begin] != at:
+                    at, shelf = shelves[begin], _Shelf()
                 part = batch.slice(begin, end - begin)
                 if not asks[begin]:
-                    block.add(part)
+                    shelf.add(part)
                     continue
-                for found in block.nearest(part, k):
+                for found in shelf.nearest(part, k, blocks):
                     yield pa.RecordBatch.from_arrays(list(found), names=names)
 
     return run
@@ -150,6 +188,7 @@ class _Blocks(NamedTuple):
     vectors nearest to pivot[i], at angles from low[i] to high[i]. A ring with too many vectors is
     dealt to several blocks by a hash. The block of vectors without a direction has pivot -1.
     `first` and `several` say by pivot and step of the angle which block is a ring's first, and how many it has.
+    Block i lies on shelf[i], with its neighbours, as many as a task's memory takes.
     """
 
     sample: np.ndarray
@@ -158,6 +197,7 @@ class _Blocks(NamedTuple):
     high: np.ndarray
     first: np.ndarray
     several: np.ndarray
+    shelf: np.ndarray
 
 
 def _angles(cosines: np.ndarray) -> np.ndarray:
@@ -189,9 +229,12 @@ def _ring_counter(pivots: np.ndarray, rings: int):
     return run
 
 
-def _cut_blocks(sample: np.ndarray, n_pivots: int, counts: np.ndarray, most: int) -> _Blocks:
-    """Blocks of at most about `most` vectors, from the counts by pivot (the last row is pivot -1) and step."""
-    pivot, low, high = [], [], []
+def _cut_blocks(sample: np.ndarray, n_pivots: int, counts: np.ndarray, most: int, on_shelf: int) -> _Blocks:
+    """Blocks of at most about `most` vectors, from the counts by pivot (the last row is pivot -1) and step.
+
+    A shelf takes blocks of about on_shelf vectors in all.
+    """
+    pivot, low, high, rows = [], [], [], []
     first = np.full(counts.shape, -1, np.int64)
     several = np.ones(counts.shape, np.int64)
     for p in range(len(counts)):
@@ -209,11 +252,19 @@ def _cut_blocks(sample: np.ndarray, n_pivots: int, counts: np.ndarray, most: int
             # angles at the edge of a step may fall on either side of it
             low += [begin * np.pi / RINGS - 1e-6] * parts
             high += [(step + 1) * np.pi / RINGS + 1e-6] * parts
+            rows += [-(-held // parts)] * parts
             begin, held = None, 0
     # the last block is for what falls, by rounding, where nothing was counted: every query asks it
     first[first < 0] = len(pivot)
     pivot, low, high = [*pivot, 0 if n_pivots else -1], [*low, 0.0], [*high, np.pi]
-    return _Blocks(sample, np.array(pivot, np.int64), np.array(low), np.array(high), first, several)
+    shelf, filled = [], 0
+    for n in rows:
+        filled += n
+        fresh = not shelf or filled > on_shelf
+        filled = n if fresh else filled
+        shelf.append(0 if not shelf else shelf[-1] + fresh)
+    shelf.append(shelf[-1] if shelf else 0)
+    return _Blocks(sample, np.array(pivot, np.int64), np.array(low), np.array(high), first, several, np.array(shelf, np.int64))
 
 
 def _far_apart_first(unit: np.ndarray, n: int) -> np.ndarray:
@@ -243,14 +294,15 @@ def _fit_blocks(rows: DataFrame, most_bytes: int) -> _Blocks:
     sample = sample[sample.any(axis=1)] if len(sample) else sample
     width = max(1, sample.shape[1])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = max(1, min(most_bytes // (8 * width), max(LEAST_ROWS, -(-n // tasks))))
+    on_shelf = max(1, most_bytes // (8 * width))
+    most = min(on_shelf, max(LEAST_ROWS, -(-n // tasks)))
     n_pivots = min(PIVOTS, 2 * max(1, -(-n // most)), len(sample))
     sample = _far_apart_first(sample, n_pivots)
     if not n_pivots:
         # nothing, or nothing with a direction
         none = np.zeros((1, RINGS), np.int64)
         none[0, 0] = n
-        return _cut_blocks(np.zeros((0, sample.shape[1])), 0, none, most)
+        return _cut_blocks(np.zeros((0, sample.shape[1])), 0, none, most, on_shelf)
     count = _ring_counter(sample[:n_pivots], RINGS)
     if whole:
         found = [row for batch in count(iter(taken.to_batches())) for row in batch.to_pylist()]
@@ -260,7 +312,7 @@ def _fit_blocks(rows: DataFrame, most_bytes: int) -> _Blocks:
     counts = np.zeros((n_pivots + 1, RINGS), np.int64)
     for row in found:
         counts[row["pivot"], row["step"]] = row["n"]
-    return _cut_blocks(sample, n_pivots, counts, most)
+    return _cut_blocks(sample, n_pivots, counts, most, on_shelf)
 
 
 def _dealer(blocks: _Blocks):
@@ -283,35 +335,44 @@ def _dealer(blocks: _Blocks):
     return run
 
 
-def _asker(blocks: _Blocks, k: int):
-    """Rows (__query, __vector) with every block that may hold one of the query's k best.
+def _reached(blocks: _Blocks, unit: np.ndarray, bar: np.ndarray, these: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Which blocks, all or these, may hold a vector that reaches a query's bar.
 
-    The k-th best score among the sampled vectors is a bar that the k best of all do not fall
-    below. By the triangle inequality of angles no vector of a block scores more than the cosine of
+    By the triangle inequality of angles no vector of a block scores more than the cosine of
     the least angle between the query and the block's ring.
     """
-    pivots = blocks.sample[: len(blocks.first) - 1]
-    rings = blocks.pivot >= 0
+    pivot, low, high = blocks.pivot[these], blocks.low[these], blocks.high[these]
+    rings = pivot >= 0
+    most = np.zeros((len(unit), len(pivot)))
+    if rings.any():
+        pivots = blocks.sample[: len(blocks.first) - 1]
+        to_pivot = _angles(unit @ pivots.T)[:, pivot[rings]]
+        apart = np.maximum(np.maximum(to_pivot - high[rings], low[rings] - to_pivot), 0)
+        most[:, rings] = np.where(unit.any(axis=1)[:, None], np.cos(np.minimum(apart, np.pi)), 0.0)
+    return most + 10.0**-SCORE_DIGITS >= bar[:, None]
+
+
+def _asker(blocks: _Blocks, k: int):
+    """Rows (__query, __vector) with every shelf that may hold one of the query's k best, and the query's bar.
+
+    The bar is the k-th best score among the sampled vectors, which the k best of all do not fall below.
+    """
+    first = np.flatnonzero(np.diff(blocks.shelf, prepend=-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, STRIPE):
                 part = batch.slice(begin, STRIPE)
-                unit = _unit_rows(_matrix(part.column("__vector"), pivots.shape[1] if len(pivots) else None))
+                unit = _unit_rows(_matrix(part.column("__vector"), blocks.sample.shape[1] if len(blocks.first) > 1 else None))
                 bar = np.full(len(unit), -np.inf)
                 if len(blocks.sample) >= k:
                     scores = np.round(unit @ blocks.sample.T, SCORE_DIGITS)
                     bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                most = np.zeros((len(unit), len(blocks.pivot)))
-                if rings.any():
-                    to_pivot = _angles(unit @ pivots.T)[:, blocks.pivot[rings]]
-                    apart = np.maximum(np.maximum(to_pivot - blocks.high[rings], blocks.low[rings] - to_pivot), 0)
-                    most[:, rings] = np.where(unit.any(axis=1)[:, None], np.cos(np.minimum(apart, np.pi)), 0.0)
-                row, block = np.nonzero(most + 10.0**-SCORE_DIGITS >= bar[:, None])
+                row, shelf = np.nonzero(np.logical_or.reduceat(_reached(blocks, unit, bar), first, axis=1))
                 picked = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block), picked.column("__query"), picked.column("__vector")],
-                    names=["__block", "__query", "__vector"],
+                    [pa.array(shelf), picked.column("__query"), picked.column("__vector"), pa.array(bar[row])],
+                    names=["__block", "__query", "__vector", "__bar"],
                 )
 
     return run
@@ -330,39 +391,67 @@ def knn_cosine(
 ) -> DataFrame:
     """The k vectors nearest to every query by cosine, exactly, with `score` and `place`.
 
-    Vectors are dealt into blocks of at most about block_bytes, rings of angles around pivots, and
-    move once. A query goes to the blocks whose ring may hold one of its k best, whatever
-    the vectors; where they lie in clusters, these are few. A block is scored by matrix products, its
-    k best leave it, and a window picks the k best of those. The payload is joined to these last, by
+    Vectors are dealt into blocks, rings of angles around pivots, and neighbouring blocks of about block_bytes
+    in all onto shelves. A task has a shelf and a part of the queries; with few shelves there are more parts, so
+    a vector moves once per part, a query once per shelf, whatever the number of blocks. A query goes to the shelves
+    with a ring that may hold one of its k best, whatever the vectors; where they lie in clusters, these are few, and
+    is compared with those rings only, by matrix products. What reaches its bar counts, the k best of a shelf
+    leave it, and a window picks the k best of those. The payload is joined to these last, by
     id. Vectors and queries with null, NaN or infinite elements take no part.
     """
     id_type, name_type = vectors.schema[id_col].dataType, queries.schema[query_id].dataType
+    numbers = vectors.schema[vector_col].dataType
+    if numbers != queries.schema[query_vector].dataType or numbers.elementType != T.FloatType():
+        numbers = T.ArrayType(T.DoubleType())
     held = vectors.where(is_finite(F.col(vector_col))).select(
-        F.col(id_col).alias("__id"), F.col(vector_col).cast("array<double>").alias("__vector")
+        F.col(id_col).alias("__id"), F.col(vector_col).cast(numbers).alias("__vector")
+    )
+    wanted = queries.where(is_finite(F.col(query_vector))).select(
+        F.col(query_id).alias("__query"), F.col(query_vector).cast(numbers).alias("__vector")
     )
     blocks = _fit_blocks(held, block_bytes)
-    numbers = T.ArrayType(T.DoubleType())
-    dealt = held.select("__id", F.pmod(F.xxhash64("__id"), F.lit(1 << 31)).alias("__hash"), "__vector").mapInArrow(
-        _dealer(blocks), T.StructType().add("__block", "long").add("__id", id_type).add("__vector", numbers)
+    shelves = int(blocks.shelf[-1]) + 1
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # several tasks a core, as they take unequal times
+    parts = max(1, min(-(-4 * tasks // shelves), -(-queries.count() // LEAST_QUERIES)))
+    dealt = (
+        held.select("__id", F.pmod(F.xxhash64("__id"), F.lit(1 << 31)).alias("__hash"), "__vector")
+        .mapInArrow(_dealer(blocks), T.StructType().add("__block", "long").add("__id", id_type).add("__vector", numbers))
+        .withColumnRenamed("__block", "__ring")
+        .withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
-    asked = (
-        queries.where(is_finite(F.col(query_vector)))
-        .select(F.col(query_id).alias("__query"), F.col(query_vector).cast("array<double>").alias("__vector"))
-        .mapInArrow(
-            _asker(blocks, k), T.StructType().add("__block", "long").add("__query", name_type).add("__vector", numbers)
-        )
+    on_shelf = F.element_at(F.lit(blocks.shelf.tolist()), (F.col("__ring") + 1).cast("int"))
+    asked = wanted.mapInArrow(
+        _asker(blocks, k),
+        T.StructType().add("__block", "long").add("__query", name_type).add("__vector", numbers).add("__bar", "double"),
     )
     rows = dealt.select(
-        "__block", F.lit(False).alias("__asks"), "__id", F.lit(None).cast(name_type).alias("__query"), "__vector"
-    ).union(asked.select("__block", F.lit(True), F.lit(None).cast(id_type), "__query", "__vector"))
+        (on_shelf * parts + F.col("__part")).cast("long").alias("__block"),
+        F.lit(False).alias("__asks"),
+        "__ring",
+        "__id",
+        F.lit(None).cast(name_type).alias("__query"),
+        "__vector",
+        F.lit(None).cast("double").alias("__bar"),
+    ).union(
+        asked.select(
+            F.col("__block") * parts + F.pmod(F.xxhash64("__query"), F.lit(parts)),
+            F.lit(True),
+            F.lit(None).cast("long"),
+            F.lit(None).cast(id_type),
+            "__query",
+            "__vector",
+            "__bar",
+        )
+    )
     names = ["__query", "__id", "score"]
     schema = T.StructType(
         [T.StructField("__query", name_type), T.StructField("__id", id_type), T.StructField("score", T.DoubleType())]
     )
     partial = (
-        rows.repartition("__block")
-        .sortWithinPartitions("__block", "__asks")
-        .mapInArrow(_nearest_in_blocks(k, names), schema)
+        rows.repartition(max(tasks, shelves * parts), "__block")
+        .sortWithinPartitions("__block", "__asks", "__ring")
+        .mapInArrow(_nearest_on_shelves(k, blocks, names), schema)
         .withColumnsRenamed({"__query": query_id, "__id": id_col})
     )
     best = first_rows(partial, [query_id], [F.desc("score"), F.asc(id_col)], n=k, rank="place", salt_by=[id_col])

@@ -212,3 +212,18 @@ def test_fall_through(spark):
         (3, "vector", "ok", 1, None, "copper prices rose"), (4, "vector", "no hits", None, None, None),
     ]
     assert len(rows) == 5
+
+
+def test_moves_do_not_grow_with_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "LEAST_ROWS", 20)
+    monkeypatch.setattr(V, "LEAST_QUERIES", 200)
+    vectors = RNG.normal(size=(800, 6)).astype("float32").astype(float)
+    shelves, visits = [], []
+    for block_bytes in (8 * 6 * 400, 1 << 25):
+        held, seen = blocks_of(spark, vectors, vectors, 5, block_bytes)
+        assert len(held) > 8
+        visits.append(seen)
+        shelves.append(-(-800 // 400) if block_bytes < 1 << 25 else 1)
+    assert visits[1] == 1 and visits[0] <= shelves[0] + 1
+    hits = V.knn_cosine(index(spark, vectors, list(range(800)), "bigint"), asked(spark, vectors), k=5, block_bytes=8 * 6 * 400)
+    assert collected(hits) == brute(vectors, vectors, 5, list(range(800)))
