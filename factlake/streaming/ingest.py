@@ -31,7 +31,8 @@ CLUSTERED = {"facts": ["metric_key", "company", "doc_id"], "pages": ["doc_id", "
 def write_batch(extractions: DataFrame, batch_id: int, target: str) -> None:
     """Documents, facts and rejects of one batch; the last of equal paths counts."""
     order = [F.desc("arrived_at"), F.desc("raw")] if "arrived_at" in extractions.columns else [F.desc("raw")]
-    latest = first_rows(extractions, ["path"], order).select("path", "raw")
+    # dealt before they are sorted: a batch of few splits would be sorted whole in as few tasks
+    latest = first_rows(extractions.repartition("path"), ["path"], order).select("path", "raw")
     described = describe(parse_extraction(latest)).persist()
     try:
         facts = flatten_facts(described.select("doc_id", "company", "unit_hint", "doc"))
