@@ -494,9 +494,13 @@ def adapt_index_schema(index: DataFrame) -> DataFrame:
     return index
 
 
-def index_manifest(index: DataFrame, embed_model: str, source: str, vector: str = "embedding") -> DataFrame:
-    """One row about an index table. The dimension of term vectors is the number of different terms."""
-    if isinstance(index.schema[vector].dataType.elementType, T.StructType):
+def index_manifest(
+    index: DataFrame, embed_model: str, source: str, vector: str = "embedding", dim: int | None = None
+) -> DataFrame:
+    """One row about an index table. The dimension of term vectors is the number of different terms, unless `dim` has it."""
+    if dim is not None:
+        counts = index.agg(F.count("*").alias("count"), F.lit(dim).cast("int").alias("dim"))
+    elif isinstance(index.schema[vector].dataType.elementType, T.StructType):
         terms = index.select(F.explode(vector).alias("t")).agg(F.count_distinct("t.term").cast("int").alias("dim"))
         counts = index.agg(F.count("*").alias("count")).join(terms, F.lit(True))
     else:
