@@ -84,7 +84,7 @@ def _write(rows: DataFrame, path: str, key: str, parts: int) -> dict[int, tuple[
     """
     folder = uuid.uuid4().hex
     where = f"{path}/data/{folder}"
-    rows.withColumn(PART, _part(key, parts)).hint("rebalance", PART).write.partitionBy(PART).parquet(where)
+    rows.withColumn(PART, _part(key, parts)).hint("rebalance", PART).write.partitionBy(PART).parquet(where, compression="zstd")
     spark = rows.sparkSession
     try:
         counts = spark.read.schema(T.StructType([T.StructField(PART, T.IntegerType())])).parquet(where)
@@ -124,11 +124,17 @@ def replace_by_doc(batch_docs: DataFrame, new_rows: DataFrame, path: str, rows_p
     with twice as many or more. Running a batch again gives the same rows. New rows of documents
     that are not in the batch are left out.
     """
-    spark = new_rows.sparkSession
-    seen = version(spark, path)
+    seen = version(new_rows.sparkSession, path)
+    docs = batch_docs.select(seen.key).distinct()
+    fresh = new_rows.select(seen.schema.fieldNames()).join(docs, seen.key, "left_semi")
+    return _replace(seen, docs, fresh, path, rows_per_part)
+
+
+def _replace(seen: Version, docs: DataFrame, fresh: DataFrame, path: str, rows_per_part: int = ROWS_PER_PART) -> Version:
+    """The next version: rows of the documents, one row each, go; fresh rows, all of them of these documents, come."""
+    spark = fresh.sparkSession
     key, names = seen.key, seen.schema.fieldNames()
-    docs = batch_docs.select(key).distinct()
-    fresh = new_rows.select(names).join(docs, key, "left_semi").select(names)
+    fresh = fresh.select(names)
     parts = seen.parts
     held = sum(rows for _, rows in seen.live.values())
     while held > parts * rows_per_part:
@@ -151,8 +157,14 @@ def replace_by_doc(batch_docs: DataFrame, new_rows: DataFrame, path: str, rows_p
 def upsert_by_doc(batch: DataFrame, path: str, order: str = "batch_order") -> Version:
     """Insert new documents and overwrite stored ones, one row each; the last of a batch wins."""
     seen = version(batch.sparkSession, path)
-    newest = first_rows(batch, [seen.key], [F.desc(order)]).select(seen.schema.fieldNames())
-    return replace_by_doc(newest.select(seen.key), newest, path)
+    # read for the parts it touches, for what it replaces and for what it brings, but computed once
+    newest = first_rows(batch, [seen.key], [F.desc(order)]).select(seen.schema.fieldNames()).persist()
+    try:
+        # rows without a key replace nothing and do not come in
+        keyed = newest.where(F.col(seen.key).isNotNull())
+        return _replace(seen, newest.select(seen.key), keyed, path)
+    finally:
+        newest.unpersist()
 
 
 def stale_folders(spark: SparkSession, path: str, keep: int = 1) -> DataFrame:

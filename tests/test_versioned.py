@@ -124,3 +124,20 @@ def test_stale_folders(spark, rows, tmp_path):
 def test_no_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         versioned.read_by_doc(spark, f"{tmp_path}/none")
+
+
+def test_a_batch_is_computed_once(spark, rows, tmp_path):
+    """It is read for the parts it touches, for what it replaces and for what it brings."""
+    path = f"{tmp_path}/t"
+    versioned.create_by_doc(rows(*[(f"d{i}", i) for i in range(40)]), path)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    batch = spark.createDataFrame([(f"d{i}", 100 + i, 1) for i in range(30, 50)] + [(None, 7, 1)], f"{SCHEMA}, batch_order int")
+    versioned.upsert_by_doc(batch.withColumn("value", counted("value")), path)
+    assert now(spark, path) == sorted([(f"d{i}", i) for i in range(30)] + [(f"d{i}", 100 + i) for i in range(30, 50)])
+    assert seen.value == batch.count()
