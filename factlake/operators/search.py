@@ -27,6 +27,9 @@ FACT_COLUMNS = (
 )
 SPEC = ("company_part", "metrics", "period")
 
+# Fixed value: up to so many different pairs of metric and period, facts are compared with them where they lie.
+PAIRS = 100
+
 
 # --- names that contain a part ------------------------------------------------
 
@@ -112,6 +115,49 @@ def _unnamed(specs: DataFrame) -> DataFrame:
     return specs.where(F.col("company_part") == "").withColumn("metric", F.explode("metrics"))
 
 
+def _names_period(period: Column) -> Column:
+    """Whether the variant or the span of a fact contains the period; '' stands for any."""
+    part = F.lower(period)
+    held = [F.coalesce(F.contains(F.lower(text), part), F.lit(False)) for text in ("metric_variant", "source_span")]
+    return (period == "") | held[0] | held[1]
+
+
+def _asked_pairs(specs: DataFrame) -> tuple[dict, dict] | None:
+    """The periods asked per metric, by all searches and by those without a hint; None for more than PAIRS pairs."""
+    pairs = specs.select(F.explode("metrics").alias("metric"), "period", (F.col("company_part") == "").alias("unnamed"))
+    found = pairs.where("metric IS NOT NULL").distinct().limit(2 * PAIRS + 1).collect()
+    every, unnamed = {}, {}
+    for row in found:
+        every.setdefault(row.metric, set()).add(row.period)
+        if row.unnamed:
+            unnamed.setdefault(row.metric, set()).add(row.period)
+    return (every, unnamed) if sum(map(len, every.values())) <= PAIRS else None
+
+
+def _may_answer(pairs: dict) -> Column:
+    """False for facts that no pair can find: one pattern per set of periods, over variant and span together."""
+    together = F.lower(F.concat_ws("\n", "metric_variant", "source_span"))
+    by_periods = {}
+    for metric, periods in sorted(pairs.items()):
+        by_periods.setdefault(frozenset(periods), []).append(metric)
+    found = F.lit(False)
+    for periods, metrics in by_periods.items():
+        # lowered, so that no period can hold the mark that ends a literal part
+        parts = [F.concat(F.lit(r"\Q"), F.lower(F.lit(period)), F.lit(r"\E")) for period in sorted(periods)]
+        named = F.lit(True) if "" in periods else F.rlike(together, F.concat_ws("|", *parts))
+        found = found | (F.col("metric").isin(*metrics) & named)
+    return found
+
+
+def _named_periods(pairs: dict) -> Column:
+    """The periods of the fact's metric that the fact names."""
+    none = F.array().cast("array<string>")
+    if not pairs:
+        return none
+    entries = [c for metric, periods in sorted(pairs.items()) for c in (F.lit(metric), F.array(*map(F.lit, sorted(periods))))]
+    return F.filter(F.coalesce(F.try_element_at(F.create_map(*entries), F.col("metric")), none), _names_period)
+
+
 def _first_in_periods(facts: DataFrame, searches: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """First facts per keys and asked period.
 
@@ -119,14 +165,7 @@ def _first_in_periods(facts: DataFrame, searches: DataFrame, keys: list[str], li
     searches there are, and only its matches are unfolded.
     """
     periods = searches.groupBy(*keys).agg(F.collect_set("period").alias("periods"))
-    variant, span = F.lower("metric_variant"), F.lower("source_span")
-
-    def names_it(period):
-        part = F.lower(period)
-        named = F.coalesce(F.contains(variant, part), F.lit(False)) | F.coalesce(F.contains(span, part), F.lit(False))
-        return (period == "") | named
-
-    met = facts.join(periods, keys).withColumn("period", F.explode(F.filter("periods", names_it))).drop("periods")
+    met = facts.join(periods, keys).withColumn("period", F.explode(F.filter("periods", _names_period))).drop("periods")
     return first_rows(met, [*keys, "period"], best_first(), n=limit)
 
 
@@ -147,17 +186,29 @@ def facts_search(facts: DataFrame, requests: DataFrame, limit: int = K.FACT_ROWS
 
     Hints become company names first, so facts and searches meet on company and
     metric. Facts shrink to the first ones per company, metric and asked period before
-    they meet the single searches; for searches without a hint, they first shrink to the
-    first ones per metric, variant and span, whatever the company.
+    they meet the single searches.
+
+    The different pairs of metric and period are counted first. If they are few (PAIRS), only facts that
+    some pair could find are moved, and for searches without a hint no more than the first ones
+    per pair and task. Otherwise all facts move, and for searches without a hint they first
+    shrink to the first ones per metric, variant and span, whatever the company.
     """
     asked = _with_spec(requests)
     specs = asked.select(*SPEC).where(F.size("metrics") > 0).distinct()
     keyed = facts.withColumn("metric", F.lower("metric_key"))
     by_company = _spec_companies(specs, facts)
+    pairs = _asked_pairs(specs)
+    if pairs:
+        every, without_hint = pairs
+        tagged = keyed.where(_may_answer(without_hint)).withColumn("period", F.explode(_named_periods(without_hint)))
+        first = first_rows(tagged, ["metric", "period"], best_first(), n=limit)
+        keyed = keyed.where(_may_answer(every))
+    else:
+        anywhere = first_rows(keyed, ["metric", "metric_variant", "source_span"], best_first(), n=limit)
+        first = _first_in_periods(anywhere, _unnamed(specs), ["metric"], limit)
     heads = _first_in_periods(keyed, by_company, ["company", "metric"], limit)
     named = heads.join(by_company, ["company", "metric", "period"])
-    anywhere = first_rows(keyed, ["metric", "metric_variant", "source_span"], best_first(), n=limit)
-    unnamed = _first_in_periods(anywhere, _unnamed(specs), ["metric"], limit).join(_unnamed(specs), ["metric", "period"])
+    unnamed = first.join(_unnamed(specs), ["metric", "period"])
     return _give(asked, named, unnamed, limit)
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -72,6 +73,22 @@ def test_search_like_brute_force(spark, limit):
             assert [ids[r.value] for r in one] == brute(("", hint, keys, period), limit)
 
 
+def test_facts_that_no_search_asks_for_do_not_move(spark, monkeypatch):
+    df = facts(spark, *FACT_ROWS)
+    requests = [*REQUESTS, ("14", "acme", [None, "roe"], "FY24"), ("15", None, [None], None)]
+    requests += [("16", "zeta", ["ebitda"], "[\\E.|Q"), ("17", None, ["p/e"], "\\Qx\\E")]
+    asked = spark.createDataFrame(requests, "request_id string, company_hint string, metric_keys array<string>, period_label string")
+    result = S.facts_search(df, asked, 2)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    # neither all facts by variant and span, nor facts that name no asked period
+    assert not re.search(r"hashpartitioning\(metric#\d+, metric_variant#\d+, source_span#", plan)
+    assert plan.count("RLIKE") >= 2
+    monkeypatch.setattr(S, "PAIRS", 3)
+    many = S.facts_search(df, asked, 2)
+    assert "RLIKE" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(result.collect()) == sorted(many.collect())
+
+
 def test_free_text_period(spark):
     df = facts(spark, *FACT_ROWS)
     requests = [("1", "acme", ["Revenue"], "SEC_pl"), ("2", None, ["roe"], "y2"), ("3", "zeta", ["roe"], "%")]
