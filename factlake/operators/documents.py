@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factlake import schemas
@@ -87,18 +89,29 @@ def pages_replace_by_doc(existing: DataFrame, batch_docs: DataFrame, new_pages:
     return facts_replace_by_doc(existing, batch_docs, new_pages)
 
 
+# Fixed value: about so many bytes of fresh payloads are sorted by one task.
+MERGE_BYTES = 32 << 20
+
+
 def cache_merge(requests: DataFrame, cache: DataFrame, fresh: DataFrame, payload: str = "payload") -> DataFrame:
     """The cached extraction of a file stem unless forced, else the fresh one.
 
     requests(path, force), cache(cache_key, payload), fresh(path, payload).
+
+    Payloads are never broadcast, whatever size Spark reads off the files they come from. The fresh ones are
+    measured first (one pass over them) and dealt to as many tasks as they need, since texts that compress
+    well would otherwise meet in few.
     """
+    held = fresh.agg(F.sum(F.octet_length(F.col(payload).cast("string")))).first()[0] or 0
+    tasks = max(fresh.sparkSession.sparkContext.defaultParallelism, math.ceil(held / MERGE_BYTES))
     keyed = requests.withColumn("cache_key", file_stem(F.col("path")))
     stored = cache.select("cache_key", F.col(payload).alias("__stored"), F.lit(True).alias("__hit"))
     made = fresh.select("path", F.col(payload).alias("__made"))
     use_stored = F.col("__hit").isNotNull() & ~F.coalesce("force", F.lit(False))
     return (
-        keyed.join(stored, "cache_key", "left")
-        .join(made, "path", "left")
+        keyed.join(stored.hint("merge"), "cache_key", "left")
+        .repartition(tasks, "path")
+        .join(made.repartition(tasks, "path").hint("merge"), "path", "left")
         .withColumn("from_cache", use_stored)
         .withColumn(payload, F.when(use_stored, F.col("__stored")).otherwise(F.col("__made")))
         .drop("__stored", "__made", "__hit")
