@@ -293,28 +293,36 @@ def keyword_search(pages: DataFrame, company: str, keyword: str, limit: int = K.
 WORD = r"[\p{L}\p{N}]+"
 
 
+# Up to so many different searches, with so many different keywords, pages are compared with every keyword.
+SEARCHES = 1_000
+KEYWORDS = 32
+
+
+def _few_keywords(asked: DataFrame) -> list[str] | None:
+    """The different keywords, None if these or the different searches are many."""
+    found = asked.select("company_part", "keyword").dropna().distinct().limit(SEARCHES + 1).collect()
+    keywords = sorted({row.keyword for row in found})
+    return keywords if len(found) <= SEARCHES and len(keywords) <= KEYWORDS else None
+
+
+def _top_of_few(pages: DataFrame, searches: DataFrame, keywords: list[str], order: list[Column], limit: int) -> DataFrame:
+    """The first pages per search: each task keeps its first ones per company and keyword, without their texts."""
+    lowered = F.lower("text")
+    held = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in keywords]).cast("array<string>"))
+    tagged = pages.select("company", "doc_id", "page_num", F.explode(held).alias("keyword"))
+    heads = first_rows(tagged, ["company", "keyword"], order, n=limit).join(searches, ["company", "keyword"])
+    return first_rows(heads, ["company_part", "keyword"], order, n=limit, rank="place")
+
+
 def _longest_word(text: Column) -> Column:
     """The longest word of the text, null without one."""
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     return F.array_max(words)["w"]
 
 
-def keyword_search_batch(pages: DataFrame, requests: DataFrame, limit: int = K.PAGE_ROWS) -> DataFrame:
-    """keyword_search per request: requests(request_id, company, keyword), both literal text.
-
-    A page that holds a keyword has a word that contains the keyword's longest word. So these are
-    looked up in the distinct words of the pages first, then pages meet by company and word the
-    keywords they may hold, and only those are compared with the text. A page never meets the
-    other keywords, however many there are. Keywords without a word, such as signs, are compared
-    with all pages of their companies.
-    """
-    asked = requests.withColumns({"company_part": F.lower("company"), "keyword": F.lower("keyword")})
-    names = names_containing(pages.select("company"), asked.select("company_part"), "company", "company_part")
-    searches = (
-        asked.select("company_part", "keyword").distinct()
-        .join(names, "company_part")
-        .withColumn("part", _longest_word(F.col("keyword")))
-    )
+def _top_of_many(pages: DataFrame, searches: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first pages per search, by way of the distinct words of the pages."""
+    searches = searches.withColumn("part", _longest_word(F.col("keyword")))
     page = ["company", "doc_id", "page_num"]
     in_question = pages.join(searches.select("company").distinct(), "company", "left_semi")
     words = in_question.select(*page, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
@@ -328,9 +336,34 @@ def keyword_search_batch(pages: DataFrame, requests: DataFrame, limit: int = K.P
     texts = pages.select(*page, F.lower("text").alias("lowered"))
     wordless = searches.where(F.col("part").isNull()).drop("part")
     hits = texts.join(may_hold, page).unionByName(texts.join(wordless, "company")).where(F.contains("lowered", F.col("keyword")))
-    order = [F.asc("company"), F.asc("doc_id"), F.asc("page_num")]
-    top = first_rows(hits.drop("lowered"), ["company_part", "keyword"], order, n=limit, rank="place")
-    found = top.join(pages.select(*page, "text"), page)
+    return first_rows(hits.drop("lowered"), ["company_part", "keyword"], order, n=limit, rank="place")
+
+
+def keyword_search_batch(pages: DataFrame, requests: DataFrame, limit: int = K.PAGE_ROWS) -> DataFrame:
+    """keyword_search per request: requests(request_id, company, keyword), both literal text.
+
+    A page that holds a keyword has a word that contains the keyword's longest word. So these are
+    looked up in the distinct words of the pages first, then pages meet by company and word the
+    keywords they may hold, and only those are compared with the text. A page never meets the
+    other keywords, however many there are. Keywords without a word, such as signs, are compared
+    with all pages of their companies.
+
+    The different searches are counted first. If there are few (SEARCHES, KEYWORDS), every page is
+    compared with all keywords where it lies, and no text moves but those of the pages found.
+    """
+    asked = requests.withColumns({"company_part": F.lower("company"), "keyword": F.lower("keyword")})
+    names = names_containing(pages.select("company"), asked.select("company_part"), "company", "company_part")
+    searches = asked.select("company_part", "keyword").distinct().join(names, "company_part")
+    page = ["company", "doc_id", "page_num"]
+    order = [F.asc(c) for c in page]
+    keywords = _few_keywords(asked)
+    if keywords is not None:
+        top = _top_of_few(pages, searches, keywords, order, limit)
+        # at most limit times SEARCHES pages
+        texts = pages.select(*page, "text").join(F.broadcast(top.select(page).distinct()), page)
+        found = top.join(texts, page)
+    else:
+        found = _top_of_many(pages, searches, order, limit).join(pages.select(*page, "text"), page)
     return (
         asked.select("request_id", "company_part", "keyword")
         .join(found, ["company_part", "keyword"])

@@ -138,3 +138,27 @@ def test_keyword_batch_like_single_searches(spark):
         got.setdefault(r.request_id, []).append((r.doc_id, r.page_num))
     for request_id, company, keyword in asked:
         assert got.get(request_id, []) == [(r.doc_id, r.page_num) for r in S.keyword_search(pages, company, keyword).collect()]
+
+
+def test_few_keywords_move_no_texts(spark, monkeypatch):
+    pages = spark.createDataFrame(
+        [(f"d{i % 4}", i, f"{'Copper' if i % 3 else 'Zinc'} & {i}", ("Acme", "ACME two", "Beta")[i % 3]) for i in range(60)]
+        + [("d", 99, None, "Acme")],
+        "doc_id string, page_num int, text string, company string",
+    )
+    asked = [("1", "acme", "copper"), ("2", "BETA", "zinc"), ("3", "a", "1"), ("4", "two", "&"), ("5", "none", "a"),
+             ("6", "acme", "COPPER"), ("7", None, "a"), ("8", "acme", None), ("9", "beta", ""), ("10", "", "copper")]
+    requests = spark.createDataFrame(asked, "request_id string, company string, keyword string")
+    few = S.keyword_search_batch(pages, requests)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(lower(text" not in plan
+    assert not any("Exchange" in below and "lowered" in below for below in plan.splitlines())
+    for name in ("KEYWORDS", "SEARCHES"):
+        with monkeypatch.context() as patch:
+            patch.setattr(S, name, 2)
+            many = S.keyword_search_batch(pages, requests)
+            assert "regexp_extract_all(lower(text" in many._jdf.queryExecution().executedPlan().toString()
+            assert sorted(many.collect()) == sorted(few.collect())
+    assert {r.request_id for r in few.collect()} == {"1", "3", "4", "6", "9"}
+    nothing = S.keyword_search_batch(pages, requests.where("request_id IN ('7', '8')"))
+    assert nothing.count() == 0
