@@ -13,6 +13,7 @@ from factlake import constants as K
 from factlake.functions.text import float_text, matches_like
 from factlake.operators.ranking import first_rows
 from factlake.operators.terms import SCORE_DIGITS, TermLists, embed_terms, search_terms
+from factlake.session import stored
 
 # Queries and vectors that a task compares at a time.
 STRIPE = 512
@@ -550,7 +551,9 @@ def facts_else_vector(
     questions(question_id, text, intent), found(request_id, place, ...) as facts_search gives
     it, index(doc_id, page_num, chunk_idx, company, text, embedding) with term vectors, and
     its lists if they are stored. Every question has a row; status tells `ok` from `no hits`.
+    `found` is read several times and may come from a long query: it is computed once.
     """
+    found = stored(found, "found")
     about_facts = questions.where(F.col("intent") == "facts").select("question_id")
     facts = found.join(about_facts, F.col("request_id") == F.col("question_id"), "left_semi").select(
         F.col("request_id").alias("question_id"),
