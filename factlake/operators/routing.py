@@ -11,6 +11,7 @@ from factlake.operators.conversations import chat_context, last_user_message
 from factlake.operators.search import facts_search_labelled
 from factlake.operators.terms import TermLists, search_terms
 from factlake.operators.vectors import snippet_context
+from factlake.session import stored
 
 
 def route_questions(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -152,11 +153,13 @@ def answer_conversations(
     with company and page. Conversations without a user message to answer give no row. The fact
     search is run once for all conversations; only questions without facts go to the chunks.
     """
-    asked = conversation_questions(conversations)
+    # read several times: computed once
+    asked = stored(conversation_questions(conversations), "asked")
     found = _search(facts, _requests(asked.where(F.col("intent") == "facts")), limit)
     from_facts = _answer_texts(found).select(
         F.col("request_id").alias("question_id"), F.lit("facts").alias("tool"), "row_count", "answer"
     )
+    from_facts = stored(from_facts, "answers")
     unanswered = asked.select("question_id", "text").join(from_facts.select("question_id"), "question_id", "left_anti")
     hits = search_terms(index, unanswered, k, lists=lists)
     counts = hits.groupBy("question_id").agg(F.count("*").cast("int").alias("row_count"))
