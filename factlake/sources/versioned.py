@@ -21,6 +21,10 @@ PART = "part"
 
 # A table gets more parts when these hold more rows on average.
 ROWS_PER_PART = 2_000_000
+# More rows than this are not moved: a new table is written by the tasks that make its rows, and to the stored rows
+# of a change the documents that go are carried, in slices with about so many bytes of keys.
+STAY_ROWS = 2_000_000
+SLICE_BYTES = 32 << 20
 
 _MANIFEST = T.StructType(
     [
@@ -77,15 +81,21 @@ def _commit(spark: SparkSession, path: str, made: Version) -> None:
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(f"{path}/versions/version={made.number}")
 
 
-def _write(rows: DataFrame, path: str, key: str, parts: int) -> dict[int, tuple[str, int]]:
+def _write(rows: DataFrame, path: str, key: str, parts: int, spread: bool = False) -> dict[int, tuple[str, int]]:
     """Write rows by part into a folder of their own; (folder, rows) of each part that has some.
 
-    Rebalancing brings the rows of a part together, and splits a part that one document makes large.
+    Rebalancing brings the rows of a part together, and splits a part that one document makes large;
+    spread rows are written by the tasks that make them.
     """
     folder = uuid.uuid4().hex
     where = f"{path}/data/{folder}"
-    rows.withColumn(PART, _part(key, parts)).hint("rebalance", PART).write.partitionBy(PART).parquet(where, compression="zstd")
-    spark = rows.sparkSession
+    rows = rows.withColumn(PART, _part(key, parts))
+    (rows if spread else rows.hint("rebalance", PART)).write.partitionBy(PART).parquet(where, compression="zstd")
+    return _written(rows.sparkSession, where, folder)
+
+
+def _written(spark: SparkSession, where: str, folder: str) -> dict[int, tuple[str, int]]:
+    """(folder, rows) of each part in a folder."""
     try:
         counts = spark.read.schema(T.StructType([T.StructField(PART, T.IntegerType())])).parquet(where)
     except AnalysisException:
@@ -101,6 +111,50 @@ def _read(spark: SparkSession, path: str, seen: Version, only: set[int] | None =
     return spark.read.schema(seen.schema).parquet(*paths)
 
 
+def _slices(sizes: dict[int, int], most: int) -> list[tuple[set[int], int, int]]:
+    """(parts, n, i): some parts, of which the i-th of n slices; with about `most` bytes of keys each, from the bytes by part."""
+    slices, some, held = [], set(), 0
+    for part, size in sorted(sizes.items()):
+        n = -(-size // most)
+        if n > 1:
+            slices += [({part}, n, i) for i in range(n)]
+            continue
+        if some and held + size > most:
+            slices.append((some, 1, 0))
+            some, held = set(), 0
+        some, held = some | {part}, held + size
+    return [*slices, (some, 1, 0)] if some else slices
+
+
+def _write_in_place(seen: Version, docs: DataFrame, fresh: DataFrame, path: str, parts: int, sizes: dict[int, int]) -> dict[int, tuple[str, int]]:
+    """Write the rows that stay and the fresh ones into a folder of their own; (folder, rows) of each part that has some.
+
+    Rows that stay do not move: each task reads some, drops those of the documents, which are carried to it slice by
+    slice, and writes the others. A stored part lies in a few new ones, if there are more parts now. Fresh rows
+    are brought together by part. `sizes` has the bytes of the documents' keys by stored part.
+    """
+    spark, key, names = fresh.sparkSession, seen.key, seen.schema.fieldNames()
+    folder = uuid.uuid4().hex
+    where = f"{path}/data/{folder}"
+
+    def write(rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy(PART).parquet(where, compression="zstd")
+
+    write(fresh.withColumn(PART, _part(key, parts)).hint("rebalance", PART))
+    changed = parts != seen.parts
+    slices = _slices({p: n for p, n in sizes.items() if p in seen.live}, SLICE_BYTES)
+    whole = set(seen.live) - set(sizes) if changed else set()
+    for some, n, i in slices:
+        here = F.pmod(F.xxhash64(F.lit(PART), key), F.lit(n)) == i if n > 1 else F.lit(True)
+        gone = docs.where(_part(key, seen.parts).isin(*some) & here)
+        # about SLICE_BYTES, as counted
+        left = _read(spark, path, seen, some).where(here).join(F.broadcast(gone), key, "left_anti")
+        write(left.select(*names, _part(key, parts).alias(PART)))
+    if whole:
+        write(_read(spark, path, seen, whole).select(*names, _part(key, parts).alias(PART)))
+    return _written(spark, where, folder)
+
+
 def create_by_doc(rows: DataFrame, path: str, parts: int = 8, key: str = "doc_id") -> None:
     """Write a table that later batches replace by document. What was under the path before becomes an older version."""
     try:
@@ -108,7 +162,9 @@ def create_by_doc(rows: DataFrame, path: str, parts: int = 8, key: str = "doc_id
     except FileNotFoundError:
         number = 0
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-    _commit(rows.sparkSession, path, Version(number, key, parts, schema, _write(rows, path, key, parts)))
+    # counted first; very many rows do not move, their tasks write a file per part
+    made = _write(rows, path, key, parts, spread=rows.count() > STAY_ROWS)
+    _commit(rows.sparkSession, path, Version(number, key, parts, schema, made))
 
 
 def read_by_doc(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
@@ -120,8 +176,8 @@ def replace_by_doc(batch_docs: DataFrame, new_rows: DataFrame, path: str, rows_p
     """Replace all stored rows of the batch's documents by the new rows, as the next version.
 
     Only parts that hold a document of the batch are read and written, the others stay where
-    they are. If the parts have grown beyond rows_per_part on average, the table is written whole
-    with twice as many or more. Running a batch again gives the same rows. New rows of documents
+    they are. Very many stored rows do not move (STAY_ROWS). If the parts have grown beyond rows_per_part on average,
+    the table is written whole with twice as many or more. Running a batch again gives the same rows. New rows of documents
     that are not in the batch are left out.
     """
     seen = version(new_rows.sparkSession, path)
@@ -139,16 +195,22 @@ def _replace(seen: Version, docs: DataFrame, fresh: DataFrame, path: str, rows_p
     held = sum(rows for _, rows in seen.live.values())
     while held > parts * rows_per_part:
         parts *= 2
-    if parts != seen.parts:
-        left = _read(spark, path, seen).join(docs, key, "left_anti")
-        live = _write(left.select(names).unionByName(fresh), path, key, parts)
-    else:
-        touched = {row[0] for row in docs.select(_part(key, parts)).distinct().collect()}  # at most `parts` numbers
-        if not touched:
+    docs = docs.persist()
+    try:
+        # a row per part
+        keys = docs.groupBy(_part(key, seen.parts).alias(PART)).agg(F.sum(F.octet_length(F.col(key).cast("string"))).alias("size"))
+        sizes = {r[PART]: r["size"] or 0 for r in keys.collect()}
+        if not sizes and parts == seen.parts:
             return seen
-        left = _read(spark, path, seen, touched).join(docs, key, "left_anti")
-        made = _write(left.select(names).unionByName(fresh), path, key, parts)
-        live = {p: at for p, at in seen.live.items() if p not in touched} | made
+        touched = set(sizes) if parts == seen.parts else set(seen.live)
+        if sum(rows for p, (_, rows) in seen.live.items() if p in touched) > STAY_ROWS:
+            made = _write_in_place(seen, docs, fresh, path, parts, sizes)
+        else:
+            left = _read(spark, path, seen, touched).join(docs, key, "left_anti")
+            made = _write(left.select(names).unionByName(fresh), path, key, parts)
+    finally:
+        docs.unpersist()
+    live = made if parts != seen.parts else {p: at for p, at in seen.live.items() if p not in touched} | made
     after = Version(seen.number + 1, key, parts, seen.schema, live)
     _commit(spark, path, after)
     return after
