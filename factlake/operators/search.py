@@ -246,8 +246,9 @@ def facts_search_labelled(
     )
     wanted = tagged.join(F.broadcast(pairs), ["metric", "period"], "left_semi")
     heads = first_rows(wanted, ["company", "metric", "period"], best_first(), n=limit)
-    # companies without such a fact cannot be found, so the names come from the heads too
-    named = heads.join(_spec_companies(specs, heads), ["company", "metric", "period"])
+    # the names of more companies than can be found, but without making the heads once more
+    by_company = _spec_companies(specs, facts.where(F.lower("metric_key").isin(*vocabulary)))
+    named = heads.join(by_company, ["company", "metric", "period"])
     anywhere = first_rows(heads, ["metric", "period"], best_first(), n=limit)
     unnamed = anywhere.join(_unnamed(specs), ["metric", "period"])
     return _give(asked, named, unnamed, limit)
